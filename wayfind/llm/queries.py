@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfind.llm import mixing, packing
+from wayfind.llm import mixing, packing, shingle_join, substring_dedup
 from wayfind.llm.common import table
 
 QUERIES: dict = {}
@@ -56,3 +56,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op4_shingle_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_report(table(spark, sf_dir, "documents"))
