@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfind.llm import mixing, packing, shingle_join, substring_dedup
+from wayfind.llm import mixing, packing, shingle_join, substring_dedup, toxicity
 from wayfind.llm.common import table
 
 QUERIES: dict = {}
@@ -66,3 +66,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_substring_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
