@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfind.llm import mixing, packing, shingle_join, substring_dedup, toxicity
+from wayfind.llm import mixing, near_vectors, packing, shingle_join, substring_dedup, toxicity, url_filter
 from wayfind.llm.common import table
 
 QUERIES: dict = {}
@@ -73,6 +73,55 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+OP6_SQL = r"""
+WITH parts AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), rules(verdict, own, start) AS (
+  VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), outcome AS (
+  SELECT doc_id AS page_id, min(quality)::BIGINT AS good FROM labels WHERE quality IN (0, 1) GROUP BY doc_id
+), hosts AS (
+  SELECT host, sum(good)::DOUBLE AS k, count(*)::DOUBLE AS n, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
+  FROM parts JOIN outcome USING (page_id) GROUP BY host
+), domains AS (SELECT domain, suffix, sum(k) AS k, sum(n) AS n FROM hosts GROUP BY domain, suffix),
+suffixes AS (SELECT suffix, sum(k) AS k, sum(n) AS n FROM domains GROUP BY suffix),
+levels AS (
+  SELECT 1 AS lv, k, n FROM suffixes UNION ALL SELECT 2, k, n FROM domains UNION ALL SELECT 3, k, n FROM hosts
+), sums AS (SELECT lv, sum(k) AS kk, sum(n) AS nn, sum(n * n) AS n2, count(*) AS c FROM levels GROUP BY lv),
+spread AS (SELECT lv, kk, nn, n2, c, sum((k - n * kk / nn) * (k - n * kk / nn) / n) AS s FROM levels JOIN sums USING (lv) GROUP BY ALL),
+rho AS (
+  SELECT lv, greatest(0.0001, least(0.5, CASE WHEN d = 0 OR kk = 0 OR kk = nn THEN 0.0001 ELSE (s / (kk / nn * (1 - kk / nn)) - (c - 1)) / d END)) AS rho
+  FROM (SELECT *, nn - n2 / nn - (c - 1) AS d FROM spread)
+), consts AS (
+  SELECT (SELECT (sum(k) + 1) / (sum(n) + 2) FROM suffixes) AS floor_, (SELECT 1 / rho - 1 FROM rho WHERE lv = 1) AS s1, (SELECT 1 / rho - 1 FROM rho WHERE lv = 2) AS s2, (SELECT 1 / rho - 1 FROM rho WHERE lv = 3) AS s3
+), by_suffix AS (SELECT suffix, (k + s1 * floor_) / (n + s1) AS p FROM suffixes, consts),
+by_domain AS (SELECT domain, (d.k + s2 * p) / (d.n + s2) AS p FROM domains d JOIN by_suffix USING (suffix), consts),
+post AS (
+  SELECT host, k + s3 * p AS a, n - k + s3 * (1 - p) AS b, floor_ FROM hosts JOIN by_domain USING (domain), consts
+), bad AS (
+  SELECT host FROM post WHERE a / (a + b) + 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) < floor_
+), best AS (
+  SELECT p.page_id, p.host, p.path, arg_max(r.own || r.start, length(r.own || r.start)) AS rule, arg_max(r.verdict, length(r.own || r.start)) AS verdict
+  FROM (SELECT DISTINCT * FROM parts) p JOIN rules r ON (p.host = r.own OR ends_with(p.host, '.' || r.own)) AND starts_with(p.path, r.start)
+  GROUP BY ALL
+)
+SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, CASE WHEN p.host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts p LEFT JOIN best b ON p.page_id IS NOT DISTINCT FROM b.page_id AND p.host = b.host AND p.path = b.path
+"""
+
+
+@query("op6_url_filter", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_near_vectors")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
