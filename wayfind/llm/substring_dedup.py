@@ -13,7 +13,7 @@ Equal paths within a task's share of the texts are told before the shuffle: only
 earliest is dealt by its minimizer, the others are known to be repeated and are spread
 evenly, so a passage in a third of all documents costs its partition one row a task.
 
-An edge is known by 128 bits: its minimizer's hash and its own.
+An edge is known by 120 bits: 64 of its minimizer's hash and EDGE_BYTES bytes of its own.
 
 Defined results: a null text has no words; a text with fewer than 20 words keeps all;
 a row with a null doc_id has no coordinate, so it is neither a source nor changed;
@@ -41,6 +41,9 @@ MINIMIZER = 8
 #: Windows that a task gathers before it tells equal paths apart.
 GATHER = 2_000_000
 
+#: Bytes of an edge's hash that are dealt, beside the hash of its minimizer.
+EDGE_BYTES = 7
+
 _U = np.uint64
 
 
@@ -77,12 +80,24 @@ def _take_runs(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.n
 
 
 def _binary(values: np.ndarray, count: np.ndarray) -> pa.Array:
-    """Runs of 64-bit values as one binary each."""
-    edges = np.concatenate([[0], np.cumsum(count)]).astype(np.int32) * 8
-    return pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(values.tobytes())])
+    """Runs of hashes, EDGE_BYTES of each, as one binary each."""
+    ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32) * EDGE_BYTES
+    low = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :EDGE_BYTES])
+    return pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(low.tobytes())])
+
+
+def _hashes(column: pa.Array) -> np.ndarray:
+    """The values of all runs of such a column."""
+    _, where, data = column.buffers()
+    ends = np.frombuffer(where, np.int32)[column.offset : column.offset + len(column) + 1]
+    low = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(-1, EDGE_BYTES)
+    out = np.zeros((len(low), 8), np.uint8)
+    out[:, :EDGE_BYTES] = low
+    return out.view("<u8").ravel().astype(np.uint64)
 
 
-DEALT = "minimizer long, doc_id long, start int, n int, edges binary"
+#: place is 64 times a path's first window, plus its number of windows.
+DEALT = "minimizer long, doc_id long, place long, edges binary"
 
 
 def _deal(window: int, small: int):
@@ -110,7 +125,7 @@ def _deal(window: int, small: int):
                     key, binary = mix(doc[rows].astype(np.uint64) * _U(31) + start[rows].astype(np.uint64)), pa.nulls(len(rows), pa.binary())
                 else:
                     key, binary = minimizer[rows], _binary(_take_runs(edges, first[rows], count[rows]), count[rows])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(doc[rows]), pa.array(start[rows].astype(np.int32)), pa.array(count[rows].astype(np.int32)), binary], names=["minimizer", "doc_id", "start", "n", "edges"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(doc[rows]), pa.array(start[rows] * 64 + count[rows]), binary], names=["minimizer", "doc_id", "place", "edges"])
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -136,18 +151,17 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        minimizer, doc, start, count = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        edges = batch.column(4)
+        minimizer, doc, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        start, count = place >> 6, place & 63
+        edges = batch.column(3)
         known = edges.is_null().to_numpy(zero_copy_only=False)
         if known.any():
-            yield pa.RecordBatch.from_arrays([pa.array(doc[known]), pa.array(start[known]), pa.array(count[known])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[known]), pa.array(start[known].astype(np.int32)), pa.array(count[known].astype(np.int32))], names=names)
             rest = np.flatnonzero(~known)
             if not len(rest):
                 continue
             minimizer, doc, start, count, edges = minimizer[rest], doc[rest], start[rest], count[rest], edges.take(pa.array(rest))
-        _, where, data = edges.buffers()
-        at = np.frombuffer(where, np.int32)[edges.offset : edges.offset + len(edges) + 1]
-        flat = np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.uint64)
+        flat = _hashes(edges)
         met = np.zeros(len(minimizer), bool)
         same = minimizer[1:] == minimizer[:-1]
         met[1:] |= same
@@ -189,10 +203,12 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, small: int = MINIMIZER) -> DataFrame:
     """doc_id, start, n: runs of windows (by their first word) whose words occur earlier."""
+    if not 0 < window - small < 63:
+        raise ValueError("a path holds fewer than 64 windows")
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     dealt = given.mapInArrow(_deal(window, small), DEALT)
     return (
-        dealt.repartition(shuffle_partitions(docs.sparkSession), "minimizer").sortWithinPartitions("minimizer", "doc_id", "start")
+        dealt.repartition(shuffle_partitions(docs.sparkSession), "minimizer").sortWithinPartitions("minimizer", "doc_id", "place")
         .mapInArrow(_repeated, "doc_id long, start int, n int")
     )
 
