@@ -6,11 +6,12 @@ Two sets of a and b shingles link when 100 * common >= percent * united, which i
 * light sets (up to a boundary that a cost count over the size histogram chooses)
   enumerate their subsets of every size that a partner can require; sets that share
   such a subset link, so the smallest set of each subset is a star's centre;
-* heavy sets enter inverted lists with the tokens of which any partner must share one
-  (their prefix in an order that puts widespread tokens last). Lists are scanned for
-  sets with company; sets with too many tokens of their own to reach the threshold go;
-  what remains is compared, by exact overlap, first with one centre a list and then,
-  where a list still spans several components, across these components.
+* heavy sets enter inverted lists with their first tokens, in an order that puts
+  widespread tokens last: as many that any partner must share a known number of them.
+  Lists are scanned for entries with company; sets with fewer such entries than that
+  number go, then sets with too many tokens of their own to reach the threshold; what
+  remains is compared, by exact overlap, first with one centre a list and then, where
+  a list still spans several components, across these components.
 
 Equal sets are one class from the start and are never expanded into pairs. Only
 connectivity between classes is sought, so members of one component are not compared.
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import cut, shuffle_partitions
+from wayfind.llm.common import cut, shuffle_partitions, small
 from wayfind.llm.components import components
 from wayfind.llm.textops import LOWER, gram_hashes, mix, signed, text_slices, word_hashes, words_of
 
@@ -42,6 +43,8 @@ PERCENT = 75
 BOUNDARIES = range(4, 11)
 #: What scanning and checking one entry of an inverted list costs, in subsets.
 SCAN_COST = 8
+#: Beyond the tokens of which a partner must share one, this share of a set enters the lists too.
+MORE = 0.1
 #: A token in this share of the distinct sets is widespread and comes last in the order.
 WIDESPREAD = 0.001
 #: Widespread tokens that are broadcast at most; beyond it only the most common are (8 bytes each).
@@ -120,6 +123,16 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def shared_entries(n: int) -> int:
+    """The list entries that two sets of n or more share at least, if they link."""
+    return int(n * MORE) + 1
+
+
+def entries_of(n: int, percent: int) -> int:
+    """The tokens of a set of n that enter the lists."""
+    return min(n, n - least_overlap(n, percent) + shared_entries(n))
+
+
 def subset_keys(tokens: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """(key, size) of the subsets that a partner may require."""
     mixed = mix(tokens)
@@ -136,19 +149,19 @@ def light_boundary(histogram: dict[int, int], percent: int) -> int:
     def cost(x: int) -> int:
         top = x * 100 // percent
         subsets = sum(c * sum(comb(n, k) for k in range(least_overlap(n, percent), n + 1)) for n, c in histogram.items() if n <= top)
-        return subsets + SCAN_COST * sum(c * (n - least_overlap(n, percent) + 1) for n, c in histogram.items() if n > x)
+        return subsets + SCAN_COST * sum(c * entries_of(n, percent) for n, c in histogram.items() if n > x)
 
     return min(BOUNDARIES, key=lambda x: (cost(x), x))
 
 
 def _entries(shingle: int, percent: int, boundary: int, late):
-    """List entries of each set: prefix tokens (required 0) and subsets (required: their size)."""
+    """List entries of each set: its first tokens with its size, and subsets with -(64 * their size + its size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         widespread = late.value
         for batch in batches:
             for _, _, buf, offsets in text_slices(batch.column(0)):
-                token, cid, size, required = [], [], [], []
+                token, cid, size = [], [], []
                 for s in shingle_sets(buf, offsets, shingle):
                     n = len(s)
                     if not n:
@@ -157,21 +170,19 @@ def _entries(shingle: int, percent: int, boundary: int, late):
                     if n <= boundary * 100 // percent:
                         found = subset_keys(s, percent)
                         token.append(np.array([k for k, _ in found], np.int64))
-                        required.append(np.array([c for _, c in found], np.int32))
                         cid.append(np.full(len(found), key, np.int64))
-                        size.append(np.full(len(found), n, np.int32))
+                        size.append(np.array([-(64 * c + n) for _, c in found], np.int32))
                     if n > boundary:
-                        p = n - least_overlap(n, percent) + 1
+                        p = entries_of(n, percent)
                         if len(widespread):
                             at = np.minimum(np.searchsorted(widespread, s), len(widespread) - 1)
                             is_late = widespread[at] == s
                             s = np.concatenate([s[~is_late], s[is_late]])
                         token.append(signed(s[:p]))
-                        required.append(np.zeros(p, np.int32))
                         cid.append(np.full(p, key, np.int64))
                         size.append(np.full(p, n, np.int32))
                 if token:
-                    yield _batch("token cid n required", np.concatenate(token), np.concatenate(cid), np.concatenate(size), np.concatenate(required))
+                    yield _batch("token cid size", np.concatenate(token), np.concatenate(cid), np.concatenate(size))
 
     return run
 
@@ -188,7 +199,7 @@ def _with_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             columns = [np.concatenate([h, c]) for h, c in zip(held[0], columns, strict=True)]
             before = held[1]
         new = np.ones(len(columns[0]), bool)
-        new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]) | (columns[3][1:] != columns[3][:-1])
+        new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
         columns = [c[new] for c in columns]
         token = columns[0]
         same = token[1:] == token[:-1]
@@ -198,9 +209,9 @@ def _with_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         company[0] |= before
         held = ([c[-1:] for c in columns], bool(company[-1]))
         if company[:-1].any():
-            yield _batch("token cid n required", *[c[:-1][company[:-1]] for c in columns])
+            yield _batch("token cid size", *[c[:-1][company[:-1]] for c in columns])
     if held is not None and held[1]:
-        yield _batch("token cid n required", *held[0])
+        yield _batch("token cid size", *held[0])
 
 
 def _token_sets(shingle: int):
@@ -248,23 +259,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     histogram = {r["n"]: r["count"] for r in classes.filter(F.col("n") <= max(BOUNDARIES) * 100 // percent).groupBy("n").count().collect()}
     boundary = light_boundary(histogram, percent)
     late = spark.sparkContext.broadcast(_widespread(keyed.filter("token is not null"), classes.count()))
-    entries = given.select("text").mapInArrow(_entries(shingle, percent, boundary, late), "token long, cid long, n int, required int")
-    lists = cut(
-        entries.repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token", "required", "cid")
-        .mapInArrow(_with_company, "token long, cid long, n int, required int")
-    )
+    entries = given.select("text").mapInArrow(_entries(shingle, percent, boundary, late), "token long, cid long, size int")
+    lists = cut(entries.repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token", "cid").mapInArrow(_with_company, "token long, cid long, size int"))
     # light sets: whoever shares a subset with its smallest owner, and can afford to, links with it
-    light = lists.filter("required > 0")
+    light = lists.filter("size < 0").selectExpr("token", "cid", "-size div 64 AS required", "-size % 64 AS n")
     owner = light.groupBy("token", "required").agg(F.min(F.struct("n", "cid")).alias("owner"))
     light_links = light.join(owner, ["token", "required"]).filter(
         (F.col("cid") != F.col("owner.cid")) & (F.col("required") * (100 + percent) >= (F.col("n") + F.col("owner.n")) * percent)
     ).select(F.col("owner.cid").alias("a"), F.col("cid").alias("b"))
 
     # heavy sets: whole sets of those with company, then the tokens that each has alone
-    heavy = lists.filter("required = 0").select("token", "cid")
-    wanted = cut(heavy.select("cid").distinct().join(classes.select("cid", "rep"), "cid").filter("rep is not null").select(F.col("rep").alias("doc_id"), "cid"))
-    among = wanted.select("doc_id", F.col("cid").alias("_cid"))
-    sets = given.join(among, "doc_id").select(F.col("_cid"), "text").mapInArrow(_token_sets(shingle), "cid long, n int, tokens array<long>, wanted long")
+    heavy = lists.filter("size > 0").select("token", "cid", F.col("size").alias("n"))
+    least = F.floor(F.ceil(F.col("n") * percent / 100) * MORE) + 1
+    enough = heavy.groupBy("cid", "n").agg(F.count("*").alias("entries")).filter(F.col("entries") >= least)
+    heavy = heavy.drop("n")
+    wanted = cut(enough.select("cid").join(classes.select("cid", "rep"), "cid").filter("rep is not null").select(F.col("rep").alias("doc_id"), "cid"))
+    sets = given.join(small(wanted.select("doc_id", F.col("cid").alias("_cid"))), "doc_id").select(F.col("_cid"), "text").mapInArrow(_token_sets(shingle), "cid long, n int, tokens array<long>, wanted long")
     sets = cut(sets.filter("cid = wanted").drop("wanted"))
     if sets.count() > wanted.count():  # rows that repeat a doc_id
         sets = cut(sets.dropDuplicates(["cid"]))
@@ -313,3 +323,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     of_class = classes.join(found, F.col("rep") == F.col("node"), "left").select("cid", "n", "cid2", F.coalesce("component", "rep").alias("component_id"))
     joined = documents.alias("d").join(of_class.alias("c"), ["cid", "n", "cid2"], "left")
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The documents with all their columns, one of each component: that with the smallest doc_id.
+
+    Of rows that repeat a doc_id one stays; rows with a null doc_id stay.
+    """
+    judged = cut(near_duplicates(docs, shingle, percent).filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id")))
+    gone = judged.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    kept = docs.join(small(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    if judged.filter("rows > 1").isEmpty():
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
