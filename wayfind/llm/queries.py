@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfind.llm import mixing, near_vectors, packing, shingle_join, substring_dedup, toxicity, url_filter
+from wayfind.llm import media, mixing, near_vectors, packing, shingle_join, substring_dedup, toxicity, url_filter
 from wayfind.llm.common import table
 
 QUERIES: dict = {}
@@ -122,6 +122,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query("op7_media")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.report(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
