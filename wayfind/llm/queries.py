@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wayfind.llm import media, mixing, near_vectors, packing, shingle_join, substring_dedup, toxicity, url_filter
+from wayfind.llm import license_scan, media, mixing, near_vectors, packing, quality, shingle_join, substring_dedup, toxicity, url_filter
 from wayfind.llm.common import table
 
 QUERIES: dict = {}
@@ -127,6 +128,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.report(table(spark, sf_dir, "documents"))
 
 
+@query("op8_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources stand for hosts, and a source's languages for its paths."""
+    path = F.concat_ws("/", "source", "lang")
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), path)
+
+
+@query("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source stands for a repository, whose directories hold its documents by language and thousand."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.expr("doc_id div 1000"), "doc_id")
+    return license_scan.scan(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")).withColumnRenamed("file_id", "doc_id")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfind.llm.shrinkage import strength
+
 #: Verdict, host, path.
 RULES = (
     ("block", "com", "/en/"),
@@ -28,8 +30,6 @@ RULES = (
 )
 Z = 1.645
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Bounds of the correlation within a group, from which a prior's strength follows.
-LEAST, MOST = 0.0001, 0.5
 
 
 def host_of(url: Column) -> Column:
@@ -50,18 +50,6 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def _strength(children: DataFrame) -> DataFrame:
-    """One row: the prior's strength from children with k good outcomes of n, and parts of it."""
-    total = children.agg(F.sum("k").alias("all_k"), F.sum("n").alias("all_n"), F.sum(F.col("n") * F.col("n")).alias("all_nn"), F.count("*").alias("groups"))
-    rate = F.col("all_k") / F.col("all_n")
-    spread = F.sum((F.col("k") - F.col("n") * rate) * (F.col("k") - F.col("n") * rate) / F.col("n")).alias("s")
-    joined = children.crossJoin(F.broadcast(total))  # one row on that side
-    one = joined.groupBy("all_k", "all_n", "all_nn", "groups").agg(spread)
-    rho = (F.col("s") / (rate * (1 - rate)) - (F.col("groups") - 1)) / (F.col("all_n") - F.col("all_nn") / F.col("all_n") - (F.col("groups") - 1))
-    rho = F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.coalesce(F.when(F.isnan(rho), None).otherwise(rho), F.lit(LEAST))))
-    return one.select((1 / rho - 1).alias("strength"))
-
-
 def reputations(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """host, rate, upper, floor: posterior mean and upper bound, and the overall rate, of hosts with labels."""
     outcome = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.min("quality").cast("long").alias("good"))
@@ -73,7 +61,7 @@ def reputations(pages: DataFrame, labels: DataFrame) -> DataFrame:
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
     overall = suffixes.agg(((F.sum("k") + 1) / (F.sum("n") + 2)).alias("floor"))
-    s1, s2, s3 = (_strength(x).withColumnRenamed("strength", f"s{i}") for i, x in ((1, suffixes), (2, domains), (3, hosts)))
+    s1, s2, s3 = (strength(x).withColumnRenamed("strength", f"s{i}") for i, x in ((1, suffixes), (2, domains), (3, hosts)))
     constants = overall.crossJoin(s1).crossJoin(s2).crossJoin(s3)  # one row each
     by_suffix = suffixes.crossJoin(F.broadcast(constants)).select("suffix", "floor", "s2", "s3", ((F.col("k") + F.col("s1") * F.col("floor")) / (F.col("n") + F.col("s1"))).alias("p_suffix"))
     by_domain = domains.join(by_suffix, "suffix").select("domain", "floor", "s3", ((F.col("k") + F.col("s2") * F.col("p_suffix")) / (F.col("n") + F.col("s2"))).alias("p_domain"))
