@@ -52,7 +52,7 @@ AC_TABLE, AC_CODE, AC_SIZE = _canonical(AC_LENGTHS)
 
 def _lookup(table: bytes) -> np.ndarray:
     """For each 16 bits ahead: 256 * code length + symbol; 0 where no code fits."""
-    out, code, at = np.zeros(1 << 16, np.int32), 0, 16
+    out, code, at = np.zeros(1 << 16, np.int64), 0, 16
     for n in range(1, 17):
         for _ in range(table[n - 1]):
             out[code << (16 - n) : (code + 1) << (16 - n)] = n * 256 + table[at]
@@ -72,6 +72,18 @@ def _magnitude(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return size, np.where(values < 0, values + (np.int64(1) << size) - 1, values).astype(np.uint64)
 
 
+def _words() -> tuple[np.ndarray, np.ndarray]:
+    """For run * 2048 + value + 1024: the symbol's code with the value's extra bits, and their number."""
+    value = np.arange(-1024, 1024)
+    size, extra = _magnitude(value)
+    size = np.minimum(size, 10)
+    symbol = np.arange(16)[:, None] * 16 + size
+    return ((AC_CODE[symbol] << size.astype(np.uint64)) | extra).ravel(), (AC_SIZE[symbol] + size).ravel()
+
+
+_AC_WORD, _AC_BITS = _words()
+
+
 def _join(code: np.ndarray, bits: np.ndarray, lane: np.ndarray, lanes: int, last: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes of at most 25 bits, ordered by lane, as bytes with stuffing and restart markers; where each lane begins."""
     per_lane = np.bincount(lane, bits, lanes).astype(np.int64)
@@ -80,12 +92,14 @@ def _join(code: np.ndarray, bits: np.ndarray, lane: np.ndarray, lanes: int, last
     ahead = np.cumsum(bits) - bits
     lane_first = np.cumsum(per_lane) - per_lane
     at = begin[lane] * 8 + ahead - lane_first[lane]
-    word = code << (np.uint64(32) - bits.astype(np.uint64) - (at & 7).astype(np.uint64))
     total = int(length.sum())
-    out = np.zeros(total + 4)
-    for j in range(4):
-        out += np.bincount((at >> 3) + j, (word >> np.uint64(24 - 8 * j)) & np.uint64(255), total + 4)
-    body = out[:total].astype(np.uint8)
+    # the bits of a code lie in one or two words of 32; bits of different codes never overlap, so sums join them
+    spread = code << (np.uint64(64) - bits.view(np.uint64) - (at & 31).view(np.uint64))
+    words, at = total // 4 + 2, at >> 5
+    out = np.bincount(at, spread >> np.uint64(32), words)
+    out += np.bincount(at + 1, spread & np.uint64(0xFFFFFFFF), words)
+    out = out.astype(">u4").view(np.uint8)
+    body = out[:total]
     full = length > 0
     ends = (begin + length - 1)[full]
     body[ends] |= ((1 << (8 * length - per_lane)[full]) - 1).astype(np.uint8)
@@ -117,15 +131,17 @@ def _dc_scan(dc: np.ndarray, low: int, refine: bool) -> tuple[np.ndarray, np.nda
 
 def _ac_scan(band: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of a band of coefficients, each block a lane."""
-    value = np.where(band < 0, -(-band >> low), band >> low)
-    row, col = np.nonzero(value)
-    size, extra = _magnitude(value[row, col].astype(np.int64))
-    before = np.full(len(row), -1)
-    same = row[1:] == row[:-1]
-    before[1:][same] = col[:-1][same]
-    run = col - before - 1
-    symbol = (run % 16) * 16 + size
-    code, bits, lane = (AC_CODE[symbol] << size.astype(np.uint64)) | extra, AC_SIZE[symbol] + size, row
+    value = np.where(band < 0, -(-band >> low), band >> low) if low else band
+    flat = np.flatnonzero(value)
+    width = band.shape[1]
+    row = flat // width
+    col = flat - row * width
+    run = np.empty(len(row), np.int64)
+    run[:1], run[1:] = col[:1], flat[1:] - flat[:-1] - 1
+    new = np.flatnonzero(row[1:] != row[:-1]) + 1
+    run[new] = col[new]
+    pick = ((run & 15) << 11) + value.ravel()[flat] + 1024
+    code, bits, lane = _AC_WORD[pick], _AC_BITS[pick], row
     per_row = np.bincount(row, minlength=len(band))
     after = np.cumsum(per_row)
     final = np.full(len(band), -1)
@@ -345,34 +361,39 @@ def _read_dc(reader: _Lanes, coef: list[np.ndarray], order, low: int, refine: bo
 
 def _read_ac(reader: _Lanes, coef: np.ndarray, order, first: int, last: int, low: int, table: np.ndarray) -> None:
     ended = np.zeros(len(reader.pos), np.int64)
+    flat, words = coef.reshape(-1), reader.words
     for lanes, [(_, block)] in order:
         skip = ended[lanes] > 0
         if skip.any():
             ended[lanes[skip]] -= 1
             lanes, block = lanes[~skip], block[~skip]
-        k = np.full(len(lanes), first)
+        pos, stop, k = reader.pos[lanes], block * 64 + last, block * 64 + first
         while len(lanes):
-            symbol, rest, used = reader.symbol(lanes, table)
-            run, size = symbol >> 4, symbol & 15
+            ahead = words[pos >> 3] << (pos & 7).view(np.uint64)
+            entry = table[(ahead >> np.uint64(48)).view(np.int64)]
+            used, run, size = entry >> 8, (entry >> 4) & 15, entry & 15
             end = (size == 0) & (run < 15)
-            if end.any():
-                more = np.where(end, run, 0)
-                extra = _top(rest, np.where(end, more, size))
-                ended[lanes[end]] = (1 << run[end]) + extra[end] - 1
-                take = np.where(end, more, size)
-            else:
-                extra, take = _top(rest, size), size
-            reader.pos[lanes] += used + take
+            ends = end.any()
+            take = np.where(end, run, size) if ends else size
+            extra = ((ahead << used.view(np.uint64)) >> np.uint64(48)).view(np.int64) >> (16 - take)
+            pos = pos + (used + take)
             k = k + run
-            put = size > 0
-            if put.all():
-                coef[block, k] = _signed(extra, size) << low
+            full = (1 << size) - 1
+            value = (extra - full * (1 - (extra >> np.maximum(size - 1, 0)))) << low
+            if ends or not size.all():
+                put = size > 0
+                flat[k[put]] = value[put]
             else:
-                coef[block[put], k[put]] = _signed(extra[put], size[put]) << low
+                flat[k] = value
             k = k + 1
-            go = ~end & (k <= last)
-            if not go.all():
-                lanes, block, k = lanes[go], block[go], k[go]
+            over = k > stop
+            if ends:
+                over |= end
+                ended[lanes[end]] = (1 << run[end]) + extra[end] - 1
+            if over.any():
+                reader.pos[lanes[over]] = pos[over]
+                go = ~over
+                lanes, stop, k, pos = lanes[go], stop[go], k[go], pos[go]
 
 
 def _refine_ac(reader: _Lanes, coef: np.ndarray, order, first: int, last: int, low: int, table: np.ndarray) -> None:
