@@ -137,13 +137,9 @@ class Model:
 
 def _association(rows: np.ndarray, first: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Per hash, how surely texts of label 1 hold it more often than others (a z value)."""
-    size = (1 + len(BEGINNINGS)) * BUCKETS
-    text = np.repeat(np.arange(len(label)), np.diff(first))
-    counts = []
-    for of in (1, 0):
-        mine = label[text] == of
-        pairs = np.unique(text[mine][:, None] * np.int64(size) + rows[mine])
-        counts.append(np.bincount(pairs % size, minlength=size) + 0.5)
+    counts = np.full((2, (1 + len(BEGINNINGS)) * BUCKETS), 0.5)
+    for of, lo, hi in zip(label, first[:-1], first[1:], strict=True):
+        counts[1 - of][np.unique(rows[lo:hi])] += 1
     share = np.log(counts[0] / ((label == 1).sum() + 1)) - np.log(counts[1] / ((label == 0).sum() + 1))
     return share / np.sqrt(1 / counts[0] + 1 / counts[1])
 
@@ -221,7 +217,8 @@ def best_threshold(logit: np.ndarray, label: np.ndarray) -> float:
 
 def calibrate(model: Model, rows: np.ndarray, first: np.ndarray, label: np.ndarray, known: np.ndarray) -> None:
     """A threshold for all texts, and one for each language, drawn to it while its rows of label 1 are few."""
-    logit, of = model.logits(rows, first), languages(rows, first, known)
+    logit = np.concatenate([model.logits(rows[a:b], np.array([0, b - a])) for a, b in zip(first[:-1], first[1:], strict=True)])
+    of = languages(rows, first, known)
     overall = best_threshold(logit, label)
     model.threshold[:] = overall
     for k in range(len(LANGUAGES)):
@@ -250,9 +247,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     if sample["label"].nunique() < 2:
         return None
     sample = sample.sort_values("doc_id")
-    raw = [t.encode() for t in sample["text"]]
-    buf, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])])
-    rows, first = features(buf, offsets)
+    texts = pa.array(sample["text"], pa.large_string())
+    parts = [features(buf, offsets) for _, _, buf, offsets in text_slices(texts, 200_000)]  # in slices, for the driver's memory
+    rows = np.concatenate([r for r, _ in parts])
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))])
+    del parts
     label = sample["label"].to_numpy(np.int64)
     known = _function_table()
     held = (mix(sample["doc_id"].to_numpy(np.int64).view(np.uint64)) % _U(CALIBRATION)) == 0
