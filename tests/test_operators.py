@@ -151,3 +151,19 @@ def test_upload(spark, tmp_path):
 def test_commonest_breaks_ties_by_first_seen(spark):
     rows = spark.createDataFrame([("a", "x", 2), ("a", "y", 1), ("a", None, 0)], "k string, v string, o long")
     assert measure.commonest(rows, "k", "v", "o").collect()[0].v == "y"
+
+
+def test_market_documents_read_back(spark):
+    import json
+
+    rows = over_places.market_documents(spark, SF).collect()
+    assert sum(r.listings for r in rows) == places_of(spark, SF).count()
+    first = json.loads(rows[0].businesses)
+    assert len(first) == rows[0].listings and [b["ordinal"] for b in first] == sorted(b["ordinal"] for b in first)
+    assert set(first[0]["verdicts"]) == {"rated"}
+
+
+def test_one_edit(spark):
+    pairs = [("pheonix", "phoenix", 1), ("a", "a", 0), ("ab", "ba", 1), ("abc", "cba", None), ("", "a", 1), ("dallas", "dalas", 1), ("abcd", "badc", None)]
+    got = spark.createDataFrame(pairs, "a string, b string, d int").select(text.one_edit(F.col("a"), F.col("b")).alias("x"), "d").collect()
+    assert [r.x for r in got] == [r.d for r in got]

@@ -108,3 +108,18 @@ def sentences(text: Column, least: int = 12) -> Column:
 
 def digest16(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
+
+
+def edit_variants(word: Column) -> Column:
+    """The word and all words with one letter less: two words one edit apart share one."""
+    letters = F.sequence(F.lit(1), F.length(word))
+    shorter = F.transform(letters, lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.array_distinct(F.concat(F.array(word), F.when(F.length(word) > 0, shorter).otherwise(F.array().cast("array<string>"))))
+
+
+def one_edit(a: Column, b: Column) -> Column:
+    """0, 1 or null: the edit distance up to 1, where two neighbours that change places are one edit."""
+    at = F.array_min(F.filter(F.sequence(F.lit(1), F.length(a)), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))))
+    swapped = F.concat(F.substring(a, F.lit(1), at - 1), F.substring(a, at + 1, F.lit(1)), F.substring(a, at, F.lit(1)), F.substring(a, at + 2, F.length(a)))
+    near = F.levenshtein(a, b)
+    return F.when(near <= 1, near).when((near == 2) & (F.length(a) == F.length(b)) & (swapped == b), 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.functions.geo import EARTH_METRES, haversine, within_any
-from wayfind.functions.text import bare_name, is_street_address, readable, similarity
+from wayfind.functions.text import bare_name, edit_variants, is_street_address, one_edit, readable, similarity
 
 CHAIN_NAMES = 3
 METRES_PER_DEGREE = 111_320.0
@@ -82,3 +82,23 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, metres: float, least: float
     return left.select("id").join(found.withColumn("_near", F.lit(True)), "id", "left").select(
         "id", F.col("b.id").alias("match_id"), (-F.col("b.less")).alias("score"), F.coalesce("_near", F.lit(False)).alias("occupied")
     )
+
+
+def suggestions(typed: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """typed, word, distance: each typed word's nearest known word within one edit; ties: the more common, then by name.
+
+    typed(typed), vocabulary(word, n). Words meet by their variants, so no pair is looked at that shares none.
+    """
+    left = typed.select("typed").distinct().select("typed", F.explode(edit_variants(F.col("typed"))).alias("v"))
+    right = vocabulary.select("word", "n", F.explode(edit_variants(F.col("word"))).alias("v"))
+    pairs = left.join(right, "v").select("typed", "word", "n").distinct().withColumn("distance", one_edit(F.col("typed"), F.col("word"))).filter("distance is not null")
+    best = pairs.groupBy("typed").agg(F.min(F.struct("distance", (-F.col("n")).alias("less"), "word")).alias("b"))
+    return best.select("typed", F.col("b.word").alias("word"), F.col("b.distance").alias("distance"))
+
+
+def market_documents(places: DataFrame, facts: DataFrame, by: str) -> DataFrame:
+    """One nested document a market: counts, and its places in order with their verdicts as a map."""
+    pairs = F.array_sort(F.collect_list(F.struct("criterion_id", "verdict")))
+    rows = places.join(facts.groupBy("id").agg(pairs.alias("pairs")), "id", "left").select(by, F.struct("ordinal", "id", "name", "site", "phone", "lat", "lon", "pairs").alias("b"))
+    nested = F.transform(F.array_sort(F.collect_list("b")), lambda b: b.withField("verdicts", F.map_from_entries(b.getField("pairs"))).dropFields("pairs"))
+    return rows.groupBy(by).agg(F.count("*").alias("listings"), F.count_if(readable(F.col("b.site"))).alias("with_site"), F.to_json(nested).alias("businesses"))

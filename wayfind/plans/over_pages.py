@@ -219,3 +219,33 @@ def turn_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     chars = F.length("text")
     used = F.least(F.least(chars, F.lit(600)), F.greatest(F.lit(0), 1800 - F.col("before")))
     return given.select("conv_id", "turn", used.cast("long").alias("used"), ((chars > 600) | (chars + F.col("before") > 1800)).alias("truncated"))
+
+
+@query("reply_gate", r"""WITH t AS (SELECT conv_id, turn, role, text, count(*) FILTER (role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS answered FROM conversations)
+SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '(stop|unsubscribe|remove me|not interested)') THEN 'stop' WHEN answered >= 3 THEN 'hold' WHEN regexp_matches(text, '[?]') THEN 'answer' ELSE 'wait' END AS decision FROM t WHERE role = 'user'""")
+def reply_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to do with each incoming message: a plain stop decides first, then how often was answered already."""
+    from pyspark.sql import Window
+
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    turns = _table(spark, sf_dir, "conversations").withColumn("answered", F.count_if(F.col("role") == "assistant").over(before))
+    stop = F.lower("text").rlike("(stop|unsubscribe|remove me|not interested)")
+    decision = F.when(stop, "stop").when(F.col("answered") >= 3, "hold").when(F.contains("text", F.lit("?")), "answer").otherwise("wait")
+    return turns.filter("role = 'user'").select("conv_id", "turn", decision.alias("decision"))
+
+
+@query("sender_domains", rf"""WITH e AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '{text.EMAIL}'))) AS email FROM documents) SELECT split_part(email, '@', 2) AS domain, count(DISTINCT email) AS addresses, count(DISTINCT doc_id) AS documents FROM e GROUP BY 1""")
+def sender_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _table(spark, sf_dir, "documents").select("doc_id", F.explode(text.emails(F.col("text"))).alias("email"))
+    return found.groupBy(F.substring_index("email", "@", -1).alias("domain")).agg(F.countDistinct("email").alias("addresses"), F.countDistinct("doc_id").alias("documents"))
+
+
+@query("page_credits", r"""WITH a AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS own, unnest(regexp_extract_all(html, '(?i)<a[^>]+href="(https?://[^"]*)"', 1)) AS link FROM pages),
+h AS (SELECT page_id, own, regexp_extract(lower(link), '://([^/?#]*)', 1) AS host FROM a)
+SELECT host, count(DISTINCT page_id) AS pages FROM h WHERE host <> lower(own) AND host <> '' GROUP BY host""")
+def page_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Other hosts that pages link to."""
+    links = F.regexp_extract_all("html", F.lit(r'(?i)<a[^>]+href="(https?://[^"]*)"'), F.lit(1))
+    host = lambda c: F.regexp_extract(F.lower(c), r"://([^/?#]*)", 1)
+    found = _table(spark, sf_dir, "pages").select("page_id", host(F.col("url")).alias("own"), F.explode(links).alias("link")).withColumn("host", host(F.col("link")))
+    return found.filter("host <> own and host <> ''").groupBy("host").agg(F.countDistinct("page_id").alias("pages"))

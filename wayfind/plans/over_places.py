@@ -197,3 +197,26 @@ def city_trade_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     trades = places.select("cat").distinct()
     fresh = places.filter("ordinal % 3 = 0 and rating > 4.0").select("town", "cat")
     return big.crossJoin(F.broadcast(trades)).join(fresh, ["town", "cat"], "left_anti")  # ten rows on one side
+
+
+TYPED_SQL = """words AS (SELECT lower(n_name) AS word, 1 AS n FROM nation UNION ALL SELECT lower(p_brand), count(*) FROM part GROUP BY 1),
+asked AS (SELECT DISTINCT lower(CASE n_nationkey % 4 WHEN 0 THEN substr(n_name, 2) WHEN 1 THEN substr(n_name, 1, 2) || substr(n_name, 4, 1) || substr(n_name, 3, 1) || substr(n_name, 5) WHEN 2 THEN 'x' || n_name ELSE n_name || 'qq' END) AS typed FROM nation)"""
+
+
+@query("typo_suggestions", f"WITH {TYPED_SQL}, d AS (SELECT typed, word, n, damerau_levenshtein(typed, word) AS distance FROM asked, words) SELECT typed, word, distance FROM (SELECT *, row_number() OVER (PARTITION BY typed ORDER BY distance, n DESC, word) AS rn FROM d WHERE distance <= 1) WHERE rn = 1")
+def typo_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misspelt nation names against names and brands."""
+    nation, part = spark.read.parquet(f"{sf_dir}/nation.parquet"), spark.read.parquet(f"{sf_dir}/part.parquet")
+    n, k = F.col("n_name"), F.col("n_nationkey") % 4
+    swapped = F.concat(F.substring(n, 1, 2), F.substring(n, 4, 1), F.substring(n, 3, 1), F.substring(n, 5, 100))
+    wrong = F.when(k == 0, F.substring(n, 2, 100)).when(k == 1, swapped).when(k == 2, F.concat(F.lit("x"), n)).otherwise(F.concat(n, F.lit("qq")))
+    words = nation.select(F.lower(n).alias("word"), F.lit(1).cast("long").alias("n")).union(part.groupBy(F.lower("p_brand")).count())
+    return supply.suggestions(nation.select(F.lower(wrong).alias("typed")), words)
+
+
+@query("market_documents")
+def market_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested documents by town, whose text no two engines write alike; a test reads one back."""
+    places = places_of(spark, sf_dir)
+    facts = places.select("id", F.lit("rated").alias("criterion_id"), F.when(F.col("rating") >= 3.5, "match").when(F.col("rating").isNotNull(), "no_match").otherwise("unread").alias("verdict"))
+    return supply.market_documents(places, facts, "town")
