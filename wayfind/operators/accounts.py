@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,53 +13,60 @@ def balances(entries: DataFrame) -> DataFrame:
     return entries.groupBy("account_id").agg(F.sum("milli").alias("milli"))
 
 
+def _folded(rows: DataFrame, key: str, order: list[str], step, schema: str) -> DataFrame:
+    """Rows in order within each key, given one by one to step(state, row) -> (state, output row).
+
+    Partitions are sorted and streamed, so memory holds a batch and one key's state,
+    however many rows a key has.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        now, state = object(), None
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                if (this := getattr(row, key)) != now:
+                    now, state = this, None
+                state, made = step(state, row)
+                out.append(made)
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
 def charge(requests: DataFrame, opening: DataFrame) -> DataFrame:
     """request_id, charged, reason, milli: requests(request_id, account_id, business_id, cost, at) in order, from opening(account_id, milli, comped).
 
     Each charge depends on the balance that those before it left, so an account's
-    requests are folded in order; the fold keeps the balance and the unlocked ids alone.
+    requests are folded in order; the state is its balance and the ids that it unlocked.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "request_id"], kind="stable")
-        left, unlocked, rows = None, set(), []
-        for r in pdf.itertuples(index=False):
-            left = r.milli if left is None else left
-            if pd.isna(left):
-                rows.append((r.request_id, False, "No such account.", 0))
-            elif r.business_id in unlocked:
-                rows.append((r.request_id, False, "Already unlocked by this workspace.", 0))
-            elif r.comped:
-                unlocked.add(r.business_id)
-                rows.append((r.request_id, True, None, 0))
-            elif left < r.cost:
-                rows.append((r.request_id, False, "Not enough credits left.", 0))
-            else:
-                left -= r.cost
-                unlocked.add(r.business_id)
-                rows.append((r.request_id, True, None, int(r.cost)))
-        return pd.DataFrame(rows, columns=["request_id", "charged", "reason", "milli"])
+    def step(state, r):
+        left, unlocked = state or (r.milli, set())
+        if pd.isna(left):
+            return (left, unlocked), (r.request_id, False, "No such account.", 0)
+        if r.business_id in unlocked:
+            return (left, unlocked), (r.request_id, False, "Already unlocked by this workspace.", 0)
+        if not r.comped and left < r.cost:
+            return (left, unlocked), (r.request_id, False, "Not enough credits left.", 0)
+        unlocked.add(r.business_id)
+        cost = 0 if r.comped else int(r.cost)
+        return (left - cost, unlocked), (r.request_id, True, None, cost)
 
     joined = requests.join(opening, "account_id", "left").withColumn("comped", F.coalesce("comped", F.lit(False)))
-    return joined.groupBy("account_id").applyInPandas(fold, "request_id long, charged boolean, reason string, milli long")
+    return _folded(joined, "account_id", ["at", "request_id"], step, "request_id long, charged boolean, reason string, milli long")
 
 
 def rationed(calls: DataFrame, per_hour: int, per_day: int) -> DataFrame:
     """call_id, admitted: calls(call_id, caller, at) in order; only admitted calls count against a caller."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "call_id"], kind="stable")
-        kept: list[pd.Timestamp] = []
-        out = []
-        for at in pdf["at"]:
-            kept = [t for t in kept if t > at - pd.Timedelta(days=1)]
-            ok = len(kept) < per_day and sum(t > at - pd.Timedelta(hours=1) for t in kept) < per_hour
-            if ok:
-                kept.append(at)
-            out.append(ok)
-        return pd.DataFrame({"call_id": pdf["call_id"].to_numpy(), "admitted": out})
-
-    return calls.groupBy("caller").applyInPandas(fold, "call_id long, admitted boolean")
+    def step(kept, r):
+        kept = [t for t in kept or [] if t > r.at - pd.Timedelta(days=1)]
+        ok = len(kept) < per_day and sum(t > r.at - pd.Timedelta(hours=1) for t in kept) < per_hour
+        return (kept + [r.at] if ok else kept), (r.call_id, ok)
+
+    return _folded(calls, "caller", ["at", "call_id"], step, "call_id long, admitted boolean")
 
 
 def recent_calls(calls: DataFrame) -> DataFrame:
