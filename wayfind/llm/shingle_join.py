@@ -50,7 +50,7 @@ WIDESPREAD = 0.001
 #: Widespread tokens that are broadcast at most; beyond it only the most common are (8 bytes each).
 WIDESPREAD_BOUND = 200_000
 #: Tokens that a task gathers before it counts them.
-GATHER = 3_000_000
+GATHER = 1_000_000
 
 _U = np.uint64
 
@@ -226,18 +226,55 @@ def _token_sets(shingle: int):
     return run
 
 
-def _reach(a: str, b: str, percent: int):
-    """Whether the tokens that two sets don't have for themselves suffice for a link."""
-    most = F.least(F.col(f"{a}.n") - F.col(f"{a}.alone"), F.col(f"{b}.n") - F.col(f"{b}.alone"))
-    return most * (100 + percent) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * percent
+def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int | None = None) -> DataFrame:
+    """centre, cid, their sizes and the number of tokens they have in common, of distinct pairs.
 
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b) of classes, those whose exact overlap suffices."""
-    left = sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    common = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(left, "a").join(right, "b").filter(common * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+    With a percentage also rest: so many of cid's first tokens outside the centre that
+    any partner which shares one outside the centre shares one of these.
+    """
+    left = sets.select(F.col("cid").alias("centre"), F.col("n").alias("centre_n"), F.col("tokens").alias("tc"))
+    joined = left.join(small(cut(pairs)), "centre").join(sets, "cid")
+    if percent is None:
+        return joined.select("centre", "cid", "centre_n", "n", F.size(F.array_intersect("tc", "tokens")).alias("common"))
+    counted = joined.select("centre", "cid", "centre_n", "n", F.array_except("tokens", "tc").alias("_outside")).withColumn("common", F.col("n") - F.size("_outside"))
+    needed = F.ceil(F.col("n") * percent / 100).cast("int") - F.col("common")
+    rest = F.slice("_outside", F.lit(1), F.greatest(F.size("_outside") - F.greatest(needed, F.lit(1)) + 1, F.lit(0)))
+    return counted.withColumn("rest", rest).drop("_outside")
+
+
+def _across(met: DataFrame, sets: DataFrame, reps: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one centre that the first components keep apart.
+
+    Members x and y with bx and by tokens of the centre have at most min(bx, by) + s
+    tokens in common, s of them outside the centre. Without any such token they can link
+    only if min(bx, by) alone suffices, which bounds y's size; these pairs are found by
+    size. All others share a token outside the centre; as x needs a known number of
+    tokens in all, some must be among its rest (see `_overlaps`), and these find them.
+    """
+    full = 100 + percent
+    placed = reps.join(first, F.col("rep") == F.col("node"), "left").select("cid", F.coalesce("component", "rep").alias("component"))
+    middle = placed.select(F.col("cid").alias("centre"), F.col("component").alias("centre_component"))
+    member = met.join(placed, "cid").join(middle, "centre").withColumn("out", F.col("component") != F.col("centre_component"))
+    groups = member.groupBy("centre").agg(F.count("*").alias("members"), F.count_if("out").alias("outside")).filter("members > 1 and outside > 0").select("centre")
+    member = cut(member.join(groups, "centre", "left_semi"))
+    sizes = member.groupBy("centre").agg(F.min("n").alias("least"))
+    # by size: y.n from the least that a partner of x may have to the most that bx alone allows
+    low = F.greatest(F.ceil(F.col("n") * percent / 100).cast("int"), F.col("least"))
+    high = F.floor(F.col("common") * full / percent).cast("int") - F.col("n")
+    ranged = member.filter("out").join(sizes, "centre").withColumn("low", low).withColumn("high", high).filter("low <= high")
+    ranged = ranged.select("centre", F.col("cid").alias("x"), F.col("component").alias("cx"), F.explode(F.sequence("low", "high")).alias("n"))
+    enough = F.col("common") * full >= (F.col("n") + F.col("xn")) * percent
+    by_size = ranged.join(met.select(F.col("cid").alias("x"), "centre", F.col("n").alias("xn")), ["centre", "x"]).join(member.select("centre", F.col("cid").alias("y"), F.col("component").alias("cy"), "n", "common"), ["centre", "n"])
+    by_size = by_size.filter((F.col("cx") != F.col("cy")) & enough).select("x", "y")
+    # by tokens outside the centre
+    others = member.select("centre", "cid", "component", "out", "n", "common", F.explode("rest").alias("token"))
+    x = others.filter("out").select("centre", "token", F.col("cid").alias("x"), F.col("component").alias("cx"), F.col("n").alias("xn"), F.col("common").alias("xb"))
+    y = others.select("centre", "token", F.col("cid").alias("y"), F.col("component").alias("cy"), F.col("n").alias("yn"), F.col("common").alias("yb"))
+    most = F.least("xb", "yb") + F.least(F.col("xn") - F.col("xb"), F.col("yn") - F.col("yb"))
+    by_token = x.join(y, ["centre", "token"]).filter((F.col("cx") != F.col("cy")) & (most * full >= (F.col("xn") + F.col("yn")) * percent)).select("x", "y")
+    pairs = by_size.union(by_token).select(F.least("x", "y").alias("centre"), F.greatest("x", "y").alias("cid")).distinct()
+    linked = F.col("common") * full >= (F.col("n") + F.col("centre_n")) * percent
+    return _overlaps(pairs, sets).filter(linked).select(F.col("centre").alias("a"), F.col("cid").alias("b"))
 
 
 def _widespread(counted: DataFrame, distinct: int) -> np.ndarray:
@@ -286,14 +323,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         sets.select("cid", "n").join(alone, "cid", "left").select("cid", "n", F.coalesce("alone", F.lit(0)).cast("int").alias("alone"))
         .filter((F.col("n") - F.col("alone")) * 100 >= F.col("n") * percent)
     )
-    sets = sets.join(facts.select("cid"), "cid", "left_semi")
-    scanned = cut(heavy.join(facts, "cid"))
-    centre = scanned.groupBy("token").agg(F.min(F.struct("alone", (-F.col("n")).alias("less"), "cid", "n")).alias("c"), F.count("*").alias("k")).filter("k > 1")
-    centre = centre.select("token", F.col("c.cid").alias("cid"), F.col("c.n").alias("n"), F.col("c.alone").alias("alone"))
-    pairs = (
-        scanned.alias("x").join(centre.alias("c"), "token").filter((F.col("x.cid") != F.col("c.cid")) & _reach("x", "c", percent))
-        .select(F.least("x.cid", "c.cid").alias("a"), F.greatest("x.cid", "c.cid").alias("b")).distinct()
-    )
+    sets = sets.join(small(facts.select("cid")), "cid", "left_semi")
+    scanned = heavy.join(facts, "cid")
+    # each list's centre: the set with the fewest tokens of its own; every member is compared with it
+    centre = scanned.groupBy("token").agg(F.min(F.struct("alone", (-F.col("n")).alias("less"), "cid")).alias("c"), F.count("*").alias("k")).filter("k > 1")
+    pairs = scanned.select("token", "cid").join(centre.select("token", F.col("c.cid").alias("centre")), "token").filter("cid <> centre").select("centre", "cid").distinct()
+    met = cut(_overlaps(pairs, sets, percent))
     reps = classes.filter("rep is not null").select("cid", "rep")
 
     def by_rep(links: DataFrame) -> DataFrame:
@@ -301,21 +336,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         half = links.join(reps.select(F.col("cid").alias("a"), F.col("rep").alias("ra")), "a")
         return half.join(reps.select(F.col("cid").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
-    first = components(by_rep(_verified(pairs, sets, percent).union(light_links)))
-    placed = reps.join(first, F.col("rep") == F.col("node"), "left").select("cid", F.coalesce("component", "rep").alias("component"))
-    # across the components that a list still spans
-    member = cut(scanned.join(placed, "cid"))
-    split = member.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-    spanning = member.join(split, "token")
-    middle = centre.select("token", F.col("cid").alias("c_cid")).join(placed.select(F.col("cid").alias("c_cid"), F.col("component").alias("c_component")), "c_cid")
-    spanning = spanning.join(middle, "token")
-    outside = spanning.filter("component <> c_component")
-    across = (
-        outside.alias("x").join(spanning.alias("y"), "token")
-        .filter((F.col("x.component") != F.col("y.component")) & (F.col("y.cid") != F.col("y.c_cid")) & _reach("x", "y", percent))
-        .select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
-    )
-    more = cut(by_rep(_verified(across, sets, percent)))
+    linked = F.col("common") * (100 + percent) >= (F.col("n") + F.col("centre_n")) * percent
+    first = components(by_rep(met.filter(linked).select(F.col("centre").alias("a"), F.col("cid").alias("b")).union(light_links)))
+    across = _across(met, sets, reps, first, percent)
+    more = cut(by_rep(across))
     if more.isEmpty():
         found = first
     else:
