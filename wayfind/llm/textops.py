@@ -1,7 +1,7 @@
 """Word and word-sequence hashing over Arrow text buffers, in numpy.
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Texts are read as
-UTF-8 buffers in slices of a few MB, so memory does not follow the batch size.
+UTF-8 buffers in slices of half a MB, so memory does not follow the batch size.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 _U = np.uint64
 _MULT = _U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64

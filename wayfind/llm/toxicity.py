@@ -298,17 +298,16 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
     if model is None:
         return docs
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def points(texts):
-        import pandas as pd
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = shared.value, _function_table()
-        out = []
-        for _, _, buf, offsets in text_slices(pa.array(texts, pa.large_string()), 200_000):
-            rows, first = features(buf, offsets)
-            out.append(own.logits(rows, first) - own.threshold[languages(rows, first, known)])
-        return pd.Series(np.concatenate(out) if out else np.zeros(0)).astype(float)
+        for batch in batches:
+            clean = []
+            for _, _, buf, offsets in text_slices(batch.column(at), 200_000):
+                rows, first = features(buf, offsets)
+                clean.append(own.logits(rows, first) < own.threshold[languages(rows, first, known)])
+            if clean:
+                yield batch.filter(pa.array(np.concatenate(clean)))
 
-    return docs.filter(points(F.col("text").cast("string")) < 0)
+    return docs.mapInArrow(run, docs.schema)
