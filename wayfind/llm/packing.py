@@ -1,8 +1,9 @@
 """Best-fit packing of tokenised documents into fixed-length sequences.
 
 Hierarchical residual packing: each partition tokenises its documents and packs the
-pieces best-fit into bins of its own; bins that are not nearly full are then merged
-as items, in a tree of groups of partitions, by further rounds of best fit.
+pieces best-fit into bins of its own. Bins that are nearly full are emitted; the others
+are opened and what they hold goes on as items to further rounds of best fit, in a tree
+of groups of partitions, until the last round emits all its bins.
 
 Ids are those of the public byte-level vocabulary (rank file of the same vocabulary,
 whose library is three times as fast; a test holds the two equal). A document longer
@@ -39,10 +40,10 @@ SLACK = 8
 FAN_IN = 16
 #: Pieces that a partition gathers before it packs them.
 BUFFER = 200_000
-#: Emptiest bins that a group hands on; the others stay as they are.
+#: Items that a partition or group hands on at most, from its emptiest bins; its other bins are emitted as they are.
 HANDED_ON = 4096
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long, open boolean"
 
 
 def encoder(path: str | None = None):
@@ -88,6 +89,15 @@ def best_fit(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np
     return where, place, np.asarray(bins.fill, np.int64)
 
 
+def opened(where: np.ndarray, fill: np.ndarray, length: int) -> np.ndarray:
+    """Whether each item's bin is opened: not nearly full, and among the emptiest that hold HANDED_ON items."""
+    items = np.bincount(where, minlength=len(fill))
+    order = np.argsort(fill, kind="stable")
+    go = np.zeros(len(fill), bool)
+    go[order] = np.cumsum(items[order]) <= HANDED_ON
+    return (go & (fill < length - SLACK))[where]
+
+
 def _tokenise_and_pack(path: str | None, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
@@ -101,11 +111,15 @@ def _tokenise_and_pack(path: str | None, length: int):
             doc, piece, start, size, crc = zip(*held, strict=True)
             sizes = np.asarray(size, np.int64)
             where, place, fill = best_fit(sizes, length)
+            loose = opened(where, fill, length)
+            number = used + where
+            number[loose] = used + len(fill) + np.arange(int(loose.sum()))
+            place[loose] = 0
             out = pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(sizes), pa.array(crc, pa.int64()), pa.array(where + (base + used)), pa.array(place)],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "place"],
+                [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(sizes), pa.array(crc, pa.int64()), pa.array(number + base), pa.array(place), pa.array(loose)],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "place", "open"],
             )
-            held, used = [], used + len(fill)
+            held, used = [], used + len(fill) + int(loose.sum())
             return out
 
         for batch in batches:
@@ -123,18 +137,17 @@ def _tokenise_and_pack(path: str | None, length: int):
     return run
 
 
-def _merge(length: int):
+def _merge(length: int, last: bool):
+    """One group's round: each item's bin and place in it, or open again."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, fill = pdf["bin"].to_numpy(), pdf["fill"].to_numpy()
-        order = np.lexsort((ids, -fill))
-        ids, fill = ids[order], fill[order]
-        where, place, total = best_fit(fill, length)
-        root = np.empty(len(total), np.int64)
-        root[where[::-1]] = ids[::-1]  # the first item of a bin names it
-        go_on = np.zeros(len(total), bool)
-        short = np.flatnonzero(total < length - SLACK)
-        go_on[short[np.argsort(total[short], kind="stable")[:HANDED_ON]]] = True
-        return pd.DataFrame({"bin": ids, "parent": root[where], "shift": place, "total": total[where], "go_on": go_on[where]})
+        pdf = pdf.sort_values("item", kind="stable")
+        items = pdf["item"].to_numpy()
+        where, place, fill = best_fit(pdf["length"].to_numpy(), length)
+        loose = np.zeros(len(items), bool) if last else opened(where, fill, length)
+        name = np.empty(len(fill), np.int64)
+        name[where[::-1]] = items[::-1]  # a bin is named by one of its items
+        return pd.DataFrame({"item": items, "length": pdf["length"].to_numpy(), "bin": name[where], "place": np.where(loose, 0, place), "open": loose})
 
     return run
 
@@ -143,26 +156,18 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH) -
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row a piece."""
     ids = F.col("doc_id").cast("long")
     local = cut(docs.select(ids.alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_tokenise_and_pack(vocabulary, length), PIECES))
-    underfull = local.groupBy("bin").agg(F.sum("length").alias("fill")).filter(F.col("fill") < length - SLACK)
-    moved = cut(underfull.select("bin", F.col("bin").alias("current"), F.lit(0).cast("long").alias("shift"), "fill", F.lit(True).alias("go_on")))
-    last = moved.agg(F.max(F.shiftright("bin", 32))).first()[0]
-    span = 1
-    while last is not None and span <= last:
+    items = local.filter("open").select(F.col("bin").alias("item"), "length")
+    last = items.agg(F.max(F.shiftright("item", 32))).first()[0]
+    settled, span = None, 1
+    while last is not None and (settled is None or span <= last):
         span *= FAN_IN
-        items = moved.filter("go_on and current = bin").select("bin", "fill", F.expr(f"shiftright(bin, 32) div {span}").alias("group"))
-        merged = items.groupBy("group").applyInPandas(_merge(length), "bin long, parent long, shift long, total long, go_on boolean")
-        step = merged.select(F.col("bin").alias("_bin"), "parent", F.col("shift").alias("_shift"), "total", F.col("go_on").alias("_go_on"))
-        kept = F.col("_bin").isNull()
-        moved = cut(moved.join(step, F.col("current") == F.col("_bin"), "left").select(
-            "bin",
-            F.coalesce("parent", "current").alias("current"),
-            (F.col("shift") + F.coalesce("_shift", F.lit(0))).alias("shift"),
-            F.coalesce("total", "fill").alias("fill"),
-            F.when(kept, False).otherwise(F.col("_go_on")).alias("go_on"),
-        ))
-    final = moved.select("bin", "current", "shift")
-    return local.join(final, "bin", "left").select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        F.coalesce("current", "bin").alias("sequence_id"),
-        (F.col("place") + F.coalesce("shift", F.lit(0))).alias("offset"),
+        group = F.expr(f"shiftright(item, 32) div {span}").alias("group")
+        merged = cut(items.withColumn("group", group).groupBy("group").applyInPandas(_merge(length, span > last), "item long, length long, bin long, place long, open boolean"))
+        done = merged.filter("not open").select("item", F.col("bin").alias("own_bin"), F.col("place").alias("own_place"))
+        settled = done if settled is None else settled.union(done)
+        items = merged.filter("open").select("item", "length")
+    if settled is None:
+        return local.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
+    return local.join(settled, local["bin"] == settled["item"], "left").select(
+        "doc_id", "piece", "start", local["length"], "ids_crc32", F.coalesce("own_bin", "bin").alias("sequence_id"), F.coalesce("own_place", "place").alias("offset")
     )
