@@ -30,6 +30,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ from wayfind.llm.textops import gram_hashes, mix, signed, text_slices, word_hash
 WINDOW = 20
 MINIMIZER = 8
 #: Windows that a task gathers before it tells equal paths apart.
-GATHER = 2_000_000
+GATHER = 1_000_000
 
 #: Bytes of an edge's hash that are dealt, beside the hash of its minimizer.
 EDGE_BYTES = 7
@@ -213,9 +214,9 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, small: int = MINIMIZER)
     )
 
 
-def kept_words(text: str | None, runs, window: int) -> tuple[list[bytes], int]:
+def kept_words(text: bytes, runs, window: int) -> tuple[list[bytes], int]:
     """The words that no repeated window covers, and how many there were."""
-    words = (text or "").encode().split()
+    words = text.split()
     if not runs:
         return words, len(words)
     change = np.zeros(len(words) + 1, np.int64)
@@ -226,26 +227,35 @@ def kept_words(text: str | None, runs, window: int) -> tuple[list[bytes], int]:
     return list(compress(words, keep.tolist())), len(words)
 
 
-def _with_runs(docs: DataFrame, window: int) -> DataFrame:
-    runs = repeated_runs(docs, window).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
-    return docs.join(runs, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as they cross the shuffle: compressed one by one, which holds less than the shuffle's own codec makes of them."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(t.as_buffer() or b"") if t.is_valid else None for t in batch.column(1)], pa.binary())], names=["doc_id", "packed"])
+
+
+def _runs_by_document(docs: DataFrame, window: int) -> DataFrame:
+    return repeated_runs(docs, window).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
 
 
 def dedup_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: one row a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             n_words, n_removed, digest = [], [], []
-            for text, runs in zip(batch.column(1), batch.column(2), strict=True):
-                kept, n = kept_words(text.as_py(), runs.as_py(), window)
+            for packed, runs in zip(batch.column(1), batch.column(2), strict=True):
+                kept, n = kept_words(unpack(packed.as_py()) if packed.is_valid else b"", runs.as_py(), window)
                 n_words.append(n)
                 n_removed.append(n - len(kept))
                 digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _with_runs(narrow, window).select("doc_id", "text", "_runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    runs = _runs_by_document(narrow, window)
+    packed = narrow.mapInArrow(_squeezed, "doc_id long, packed binary")
+    return packed.join(runs, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "packed", "_runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -254,16 +264,26 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A document of which no word is left goes; n_chars, if there, follows the new text.
     """
 
-    @F.pandas_udf("string")
-    def rest(text, runs):
-        import pandas as pd
+    names = docs.columns
+    at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
-        return pd.Series([t if r is None or not len(r) else b" ".join(kept_words(t, list(r), window)[0]).decode() for t, r in zip(text, runs, strict=True)])
-
-    joined = _with_runs(docs, window)
-    changed = F.col("_runs").isNotNull()
-    out = joined.withColumn("_rest", F.when(changed, rest("text", "_runs"))).filter(~changed | (F.length("_rest") > 0))
-    own = {"text": F.when(changed, F.col("_rest")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        own["n_chars"] = F.when(changed, F.length("_rest").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.select(*[own[c].alias(c) if c in own else F.col(c) for c in docs.columns])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, runs = batch.columns[:-1], batch.columns[-1]
+            texts, keep, size = columns[at].to_pylist(), np.ones(batch.num_rows, bool), None
+            changed = np.flatnonzero(runs.is_valid().to_numpy(zero_copy_only=False))
+            if chars is not None:
+                size = columns[chars].to_pylist()
+            for i in changed.tolist():
+                texts[i] = b" ".join(kept_words(texts[i].encode(), runs[i].as_py(), window)[0]).decode()
+                keep[i] = bool(texts[i])
+                if size is not None:
+                    size[i] = len(texts[i])
+            if len(changed):
+                columns[at] = pa.array(texts, columns[at].type)
+                if size is not None:
+                    columns[chars] = pa.array(size, columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
+
+    joined = docs.join(_runs_by_document(docs, window), F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    return joined.select(*names, "_runs").mapInArrow(run, docs.schema)
