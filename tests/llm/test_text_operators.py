@@ -215,6 +215,34 @@ def test_packing_merges_partitions_and_odd_rows(spark, odd):
     assert sorted(fill.tolist()) == [1000, 1024] and place.tolist() == [0, 0, 600, 600]
 
 
+def test_packing_hands_on_every_item_of_bins_that_are_not_nearly_full(spark):
+    for parts in (2, 3):  # the first partitions hold long pieces alone, the last short ones alone
+        words = F.when(F.col("id") < 6000 * (parts - 1), 39).otherwise(23)
+        docs = spark.range(0, 6000 * parts, 1, parts).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.repeat(F.lit(" word"), words - 1)).alias("text"))
+        for merge in (packing.MERGE, 500):
+            rows = packing.pack(docs, length=64, merge=merge).collect()
+            bins = {}
+            for r in rows:
+                bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+            assert len(rows) == docs.count() == len({r.doc_id for r in rows})
+            assert all(at == sum(size for _, size in sorted(b)[:k]) and at + n <= 64 for b in bins.values() for k, (at, n) in enumerate(sorted(b)))
+            assert len(bins) == sum(r.length == 40 for r in rows)
+
+
+def test_packing_counts_like_items():
+    rng = np.random.default_rng(1)
+    for length in (10, 64, 1024):
+        sizes = rng.integers(1, length + 1, 3000) if length > 10 else rng.integers(1, 4, 3000)
+        counts = {int(s): int(n) for s, n in zip(*np.unique(sizes, return_counts=True), strict=True)}
+        plan, fill = packing.fit_counts(counts, length), {}
+        for (size, at, first, each, place), end in zip(plan.tolist(), [*plan[1:, 1].tolist(), 0], strict=True):
+            for k in range((end or counts[size]) - at):
+                bin_, row = first + k // each, k % each
+                assert fill.get(bin_, 0) == place + row * size
+                fill[bin_] = fill.get(bin_, 0) + size
+        assert sorted(fill.values()) == sorted(packing.best_fit(sizes, length)[2].tolist())
+
+
 def test_coefficients_survive_the_file():
     rng = np.random.default_rng(0)
     wide, high = np.array([3, 1, 7]), np.array([2, 1, 5])

@@ -1,9 +1,12 @@
 """Best-fit packing of tokenised documents into fixed-length sequences.
 
 Hierarchical residual packing: each partition tokenises its documents and packs the
-pieces best-fit into bins of its own. Bins that are nearly full are emitted; the others
+pieces best-fit into bins of its own. Bins that are nearly full are emitted; all others
 are opened and what they hold goes on as items to further rounds of best fit, in a tree
-of groups of partitions, until the last round emits all its bins.
+of groups of partitions. A group of more than MERGE items is split by hash into subgroups
+of about that many; what they leave meets in later rounds. What the top of the tree
+leaves, however much, is packed by one best fit over all of it: the fit is reckoned on
+counts by length, and each item finds its bin by its number among those of its length.
 
 Ids are those of the public byte-level vocabulary (rank file of the same vocabulary,
 whose library is three times as fast; a test holds the two equal). A document longer
@@ -25,10 +28,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import cut
+from wayfind.llm.common import cut, small
 
 LENGTH = 1024
 END_ID = 2
@@ -40,8 +43,8 @@ SLACK = 8
 FAN_IN = 16
 #: Pieces that a partition gathers before it packs them.
 BUFFER = 200_000
-#: Items that a partition or group hands on at most, from its emptiest bins; its other bins are emitted as they are.
-HANDED_ON = 4096
+#: Items that one merge packs; a group of more is split.
+MERGE = 50_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long, open boolean"
 
@@ -90,12 +93,33 @@ def best_fit(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def opened(where: np.ndarray, fill: np.ndarray, length: int) -> np.ndarray:
-    """Whether each item's bin is opened: not nearly full, and among the emptiest that hold HANDED_ON items."""
-    items = np.bincount(where, minlength=len(fill))
-    order = np.argsort(fill, kind="stable")
-    go = np.zeros(len(fill), bool)
-    go[order] = np.cumsum(items[order]) <= HANDED_ON
-    return (go & (fill < length - SLACK))[where]
+    """Whether each item's bin is opened: not nearly full."""
+    return (fill < length - SLACK)[where]
+
+
+def fit_counts(counts: dict[int, int], length: int) -> np.ndarray:
+    """Best fit, largest first, of so many items of each length: rows of (length, number of the first item, first bin, items a bin, place of the first)."""
+    free: list[list[tuple[int, int]]] = [[] for _ in range(length + 1)]  # ranges of equal bins: first, how many
+    rows, bins = [], 0
+    for size in sorted(counts, reverse=True):
+        done, room = 0, size
+        while done < counts[size]:
+            while room < length and not free[room]:
+                room += 1
+            each = room // size
+            if free[room]:
+                first, many = free[room].pop()
+            else:
+                first, many = bins, -(-(counts[size] - done) // each)
+                bins += many
+            here = min(many * each, counts[size] - done)
+            rows.append((size, done, first, each, length - room))
+            done += here
+            full, part = divmod(here, each)
+            for start, n, left in ((first, full, room - each * size), (first + full, int(part > 0), room - part * size), (first + full + (part > 0), many - full - (part > 0), room)):
+                if n and left:
+                    free[left].append((start, n))
+    return np.array(rows, np.int64).reshape(-1, 5)
 
 
 def _tokenise_and_pack(path: str | None, length: int):
@@ -137,14 +161,14 @@ def _tokenise_and_pack(path: str | None, length: int):
     return run
 
 
-def _merge(length: int, last: bool):
+def _merge(length: int):
     """One group's round: each item's bin and place in it, or open again."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("item", kind="stable")
         items = pdf["item"].to_numpy()
         where, place, fill = best_fit(pdf["length"].to_numpy(), length)
-        loose = np.zeros(len(items), bool) if last else opened(where, fill, length)
+        loose = opened(where, fill, length)
         name = np.empty(len(fill), np.int64)
         name[where[::-1]] = items[::-1]  # a bin is named by one of its items
         return pd.DataFrame({"item": items, "length": pdf["length"].to_numpy(), "bin": name[where], "place": np.where(loose, 0, place), "open": loose})
@@ -152,22 +176,63 @@ def _merge(length: int, last: bool):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH) -> DataFrame:
+def _number(length: int):
+    """Each item's partition and its number there among the items of its length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
+        for batch in batches:
+            sizes = batch.column(1).to_numpy()
+            order = np.argsort(sizes, kind="stable")
+            counts = np.bincount(sizes, minlength=length + 1)
+            number = np.empty(len(sizes), np.int64)
+            number[order] = np.arange(len(sizes)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(seen, counts)
+            seen += counts
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(len(sizes), part)), pa.array(number)], names=["item", "length", "part", "number"])
+
+    return run
+
+
+def _settle(items: DataFrame, length: int, base: int) -> DataFrame:
+    """item, own_bin, own_place: best fit over all items at once, into bins from base on."""
+    numbered = cut(items.mapInArrow(_number(length), "item long, length long, part long, number long"))
+    counts = cut(numbered.groupBy("length", "part").agg(F.count("*").alias("n")))
+    before = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
+    plan = fit_counts({r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}, length)  # one row a length
+    shared = items.sparkSession.sparkContext.broadcast(plan)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = shared.value
+        keys = -plan[:, 0] << 48 | plan[:, 1]
+        for batch in batches:
+            sizes, number = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            _, first_item, first_bin, each, place = plan[np.searchsorted(keys, -sizes << 48 | number, side="right") - 1].T
+            nth, row = np.divmod(number - first_item, each)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base + first_bin + nth), pa.array(place + row * sizes)], names=["item", "own_bin", "own_place"])
+
+    placed = numbered.join(small(cut(before)), ["length", "part"]).select("item", "length", (F.col("number") + F.col("before")).alias("number"))
+    return cut(placed.mapInArrow(run, "item long, own_bin long, own_place long"))
+
+
+def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, merge: int = MERGE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row a piece."""
     ids = F.col("doc_id").cast("long")
     local = cut(docs.select(ids.alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_tokenise_and_pack(vocabulary, length), PIECES))
     items = local.filter("open").select(F.col("bin").alias("item"), "length")
-    last = items.agg(F.max(F.shiftright("item", 32))).first()[0]
+    last = local.agg(F.max(F.shiftright("bin", 32))).first()[0]
     settled, span = None, 1
     while last is not None and (settled is None or span <= last):
         span *= FAN_IN
-        group = F.expr(f"shiftright(item, 32) div {span}").alias("group")
-        merged = cut(items.withColumn("group", group).groupBy("group").applyInPandas(_merge(length, span > last), "item long, length long, bin long, place long, open boolean"))
+        grouped = items.withColumn("group", F.expr(f"shiftright(item, 32) div {span}"))
+        split = cut(grouped.groupBy("group").agg(F.ceil(F.count("*") / merge).alias("split")))
+        salted = grouped.join(small(split), "group").withColumn("salt", F.pmod(F.xxhash64(F.lit(span), "item"), F.col("split")))
+        merged = cut(salted.select("item", "length", "group", "salt").groupBy("group", "salt").applyInPandas(_merge(length), "item long, length long, bin long, place long, open boolean"))
         done = merged.filter("not open").select("item", F.col("bin").alias("own_bin"), F.col("place").alias("own_place"))
         settled = done if settled is None else settled.union(done)
         items = merged.filter("open").select("item", "length")
     if settled is None:
         return local.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
+    settled = settled.union(_settle(items, length, last + 1 << 32))
     return local.join(settled, local["bin"] == settled["item"], "left").select(
         "doc_id", "piece", "start", local["length"], "ids_crc32", F.coalesce("own_bin", "bin").alias("sequence_id"), F.coalesce("own_place", "place").alias("offset")
     )
