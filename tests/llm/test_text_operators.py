@@ -311,6 +311,18 @@ def test_quality(spark, odd):
     assert quality.classify(odd.limit(0), truth, F.col("source"), F.col("lang")).count() == 0
 
 
+def test_quality_counts_every_label(spark):
+    docs = spark.createDataFrame([(i, "plain prose", "en", f"s{i}") for i in range(40)], "doc_id long, text string, lang string, source string")
+    truth = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    sites = quality.posteriors(docs.select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path")), truth).collect()
+    assert {r.host for r in sites} == {f"s{i}" for i in range(40)} and {round(r.overall, 9) for r in sites} == {0.5}
+    got = {r.doc_id: r for r in quality.classify(docs, truth, F.col("source"), F.col("lang")).collect()}
+    assert not any(r.held_out for r in got.values()) and all((r.site_rate > 0.5) == (i % 2 == 1) for i, r in got.items())
+    measured = quality.classify(docs, truth, F.col("source"), F.col("lang"), hold_out=True).collect()
+    held = {i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert held and {r.doc_id for r in measured if r.held_out} == held
+
+
 def test_licences(spark):
     files = [
         (1, "r/LICENSE", "Released under the MIT License."), (2, "r/a/b/x.py", "code\ncode"), (3, "r/a/LICENSE", "Licensed under the Apache License, Version 2.0."),

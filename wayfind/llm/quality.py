@@ -7,8 +7,9 @@ host's, with strengths that follow from how much the groups differ beyond chance
 document's log-odds are the model's plus what its path's rate says beyond the overall.
 
 The model alone is fitted on a bounded sample (ROWS of each class, texts up to LONGEST
-characters); counts, posteriors and scores cover all rows. Rows whose crc32(doc_id) is
-0 modulo 5 give neither labels nor counts, so they can measure the result.
+characters); counts, posteriors, the overall rate and scores cover all rows. To measure
+the result, classify(..., hold_out=True) leaves the labels of the rows with crc32(doc_id)
+0 modulo 5 out of the model and the counts and marks those rows; it is off by default.
 
 Defined results: a null text is scored as an empty one; null hosts and paths are groups
 of their own; a null doc_id is scored and has no label; repeated rows count as often as
@@ -82,7 +83,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _usable(labels: DataFrame) -> DataFrame:
-    good = labels.filter("doc_id is not null and quality in (0, 1)").filter(~held_out(F.col("doc_id")))
+    good = labels.filter("doc_id is not null and quality in (0, 1)")
     return good.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("long").alias("good"))
 
 
@@ -134,8 +135,10 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.select("host", "path", "host_rate", "overall", ((F.col("k") + F.col("s2") * F.col("host_rate")) / (F.col("n") + F.col("s2"))).alias("path_rate"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, hold_out: bool = False) -> DataFrame:
     """doc_id, held_out, evidence, site_rate, score, keep: one row a document."""
+    held = held_out(F.col("doc_id")) if hold_out else F.lit(False)
+    labels = labels.filter(~held)
     placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), "text")
     sites = posteriors(placed, labels)
     overall = _usable(labels).agg(((F.sum("good") + 1) / (F.count("*") + 2)).alias("rate")).select(F.coalesce("rate", F.lit(0.5)).alias("_overall"))
@@ -146,4 +149,4 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) ->
     scored = scored.join(by_host, F.col("host").eqNullSafe(F.col("_h2")), "left").crossJoin(F.broadcast(overall))  # one row
     rate = F.coalesce("path_rate", "host_rate", "_overall")
     score = 1 / (1 + F.exp(-(F.col("evidence") + F.log(rate / (1 - rate)))))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "evidence", rate.alias("site_rate"), score.alias("score"), (score >= 0.5).alias("keep"))
+    return scored.select("doc_id", held.alias("held_out"), "evidence", rate.alias("site_rate"), score.alias("score"), (score >= 0.5).alias("keep"))
