@@ -333,3 +333,17 @@ def test_licences(spark):
     assert len(rows) == 9
     assert got == {1: ("MIT", "header", None), 2: ("Apache-2.0", "inherited", "r/a"), 3: ("Apache-2.0", "header", None), 4: ("GPL-3.0", "header", None), 5: (None, "none", None), 6: (None, "none", None), 7: ("MIT", "inherited", "r"), 8: (None, "none", None)}
     assert license_scan.scan(spark.createDataFrame([], "file_id long, path string, text string")).count() == 0
+
+
+def test_licences_of_whole_files_blocks_and_spdx_forms(spark):
+    full = dict(license_scan.all_templates()[:9])
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n"
+    code = "import os\nfor name in os.listdir(home):\n    print(name)\n" * 40
+    files = [(f"{name}/7", "Copyright (c) 2020 Some Body\n\n" + text, name) for name, text in full.items()]
+    files += [(f"{name}/src/main.c", code, name) for name in full]
+    files += [("own/a.py", gpl + code, "GPL-3.0"), ("own/b.py", "# SPDX-License-Identifier: MIT\n" + code, "MIT"), ("own/c.rs", "// SPDX-License-Identifier: Apache-2.0\r\n" + code, "Apache-2.0"), ("own/d.c", "/* SPDX-License-Identifier: GPL-2.0-only */\n" + code, "GPL-2.0")]
+    files += [("own/e.py", "# " + full["MIT"].replace("\n", "\n# ") + "\n\n" + code, "MIT"), ("own/f.py", code, None), ("own/g.py", "# SPDX-License-Identifier: Zlib\n" + code, None), ("own/h.txt", "The weekend show is free and open to the public, who may use any seat.", None)]
+    files += [("named/COPYING", gpl + "and so on, " * 400, "GPL-3.0"), ("named/x.py", code, "GPL-3.0")]
+    rows = [(i, path, text) for i, (path, text, _) in enumerate(files)]
+    got = {r.path: r.license for r in license_scan.scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert got == {path: name for path, _, name in files}
