@@ -6,20 +6,25 @@ Two sets of a and b shingles link when 100 * common >= percent * united, which i
 * light sets (up to a boundary that a cost count over the size histogram chooses)
   enumerate their subsets of every size that a partner can require; sets that share
   such a subset link, so the smallest set of each subset is a star's centre;
-* heavy sets enter inverted lists with their first tokens, in an order that puts
-  widespread tokens last: as many that any partner must share a known number of them.
-  Lists are scanned for entries with company; sets with fewer such entries than that
-  number go, then sets with too many tokens of their own to reach the threshold; what
-  remains is compared, by exact overlap, first with one centre a list and then, where
-  a list still spans several components, across these components.
+* heavy sets are found by scanning inverted lists twice. First lists of single tokens:
+  each set enters those of its first tokens, so many that any partner must share a known
+  number of them, and sets with less company than that go. Then, for the sets that are
+  left, lists of token groups (see `group_keys`): tokens are dealt into so many groups
+  that two linked sets have a group in common that is not empty and equal as a whole,
+  which sets that merely share a passage seldom have. Each list is compared, by exact
+  overlap, with one centre, and only what this leaves in several components is compared
+  further: with a second centre, then pair by pair (see `_across`), which is exact.
 
 Equal sets are one class from the start and are never expanded into pairs. Only
 connectivity between classes is sought, so members of one component are not compared.
+A task tells the company that it meets itself, so a token in a third of all sets sends
+two rows a task to its list. Several jobs run while the plan is built (each `cut`).
 
 Defined results: a null or wordless text has an empty set, no link and itself as its
 component; a null doc_id takes the component of its equal sets, else null; repeated
-rows each get the same row; an empty table gives an empty result; extra columns are
-ignored.
+rows each get the same row, and rows that share a doc_id are one node; an empty table
+gives an empty result; extra columns, whatever their names, are ignored by
+`near_duplicates` and passed through by `keep_one`.
 """
 
 from __future__ import annotations
@@ -30,26 +35,26 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import cut, shuffle_partitions, small
+from wayfind.llm.common import cut, fresh, packed_texts, release, shuffle_partitions, unpacked
 from wayfind.llm.components import components
 from wayfind.llm.textops import LOWER, gram_hashes, mix, signed, text_slices, word_hashes, words_of
 
 SHINGLE = 5
 PERCENT = 75
-#: Boundaries between light and heavy sets among which the cost count chooses.
-BOUNDARIES = range(4, 11)
+#: Boundaries between light and heavy sets among which the cost count chooses (a set of five has six subsets of four or more).
+BOUNDARIES = range(4, 17)
 #: What scanning and checking one entry of an inverted list costs, in subsets.
 SCAN_COST = 8
 #: Beyond the tokens of which a partner must share one, this share of a set enters the lists too.
 MORE = 0.1
-#: A token in this share of the distinct sets is widespread and comes last in the order.
-WIDESPREAD = 0.001
-#: Widespread tokens that are broadcast at most; beyond it only the most common are (8 bytes each).
-WIDESPREAD_BOUND = 200_000
-#: Tokens that a task gathers before it counts them.
+#: Tokens a group of the largest sets that are dealt alike; smaller groups are dealt where these do not suffice.
+GROUP = 2.5
+#: The share of its size in lists of token groups that a set may leave.
+SPARE = 0.05
+#: Entries that a task gathers before it tells company, and classes that it remembers.
 GATHER = 1_000_000
 
 _U = np.uint64
@@ -81,39 +86,14 @@ def _batch(names: str, *columns) -> pa.RecordBatch:
 
 
 def _keys(shingle: int):
-    """Per document its set's size and key; per task the tokens that many sets in it have."""
+    """Per document its set's size and key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = "doc_id n cid cid2 token seen"
-        gathered: list[np.ndarray] = []
-        met: set[int] = set()
-        held = 0
-
-        def common():
-            if not gathered:
-                return None
-            tokens, seen = np.unique(np.concatenate(gathered), return_counts=True)
-            much = seen >= max(4, WIDESPREAD * len(met))
-            k = int(much.sum())
-            none = pa.nulls(k, pa.int64())
-            return _batch(names, none, pa.nulls(k, pa.int32()), none, none, signed(tokens[much]), seen[much].astype(np.int64))
-
         for batch in batches:
             for lo, hi, buf, offsets in text_slices(batch.column(1)):
                 sets = shingle_sets(buf, offsets, shingle)
-                keys = [set_key(s) for s in sets]
-                k = hi - lo
-                yield _batch(names, batch.column(0).slice(lo, k), np.array([len(s) for s in sets], np.int32), np.array([a for a, _ in keys], np.int64), np.array([b for _, b in keys], np.int64), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()))
-                for s, (a, _) in zip(sets, keys, strict=True):
-                    if a not in met:
-                        met.add(a)
-                        gathered.append(s)
-                        held += len(s)
-                if held >= GATHER:
-                    yield common()
-                    gathered, met, held = [], set(), 0
-        if (last := common()) is not None:
-            yield last
+                keys = np.array([set_key(s) for s in sets], np.int64).reshape(-1, 2)
+                yield _batch("doc_id n cid cid2", batch.column(0).slice(lo, hi - lo), np.array([len(s) for s in sets], np.int32), keys[:, 0], keys[:, 1])
 
     return run
 
@@ -154,196 +134,439 @@ def light_boundary(histogram: dict[int, int], percent: int) -> int:
     return min(BOUNDARIES, key=lambda x: (cost(x), x))
 
 
-def _entries(shingle: int, percent: int, boundary: int, late):
-    """List entries of each set: its first tokens with its size, and subsets with -(64 * their size + its size)."""
+#: Rows of the first scan by size: n > 0, an entry of a heavy set (a its class; b 1 if its company is told
+#: already); below 0, a light set's subset of -size tokens (a its n, b its class); LINK, two linked light
+#: classes; TOLD, company that a task has told (a the class, b 2**32 times its size plus the number of entries).
+ROWS = "token size a b"
+TOLD, LINK = 0, -(1 << 20)
+
+
+def _tell_heavy(token: np.ndarray, cid: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Entries of distinct classes: those alone in their list are dealt, the others counted, and two of each list dealt."""
+    order = np.argsort(token, kind="stable")
+    same = token[order[1:]] == token[order[:-1]]
+    after, before = np.append(same, False), np.append(False, same)
+    second = before & ~np.append(False, before[:-1])
+    company = np.empty(len(order), bool)
+    company[order] = after | before
+    dealt = np.sort(order[~(after | before) | ~before | second])  # class by class, which compresses better
+    yield _batch(ROWS, token[dealt], n[dealt], cid[dealt], company[dealt].astype(np.int64))
+    if company.any():
+        told, at, count = np.unique(cid[company], return_index=True, return_counts=True)
+        yield _batch(ROWS, told, np.full(len(told), TOLD, np.int32), told, (n[company][at].astype(np.int64) << 32) + count)
+
+
+def _tell_light(token: np.ndarray, cid: np.ndarray, n: np.ndarray, size: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """Subsets: sets that link with the smallest owner do so at once, the owner and all others are dealt."""
+    order = np.lexsort((cid, n, token))
+    token, cid, n, size = token[order], cid[order], n[order], size[order]
+    first = np.append(True, token[1:] != token[:-1])
+    lead = np.maximum.accumulate(np.where(first, np.arange(len(token)), 0))
+    linked = ~first & (size * (100 + percent) >= (n + n[lead]) * percent)
+    yield _batch(ROWS, token[~linked], -size[~linked], n[~linked].astype(np.int64), cid[~linked])
+    linked &= cid != cid[lead]
+    if linked.any():
+        yield _batch(ROWS, cid[linked], np.full(int(linked.sum()), LINK, np.int32), cid[lead][linked], cid[linked])
+
+
+def _entries(shingle: int, percent: int, boundary: int):
+    """Each class's list entries and subsets, once a task (or so)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        widespread = late.value
+        met: set[int] = set()
+        heavy: list[tuple] = []
+        light: list[tuple] = []
+        held = 0
+
+        def tell():
+            if heavy:
+                yield from _tell_heavy(*map(np.concatenate, zip(*heavy, strict=True)))
+            if light:
+                yield from _tell_light(*map(np.concatenate, zip(*light, strict=True)), percent)
+
         for batch in batches:
             for _, _, buf, offsets in text_slices(batch.column(0)):
-                token, cid, size = [], [], []
                 for s in shingle_sets(buf, offsets, shingle):
                     n = len(s)
-                    if not n:
+                    if not n or (key := set_key(s)[0]) in met:
                         continue
-                    key = set_key(s)[0]
+                    met.add(key)
                     if n <= boundary * 100 // percent:
                         found = subset_keys(s, percent)
-                        token.append(np.array([k for k, _ in found], np.int64))
-                        cid.append(np.full(len(found), key, np.int64))
-                        size.append(np.array([-(64 * c + n) for _, c in found], np.int32))
+                        light.append((np.array([k for k, _ in found], np.int64), np.full(len(found), key, np.int64), np.full(len(found), n, np.int32), np.array([c for _, c in found], np.int32)))
+                        held += len(found)
                     if n > boundary:
                         p = entries_of(n, percent)
-                        if len(widespread):
-                            at = np.minimum(np.searchsorted(widespread, s), len(widespread) - 1)
-                            is_late = widespread[at] == s
-                            s = np.concatenate([s[~is_late], s[is_late]])
-                        token.append(signed(s[:p]))
-                        cid.append(np.full(p, key, np.int64))
-                        size.append(np.full(p, n, np.int32))
-                if token:
-                    yield _batch("token cid size", np.concatenate(token), np.concatenate(cid), np.concatenate(size))
+                        heavy.append((signed(s[:p] >> _U(16)), np.full(p, key, np.int64), np.full(p, n, np.int32)))  # 48 bits will do: equal ones of unequal tokens only tell too much company
+                        held += p
+                if held >= GATHER:
+                    yield from tell()
+                    heavy, light, held = [], [], 0
+                    if len(met) >= GATHER:
+                        met = set()
+        yield from tell()
 
     return run
 
 
-def _with_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by token and set, those of lists with two sets or more, each once."""
-    held = None  # the last entry, and whether its list already has another set
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        before = False
-        if held is not None:
-            columns = [np.concatenate([h, c]) for h, c in zip(held[0], columns, strict=True)]
-            before = held[1]
-        new = np.ones(len(columns[0]), bool)
-        new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
-        columns = [c[new] for c in columns]
-        token = columns[0]
-        same = token[1:] == token[:-1]
-        company = np.zeros(len(token), bool)
-        company[1:] |= same
-        company[:-1] |= same
-        company[0] |= before
-        held = ([c[-1:] for c in columns], bool(company[-1]))
-        if company[:-1].any():
-            yield _batch("token cid size", *[c[:-1][company[:-1]] for c in columns])
-    if held is not None and held[1]:
-        yield _batch("token cid size", *held[0])
+def _scan(percent: int):
+    """Of rows sorted by all their columns: cid, n, entries with company; and links of light classes (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = "cid n entries a b"
+        last = None  # of heavy entries: the last one (token, n, class, told), and whether its list has another class
+        owner = None  # of subsets: the last token and its owner's size and class
+
+        def counted(cid, n, entries):
+            none = pa.nulls(len(cid), pa.int64())
+            return _batch(names, cid, n, entries, none, none)
+
+        def links(a, b):
+            none = pa.nulls(len(a), pa.int64())
+            return _batch(names, none, pa.nulls(len(a), pa.int32()), none, a, b)
+
+        def summed(cid, n):
+            own, at, count = np.unique(cid, return_index=True, return_counts=True)
+            return counted(own, n[at], count.astype(np.int64))
+
+        for batch in batches:
+            token, size, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            told = size == TOLD
+            if told.any():
+                yield counted(a[told], (b[told] >> 32).astype(np.int32), b[told] & 0xFFFFFFFF)
+            done = size == LINK
+            if done.any():
+                yield links(a[done], b[done])
+            mine = (size < 0) & ~done
+            if mine.any():
+                t, c, n, cid = token[mine], -size[mine].astype(np.int64), a[mine], b[mine]
+                first = np.append(True, t[1:] != t[:-1])
+                lead = np.maximum.accumulate(np.where(first, np.arange(len(t)), 0))
+                n0, cid0 = n[lead], cid[lead]
+                if owner is not None and owner[0] == t[0]:
+                    n0[lead == 0], cid0[lead == 0] = owner[1:]
+                owner = (t[-1], n0[-1], cid0[-1])
+                linked = (c * (100 + percent) >= (n + n0) * percent) & (cid != cid0)
+                if linked.any():
+                    yield links(cid0[linked], cid[linked])
+            mine = size > 0
+            if mine.any():
+                columns, before = [token[mine], size[mine], a[mine], b[mine]], False
+                if last is not None:
+                    columns = [np.concatenate([h, c]) for h, c in zip(last[0], columns, strict=True)]
+                    before = last[1]
+                t, n, cid, known = columns
+                new = np.append(True, (t[1:] != t[:-1]) | (cid[1:] != cid[:-1]) | (n[1:] != n[:-1]))
+                t, n, cid, known = t[new], n[new], cid[new], known[new]
+                same = t[1:] == t[:-1]
+                company = np.append(same, False) | np.append(False, same)
+                company[0] |= before
+                last = ([t[-1:], n[-1:], cid[-1:], known[-1:]], bool(company[-1]))
+                company[-1] = False
+                company &= known == 0
+                if company.any():
+                    yield summed(cid[company], n[company])
+        if last is not None and last[1] and not last[0][3][0]:
+            yield summed(last[0][2], last[0][1])
+
+    return run
+
+
+def token_groups(tokens: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Keys of the token groups of a set, by which it meets any partner, once for partners of its own class of sizes or the next, once for the class before.
+
+    Sizes fall into classes so that partners are of one or of adjacent classes, and each
+    two adjacent classes deal tokens by hash into the same number m of groups. Linked sets
+    differ in at most D = (a + b) * (100 - percent) / (100 + percent) tokens, so at most D
+    of the groups differ. A set that fills f > D groups has f - D of them in common with
+    any partner, and one of any D + 1: the first in an order by falling size will do.
+    A set that fills too few is dealt again into twice as many groups, and so on; of a pair,
+    both are as long as neither fills enough. Returned are the keys from such dealings,
+    those of the last one in order, and D.
+    """
+    n = len(tokens)
+    low = [1]
+    while low[-1] <= n:
+        low.append(low[-1] * 100 // percent + 1)
+    own = len(low) - 2
+    hashed = mix(tokens ^ _U(0x2545F4914F6CDD1D))
+    out = []
+    for k in (own, own - 1) if own else (own,):
+        end = low[k + 1] * 100 // percent + 1  # of the sizes of both classes
+        partner = min(end - 1, n * 100 // percent) if k == own else low[own] - 1
+        differ = (n + partner) * (100 - percent) // (100 + percent)
+        m, before = max(1, int(end / GROUP)), []
+        while True:
+            group = (hashed >> _U(33)) % _U(m)
+            order = np.argsort(group, kind="stable")
+            filled, at = np.unique(group[order], return_index=True)
+            salt = mix(np.array([m * 64 + k], np.uint64))
+            keys = mix(np.add.reduceat(hashed[order], at) + mix(filled + salt))
+            if len(keys) > differ:
+                break
+            before.append(keys)
+            m *= 2
+        size = np.diff(np.append(at, n))
+        out.append((np.concatenate(before) if before else keys[:0], keys[np.lexsort((keys, -size))], differ))
+    return out
 
 
 def _token_sets(shingle: int):
+    """Of rows (id, cid, rank, packed text): each id's set, if it is that of the class."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offsets in text_slices(batch.column(1)):
+            raw = pa.array([unpacked(v) for v in batch.column(3)], pa.large_binary())
+            for lo, hi, buf, offsets in text_slices(raw):
                 sets = shingle_sets(buf, offsets, shingle)
+                keys = np.array([set_key(s)[0] for s in sets], np.int64)
+                right = np.flatnonzero(keys == batch.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False))
+                if not len(right):
+                    continue
+                sets, at = [sets[i] for i in right.tolist()], pa.array(right + lo)
                 edges = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(signed(np.concatenate(sets))))
-                yield _batch("cid n tokens wanted", np.array([set_key(s)[0] for s in sets], np.int64), np.diff(edges), lists, batch.column(0).slice(lo, hi - lo))
+                yield _batch("id n rank tokens", batch.column(0).take(at), np.diff(edges), batch.column(2).take(at), lists)
 
     return run
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int | None = None) -> DataFrame:
-    """centre, cid, their sizes and the number of tokens they have in common, of distinct pairs.
+def _listed(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
+    flat, edges = batch.column(column).values.to_numpy(zero_copy_only=False).view(np.uint64), batch.column(column).offsets.to_numpy()
+    return (flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+
+
+def _whole_groups(percent: int):
+    """Of rows (id, tokens): every token group as key, id and tag: twice the groups in common with any partner, plus which classes it is for."""
 
-    With a percentage also rest: so many of cid's first tokens outside the centre that
-    any partner which shares one outside the centre shares one of these.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ids, tags = [], [], []
+            for key, tokens in zip(batch.column(0).to_pylist(), _listed(batch, 1), strict=True):
+                for slot, (before, last, differ) in enumerate(token_groups(tokens, percent)):
+                    keys += [before, last]
+                    ids.append(np.full(len(before) + len(last), key, np.int64))
+                    tags.append(np.full(len(before) + len(last), 2 * (0 if len(before) else len(last) - differ) + slot, np.int32))
+            if keys:
+                yield _batch("key id tag", signed(np.concatenate(keys)), np.concatenate(ids), np.concatenate(tags))
+
+    return run
+
+
+def _company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and id: id, tag and how many of them share their key with another id."""
+    last, before = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if last is not None:
+            columns = [np.concatenate([h, c]) for h, c in zip(last, columns, strict=True)]
+        key, ids, tag = columns
+        same = key[1:] == key[:-1]
+        other = same & (ids[1:] != ids[:-1])
+        company = np.append(other, False) | np.append(False, other)
+        company[0] |= before
+        last, before = [c[-1:] for c in columns], bool(company[-1])
+        company[-1] = False
+        if company.any():
+            pairs, count = np.unique(np.stack([ids[company], tag[company].astype(np.int64)], axis=1), axis=0, return_counts=True)
+            yield _batch("id tag shared", pairs[:, 0].copy(), pairs[:, 1].astype(np.int32), count.astype(np.int64))
+    if last is not None and before:
+        yield _batch("id tag shared", last[1], last[2], np.ones(1, np.int64))
+
+
+def spare_lists(n: int) -> int:
+    """The lists of token groups that a set of n may leave: linked sets share twice as many, and one more."""
+    return int(n * SPARE)
+
+
+def first_groups(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Keys of so many token groups that any partner shares more of them than both sets may leave, and how many this one may.
+
+    A set that has too few groups for that gives all it has and leaves none.
     """
-    left = sets.select(F.col("cid").alias("centre"), F.col("n").alias("centre_n"), F.col("tokens").alias("tc"))
-    joined = left.join(small(cut(pairs)), "centre").join(sets, "cid")
-    if percent is None:
-        return joined.select("centre", "cid", "centre_n", "n", F.size(F.array_intersect("tc", "tokens")).alias("common"))
-    counted = joined.select("centre", "cid", "centre_n", "n", F.array_except("tokens", "tc").alias("_outside")).withColumn("common", F.col("n") - F.size("_outside"))
-    needed = F.ceil(F.col("n") * percent / 100).cast("int") - F.col("common")
-    rest = F.slice("_outside", F.lit(1), F.greatest(F.size("_outside") - F.greatest(needed, F.lit(1)) + 1, F.lit(0)))
-    return counted.withColumn("rest", rest).drop("_outside")
+    keys, n = [], len(tokens)
+    spare, more = spare_lists(least_overlap(n, percent)), 1 + 2 * spare_lists(n)
+    for before, last, differ in token_groups(tokens, percent):
+        if len(before) or len(last) < differ + more:
+            keys += [before, last]
+            spare = 0
+        else:
+            keys.append(last[: differ + more])
+    return np.concatenate(keys), spare
+
+
+def _first_groups(percent: int):
+    """Of rows (tokens, rank, id, ...): key, spare and all columns but the tokens, for the first groups of each set."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [first_groups(t, percent) for t in _listed(batch, 0)]
+            if found:
+                many = [len(keys) for keys, _ in found]
+                row = pa.array(np.repeat(np.arange(len(found)), many))
+                keys, spare = np.concatenate([keys for keys, _ in found]), np.repeat(np.array([x for _, x in found], np.int32), many)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(spare), *[c.take(row) for c in batch.columns[1:]]], names=["key", "spare", *batch.schema.names[1:]])
+
+    return run
 
-def _across(met: DataFrame, sets: DataFrame, reps: DataFrame, first: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of one centre that the first components keep apart.
+
+def _centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key, rank and id: each list's first id with each other one, how many lists that other one may leave, and in how many the two meet."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, spare, _, ids = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        first = np.append(True, key[1:] != key[:-1])
+        lead = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+        centre = ids[lead]
+        if last is not None and last[0] == key[0]:
+            centre[lead == 0] = last[1]
+        last = (key[-1], centre[-1])
+        other = centre != ids
+        if other.any():
+            pairs, count = np.unique(np.stack([centre[other], ids[other], spare[other].astype(np.int64)], axis=1), axis=0, return_counts=True)
+            yield _batch("centre id spare lists", pairs[:, 0].copy(), pairs[:, 1].copy(), pairs[:, 2].astype(np.int32), count.astype(np.int64))
+
+
+def _unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key, rank and id, with components: (centre, id) of each list in which others than the centre are of several components.
+
+    A list that begins or ends a batch may go on beyond it and counts as such.
+    """
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, _, _, ids, component = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(start, len(key)))
+        centre = ids[start]
+        if last is not None and last[0] == key[0]:
+            centre[0] = last[1]
+        last = (key[-1], centre[-1])
+        own = np.repeat(centre, size)
+        other = ids != own
+        big = np.iinfo(np.int64)
+        apart = np.minimum.reduceat(np.where(other, component, big.max), start) < np.maximum.reduceat(np.where(other, component, big.min), start)
+        apart[[0, -1]] = True
+        wanted = other & np.repeat(apart, size)
+        if wanted.any():
+            pairs = np.unique(np.stack([own[wanted], ids[wanted]], axis=1), axis=0)
+            yield _batch("centre id", pairs[:, 0].copy(), pairs[:, 1].copy())
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """centre, id, id's size n, its tokens outside the centre, how many are inside (common), and whether the two link."""
+    left = sets.select(F.col("id").alias("centre"), F.col("n").alias("centre_n"), F.col("tokens").alias("tc"))
+    joined = left.join(pairs.hint("merge"), "centre").join(sets.hint("merge"), "id")
+    counted = joined.select("centre", "id", "centre_n", "n", F.array_except("tokens", "tc").alias("outside")).withColumn("common", F.col("n") - F.size("outside"))
+    linked = F.col("common") * (100 + percent) >= (F.col("n") + F.col("centre_n")) * percent
+    return counted.select("centre", "id", "n", "common", linked.alias("linked"), "outside")
+
+
+def _links(met: DataFrame) -> DataFrame:
+    return met.filter("linked").select(F.col("centre").alias("a"), F.col("id").alias("b"))
+
+
+def _across(met: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """centre, id: pairs of members of one centre that the components keep apart and that may yet link.
 
     Members x and y with bx and by tokens of the centre have at most min(bx, by) + s
     tokens in common, s of them outside the centre. Without any such token they can link
-    only if min(bx, by) alone suffices, which bounds y's size; these pairs are found by
-    size. All others share a token outside the centre; as x needs a known number of
-    tokens in all, some must be among its rest (see `_overlaps`), and these find them.
+    only if min(bx, by) alone suffices, which bounds y's size; these meet in a list of the
+    centre and the size. All others share tokens outside the centre, and either needs a
+    known number of them: the smaller one at least what a partner of its own size asks for,
+    the larger what its smallest partner does. With the tokens in one order (those that few
+    members have first), they share one of so many first tokens, and meet in its list.
     """
     full = 100 + percent
-    placed = reps.join(first, F.col("rep") == F.col("node"), "left").select("cid", F.coalesce("component", "rep").alias("component"))
-    middle = placed.select(F.col("cid").alias("centre"), F.col("component").alias("centre_component"))
-    member = met.join(placed, "cid").join(middle, "centre").withColumn("out", F.col("component") != F.col("centre_component"))
-    groups = member.groupBy("centre").agg(F.count("*").alias("members"), F.count_if("out").alias("outside")).filter("members > 1 and outside > 0").select("centre")
-    member = cut(member.join(groups, "centre", "left_semi"))
-    sizes = member.groupBy("centre").agg(F.min("n").alias("least"))
-    # by size: y.n from the least that a partner of x may have to the most that bx alone allows
+    placed = found.select(F.col("node").alias("id"), "component")
+    member = met.join(placed, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    middle = placed.select(F.col("id").alias("centre"), F.col("component").alias("middle"))
+    member = member.join(middle, "centre", "left").withColumn("out", F.col("component") != F.coalesce("middle", "centre"))
+    groups = member.groupBy("centre").agg(F.count("*").alias("members"), F.count_if("out").alias("outsiders"), F.min("n").alias("least")).filter("members > 1 and outsiders > 0")
+    member = cut(member.join(groups.select("centre", "least"), "centre").drop("middle", "linked"))
+    facts = ["centre", "id", "component", "out", "n", "common"]
+
+    def side(rows: DataFrame, of: str, *more: str) -> DataFrame:
+        return rows.select("centre", "at", F.col("id").alias(of), *[F.col(c).alias(f"{of}_{c}") for c in (*facts[2:], *more)])
+
+    apart = F.col("x_component") != F.col("y_component")
+    inside = F.least("x_common", "y_common")
+    both = F.col("x_n") + F.col("y_n")
+    pair = F.least("x", "y").alias("centre"), F.greatest("x", "y").alias("id")
+    # by size
     low = F.greatest(F.ceil(F.col("n") * percent / 100).cast("int"), F.col("least"))
     high = F.floor(F.col("common") * full / percent).cast("int") - F.col("n")
-    ranged = member.filter("out").join(sizes, "centre").withColumn("low", low).withColumn("high", high).filter("low <= high")
-    ranged = ranged.select("centre", F.col("cid").alias("x"), F.col("component").alias("cx"), F.explode(F.sequence("low", "high")).alias("n"))
-    enough = F.col("common") * full >= (F.col("n") + F.col("xn")) * percent
-    by_size = ranged.join(met.select(F.col("cid").alias("x"), "centre", F.col("n").alias("xn")), ["centre", "x"]).join(member.select("centre", F.col("cid").alias("y"), F.col("component").alias("cy"), "n", "common"), ["centre", "n"])
-    by_size = by_size.filter((F.col("cx") != F.col("cy")) & enough).select("x", "y")
+    ranged = member.filter("out").select(*facts, F.explode(F.when(low <= high, F.sequence(low, high))).alias("at"))
+    by_size = side(ranged, "x").join(side(member.withColumn("at", F.col("n")), "y"), ["centre", "at"]).filter(apart & (inside * full >= both * percent)).select(*pair)
     # by tokens outside the centre
-    others = member.select("centre", "cid", "component", "out", "n", "common", F.explode("rest").alias("token"))
-    x = others.filter("out").select("centre", "token", F.col("cid").alias("x"), F.col("component").alias("cx"), F.col("n").alias("xn"), F.col("common").alias("xb"))
-    y = others.select("centre", "token", F.col("cid").alias("y"), F.col("component").alias("cy"), F.col("n").alias("yn"), F.col("common").alias("yb"))
-    most = F.least("xb", "yb") + F.least(F.col("xn") - F.col("xb"), F.col("yn") - F.col("yb"))
-    by_token = x.join(y, ["centre", "token"]).filter((F.col("cx") != F.col("cy")) & (most * full >= (F.col("xn") + F.col("yn")) * percent)).select("x", "y")
-    pairs = by_size.union(by_token).select(F.least("x", "y").alias("centre"), F.greatest("x", "y").alias("cid")).distinct()
-    linked = F.col("common") * full >= (F.col("n") + F.col("centre_n")) * percent
-    return _overlaps(pairs, sets).filter(linked).select(F.col("centre").alias("a"), F.col("cid").alias("b"))
-
-
-def _widespread(counted: DataFrame, distinct: int) -> np.ndarray:
-    """The tokens that come last, sorted: never more than WIDESPREAD_BOUND of them."""
-    totals = cut(counted.groupBy("token").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= WIDESPREAD * distinct))
-    floor = WIDESPREAD * distinct
-    while totals.filter(F.col("seen") >= floor).count() > WIDESPREAD_BOUND:
-        floor *= 2
-    return np.sort(np.array([r[0] for r in totals.filter(F.col("seen") >= floor).select("token").collect()], np.int64).view(np.uint64))
+    tokens = member.select(*facts, F.size("outside").alias("all"), F.explode("outside").alias("at"))
+    shared = tokens.withColumn("members", F.count("*").over(Window.partitionBy("centre", "at"))).filter("members > 1")
+    own = Window.partitionBy("centre", "id", "n", "common")
+    place = F.col("all") - F.count("*").over(own) + F.row_number().over(own.orderBy("members", "at"))
+    spare = lambda least: F.col("all") - F.greatest(least - F.col("common"), F.lit(1)) + 1
+    as_larger = spare(F.ceil(F.col("n") * percent / 100).cast("int"))
+    as_smaller = spare(F.ceil(F.col("n") * 2 * percent / full).cast("int"))
+    first = shared.select(*facts, "at", "all", place.alias("place"), as_larger.alias("larger"), as_smaller.alias("smaller")).filter("place <= larger").withColumn("behind", F.col("all") - F.col("place"))
+    # where two meet first, they have this token outside the centre and no more than stand behind it
+    outside = 1 + F.least("x_behind", "y_behind")
+    met_there = side(first.filter("place <= smaller"), "x", "behind").join(side(first, "y", "behind"), ["centre", "at"])
+    by_token = met_there.filter(apart & (F.col("x_out") | F.col("y_out")) & (F.col("x_n") <= F.col("y_n")) & ((inside + outside) * full >= both * percent)).select(*pair)
+    return by_size.union(by_token).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: one row a document."""
-    spark = docs.sparkSession
+    parts = shuffle_partitions(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = cut(given.mapInArrow(_keys(shingle), "doc_id long, n int, cid long, cid2 long, token long, seen long"))
-    documents = keyed.filter("n is not null").select("doc_id", "n", "cid", "cid2")
+    documents = cut(given.mapInArrow(_keys(shingle), "doc_id long, n int, cid long, cid2 long"))
     classes = cut(documents.filter("n > 0").groupBy("cid", "n", "cid2").agg(F.min("doc_id").alias("rep")))
     histogram = {r["n"]: r["count"] for r in classes.filter(F.col("n") <= max(BOUNDARIES) * 100 // percent).groupBy("n").count().collect()}
     boundary = light_boundary(histogram, percent)
-    late = spark.sparkContext.broadcast(_widespread(keyed.filter("token is not null"), classes.count()))
-    entries = given.select("text").mapInArrow(_entries(shingle, percent, boundary, late), "token long, cid long, size int")
-    lists = cut(entries.repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token", "cid").mapInArrow(_with_company, "token long, cid long, size int"))
-    # light sets: whoever shares a subset with its smallest owner, and can afford to, links with it
-    light = lists.filter("size < 0").selectExpr("token", "cid", "-size div 64 AS required", "-size % 64 AS n")
-    owner = light.groupBy("token", "required").agg(F.min(F.struct("n", "cid")).alias("owner"))
-    light_links = light.join(owner, ["token", "required"]).filter(
-        (F.col("cid") != F.col("owner.cid")) & (F.col("required") * (100 + percent) >= (F.col("n") + F.col("owner.n")) * percent)
-    ).select(F.col("owner.cid").alias("a"), F.col("cid").alias("b"))
-
-    # heavy sets: whole sets of those with company, then the tokens that each has alone
-    heavy = lists.filter("size > 0").select("token", "cid", F.col("size").alias("n"))
+    dealt = given.select("text").mapInArrow(_entries(shingle, percent, boundary), "token long, size int, a long, b long")
+    scanned = dealt.repartition(parts, "token").sortWithinPartitions("token", "size", "a", "b").mapInArrow(_scan(percent), "cid long, n int, entries long, a long, b long")
+    scanned = cut(scanned)
+    release(docs.sparkSession)
+    reps = classes.filter("rep is not null").select("cid", "n", "rep")
+    nodes = reps.select("cid", "rep")
+    light = scanned.filter("a is not null").select("a", "b").distinct()
+    light = light.join(nodes.select(F.col("cid").alias("a"), F.col("rep").alias("ra")), "a").join(nodes.select(F.col("cid").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+
+    # heavy sets with company enough; their rank is the share of entries that have none, in thousandths
     least = F.floor(F.ceil(F.col("n") * percent / 100) * MORE) + 1
-    enough = heavy.groupBy("cid", "n").agg(F.count("*").alias("entries")).filter(F.col("entries") >= least)
-    heavy = heavy.drop("n")
-    wanted = cut(enough.select("cid").join(classes.select("cid", "rep"), "cid").filter("rep is not null").select(F.col("rep").alias("doc_id"), "cid"))
-    sets = given.join(small(wanted.select("doc_id", F.col("cid").alias("_cid"))), "doc_id").select(F.col("_cid"), "text").mapInArrow(_token_sets(shingle), "cid long, n int, tokens array<long>, wanted long")
-    sets = cut(sets.filter("cid = wanted").drop("wanted"))
-    if sets.count() > wanted.count():  # rows that repeat a doc_id
-        sets = cut(sets.dropDuplicates(["cid"]))
-    alone = (
-        sets.select("cid", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("sets"), F.min("cid").alias("cid"))
-        .filter("sets = 1").groupBy("cid").agg(F.count("*").alias("alone"))
-    )
-    facts = cut(
-        sets.select("cid", "n").join(alone, "cid", "left").select("cid", "n", F.coalesce("alone", F.lit(0)).cast("int").alias("alone"))
-        .filter((F.col("n") - F.col("alone")) * 100 >= F.col("n") * percent)
-    )
-    sets = sets.join(small(facts.select("cid")), "cid", "left_semi")
-    scanned = heavy.join(facts, "cid")
-    # each list's centre: the set with the fewest tokens of its own; every member is compared with it
-    centre = scanned.groupBy("token").agg(F.min(F.struct("alone", (-F.col("n")).alias("less"), "cid")).alias("c"), F.count("*").alias("k")).filter("k > 1")
-    pairs = scanned.select("token", "cid").join(centre.select("token", F.col("c.cid").alias("centre")), "token").filter("cid <> centre").select("centre", "cid").distinct()
+    entered = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * percent / 100) + F.floor(F.col("n") * MORE) + 1)
+    enough = scanned.filter("cid is not null").groupBy("cid", "n").agg(F.sum("entries").alias("entries")).filter(F.col("entries") >= least)
+    rank = F.floor(1000 - F.least(F.col("entries") / entered, F.lit(1.0)) * 1000).cast("int")
+    wanted = cut(enough.join(reps, ["cid", "n"]).select(F.col("rep").alias("id"), "cid", rank.alias("rank")))
+    texts = wanted.hint("merge").join(packed_texts(given).withColumnRenamed("doc_id", "id"), "id").groupBy("id", "cid", "rank", F.xxhash64("packed")).agg(F.first("packed").alias("packed"))
+    sets = cut(texts.select("id", "cid", "rank", "packed").mapInArrow(_token_sets(shingle), "id long, n int, rank int, tokens array<long>"))
+    release(docs.sparkSession)
+    groups = sets.select("id", "tokens").mapInArrow(_whole_groups(percent), "key long, id long, tag int")
+    shared = groups.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_company, "id long, tag int, shared long")
+    able = cut(shared.groupBy("id", "tag").agg(F.sum("shared").alias("shared")).filter("shared >= tag div 2").select("id").distinct())
+    sets = cut(sets.join(able.hint("merge"), "id", "left_semi"))
+    release(docs.sparkSession)
+    groups = sets.select("tokens", "rank", "id").mapInArrow(_first_groups(percent), "key long, spare int, rank int, id long")
+    pairs = groups.repartition(parts, "key").sortWithinPartitions("key", "rank", "id").mapInArrow(_centred, "centre long, id long, spare int, lists long")
+    pairs = pairs.groupBy("centre", "id").agg(F.min("spare").alias("spare"), F.sum("lists").alias("lists"))
+    rarest = Window.partitionBy("id").orderBy("lists", "centre").rowsBetween(Window.unboundedPreceding, 0)
+    pairs = cut(pairs.withColumn("left", F.sum("lists").over(rarest)).filter("left > spare").select("centre", "id"))
+    release(docs.sparkSession)
     met = cut(_overlaps(pairs, sets, percent))
-    reps = classes.filter("rep is not null").select("cid", "rep")
-
-    def by_rep(links: DataFrame) -> DataFrame:
-        """Links between classes as links between their smallest documents."""
-        half = links.join(reps.select(F.col("cid").alias("a"), F.col("rep").alias("ra")), "a")
-        return half.join(reps.select(F.col("cid").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-
-    linked = F.col("common") * (100 + percent) >= (F.col("n") + F.col("centre_n")) * percent
-    first = components(by_rep(met.filter(linked).select(F.col("centre").alias("a"), F.col("cid").alias("b")).union(light_links)))
-    across = _across(met, sets, reps, first, percent)
-    more = cut(by_rep(across))
-    if more.isEmpty():
-        found = first
-    else:
-        found = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    release(docs.sparkSession)
+    found = components(_links(met).union(light))
+    placed = sets.join(found.hint("merge"), F.col("id") == F.col("node"), "left").select("tokens", "rank", "id", F.coalesce("component", "id").alias("component"))
+    groups = placed.mapInArrow(_first_groups(percent), "key long, spare int, rank int, id long, component long")
+    unsettled = groups.repartition(parts, "key").sortWithinPartitions("key", "rank", "id").mapInArrow(_unsettled, "centre long, id long").distinct()
+    more = cut(_across(met.join(unsettled.hint("merge"), ["centre", "id"], "left_semi"), found, percent))
+    release(docs.sparkSession)
+    more = cut(_links(_overlaps(more, sets, percent)))
+    if not more.isEmpty():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     of_class = classes.join(found, F.col("rep") == F.col("node"), "left").select("cid", "n", "cid2", F.coalesce("component", "rep").alias("component_id"))
     joined = documents.alias("d").join(of_class.alias("c"), ["cid", "n", "cid2"], "left")
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -354,9 +577,10 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
 
     Of rows that repeat a doc_id one stays; rows with a null doc_id stay.
     """
+    key, = fresh(docs, "gone")
     judged = cut(near_duplicates(docs, shingle, percent).filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id")))
-    gone = judged.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(small(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = judged.filter("doc_id <> component_id").select(F.col("doc_id").alias(key))
+    kept = docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col(key), "left_anti")
     if judged.filter("rows > 1").isEmpty():
         return kept
     return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))

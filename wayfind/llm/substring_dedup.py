@@ -30,11 +30,10 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import shuffle_partitions
+from wayfind.llm.common import packed_texts, shuffle_partitions, unpacked
 from wayfind.llm.textops import gram_hashes, mix, signed, text_slices, word_hashes, words_of
 
 WINDOW = 20
@@ -227,13 +226,6 @@ def kept_words(text: bytes, runs, window: int) -> tuple[list[bytes], int]:
     return list(compress(words, keep.tolist())), len(words)
 
 
-def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as they cross the shuffle: compressed one by one, which holds less than the shuffle's own codec makes of them."""
-    squeeze = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(t.as_buffer() or b"") if t.is_valid else None for t in batch.column(1)], pa.binary())], names=["doc_id", "packed"])
-
-
 def _runs_by_document(docs: DataFrame, window: int) -> DataFrame:
     return repeated_runs(docs, window).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
 
@@ -242,11 +234,10 @@ def dedup_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: one row a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             n_words, n_removed, digest = [], [], []
             for packed, runs in zip(batch.column(1), batch.column(2), strict=True):
-                kept, n = kept_words(unpack(packed.as_py()) if packed.is_valid else b"", runs.as_py(), window)
+                kept, n = kept_words(unpacked(packed), runs.as_py(), window)
                 n_words.append(n)
                 n_removed.append(n - len(kept))
                 digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
@@ -254,7 +245,7 @@ def dedup_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     runs = _runs_by_document(narrow, window)
-    packed = narrow.mapInArrow(_squeezed, "doc_id long, packed binary")
+    packed = packed_texts(narrow)
     return packed.join(runs, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "packed", "_runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
