@@ -1,20 +1,23 @@
 """Best-fit packing of tokenised documents into fixed-length sequences.
 
 Hierarchical residual packing: each partition tokenises its documents and packs the
-pieces best-fit into bins of its own. Bins that are nearly full are emitted; all others
-are opened and what they hold goes on as items to further rounds of best fit, in a tree
-of groups of partitions. A group of more than MERGE items is split by hash into subgroups
-of about that many; what they leave meets in later rounds. What the top of the tree
-leaves, however much, is packed by one best fit over all of it: the fit is reckoned on
-counts by length, and each item finds its bin by its number among those of its length.
+pieces best-fit into bins of its own. Nearly full bins are emitted. The underfull ones
+go on as items, each as long as it is full, and are packed best-fit again in a tree of
+groups of partitions, round by round; those that become nearly full are emitted. A group
+of more than MERGE items is split by hash into subgroups of about that many; what they
+leave meets in later rounds. The bins that the top of the tree leaves underfull, however
+many, are opened, and their pieces packed by one best fit over all of them: the fit is
+reckoned on counts by length, and each piece finds its bin by its number among those of
+its length.
 
 Ids are those of the public byte-level vocabulary (rank file of the same vocabulary,
 whose library is three times as fast; a test holds the two equal). A document longer
-than a sequence is cut so that its first piece takes the remainder.
+than a sequence is cut so that its first piece takes the remainder. Jobs run while the
+plan is built (each `cut`).
 
 Defined results: a null or empty text is one piece with the end id alone; a null
 doc_id stays null; repeated rows are packed each by itself; an empty table gives an
-empty result; extra columns are ignored.
+empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import cut, small
+from wayfind.llm.common import cut
 
 LENGTH = 1024
 END_ID = 2
@@ -43,10 +46,10 @@ SLACK = 8
 FAN_IN = 16
 #: Pieces that a partition gathers before it packs them.
 BUFFER = 200_000
-#: Items that one merge packs; a group of more is split.
+#: Bins that one merge packs as items; a group of more is split.
 MERGE = 50_000
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long, open boolean"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, item long, bin long, place long, open boolean"
 
 
 def encoder(path: str | None = None):
@@ -92,9 +95,9 @@ def best_fit(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np
     return where, place, np.asarray(bins.fill, np.int64)
 
 
-def opened(where: np.ndarray, fill: np.ndarray, length: int) -> np.ndarray:
-    """Whether each item's bin is opened: not nearly full."""
-    return (fill < length - SLACK)[where]
+def underfull(fill: np.ndarray, length: int) -> np.ndarray:
+    """Whether each bin is not nearly full."""
+    return fill < length - SLACK
 
 
 def fit_counts(counts: dict[int, int], length: int) -> np.ndarray:
@@ -128,22 +131,18 @@ def _tokenise_and_pack(path: str | None, length: int):
         special = re.compile("|".join(map(re.escape, SPECIAL)))
         base = TaskContext.get().partitionId() << 32
         held: list[tuple] = []
-        used = 0
+        bins = items = 0
 
         def flush():
-            nonlocal held, used
+            nonlocal held, bins, items
             doc, piece, start, size, crc = zip(*held, strict=True)
             sizes = np.asarray(size, np.int64)
             where, place, fill = best_fit(sizes, length)
-            loose = opened(where, fill, length)
-            number = used + where
-            number[loose] = used + len(fill) + np.arange(int(loose.sum()))
-            place[loose] = 0
             out = pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(sizes), pa.array(crc, pa.int64()), pa.array(number + base), pa.array(place), pa.array(loose)],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "place", "open"],
+                [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(sizes), pa.array(crc, pa.int64()), pa.array(base + items + np.arange(len(sizes))), pa.array(base + bins + where), pa.array(place), pa.array(underfull(fill, length)[where])],
+                names=[c.split()[0] for c in PIECES.split(", ")],
             )
-            held, used = [], used + len(fill) + int(loose.sum())
+            held, bins, items = [], bins + len(fill), items + len(sizes)
             return out
 
         for batch in batches:
@@ -162,16 +161,15 @@ def _tokenise_and_pack(path: str | None, length: int):
 
 
 def _merge(length: int):
-    """One group's round: each item's bin and place in it, or open again."""
+    """One group's round: each underfull bin's new bin (named by one of those in it), its place there, and that bin's fill."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item", kind="stable")
-        items = pdf["item"].to_numpy()
-        where, place, fill = best_fit(pdf["length"].to_numpy(), length)
-        loose = opened(where, fill, length)
+        pdf = pdf.sort_values("bin", kind="stable")
+        items = pdf["bin"].to_numpy()
+        where, place, fill = best_fit(pdf["fill"].to_numpy(), length)
         name = np.empty(len(fill), np.int64)
-        name[where[::-1]] = items[::-1]  # a bin is named by one of its items
-        return pd.DataFrame({"item": items, "length": pdf["length"].to_numpy(), "bin": name[where], "place": np.where(loose, 0, place), "open": loose})
+        name[where[::-1]] = items[::-1]
+        return pd.DataFrame({"bin": items, "into": name[where], "at": place, "fill": fill[where]})
 
     return run
 
@@ -210,7 +208,7 @@ def _settle(items: DataFrame, length: int, base: int) -> DataFrame:
             nth, row = np.divmod(number - first_item, each)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base + first_bin + nth), pa.array(place + row * sizes)], names=["item", "own_bin", "own_place"])
 
-    placed = numbered.join(small(cut(before)), ["length", "part"]).select("item", "length", (F.col("number") + F.col("before")).alias("number"))
+    placed = numbered.join(cut(before), ["length", "part"]).select("item", "length", (F.col("number") + F.col("before")).alias("number"))
     return cut(placed.mapInArrow(run, "item long, own_bin long, own_place long"))
 
 
@@ -218,21 +216,28 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, m
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row a piece."""
     ids = F.col("doc_id").cast("long")
     local = cut(docs.select(ids.alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_tokenise_and_pack(vocabulary, length), PIECES))
-    items = local.filter("open").select(F.col("bin").alias("item"), "length")
+    own = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    done = local.filter("not open").select(*own, F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
     last = local.agg(F.max(F.shiftright("bin", 32))).first()[0]
-    settled, span = None, 1
-    while last is not None and (settled is None or span <= last):
+    if last is None:
+        return done
+    loose = local.filter("open")
+    # first: each underfull local bin; root: the bin that it is in now, at: its place there
+    bins = cut(loose.groupBy(F.col("bin").alias("first")).agg(F.sum("length").alias("fill")).select("first", F.col("first").alias("root"), F.lit(0).cast("long").alias("at"), "fill"))
+    closed, span = None, 1
+    while closed is None or span <= last:
         span *= FAN_IN
-        grouped = items.withColumn("group", F.expr(f"shiftright(item, 32) div {span}"))
-        split = cut(grouped.groupBy("group").agg(F.ceil(F.count("*") / merge).alias("split")))
-        salted = grouped.join(small(split), "group").withColumn("salt", F.pmod(F.xxhash64(F.lit(span), "item"), F.col("split")))
-        merged = cut(salted.select("item", "length", "group", "salt").groupBy("group", "salt").applyInPandas(_merge(length), "item long, length long, bin long, place long, open boolean"))
-        done = merged.filter("not open").select("item", F.col("bin").alias("own_bin"), F.col("place").alias("own_place"))
-        settled = done if settled is None else settled.union(done)
-        items = merged.filter("open").select("item", "length")
-    if settled is None:
-        return local.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
-    settled = settled.union(_settle(items, length, last + 1 << 32))
-    return local.join(settled, local["bin"] == settled["item"], "left").select(
-        "doc_id", "piece", "start", local["length"], "ids_crc32", F.coalesce("own_bin", "bin").alias("sequence_id"), F.coalesce("own_place", "place").alias("offset")
-    )
+        grouped = bins.groupBy(F.col("root").alias("bin")).agg(F.first("fill").alias("fill")).withColumn("group", F.expr(f"shiftright(bin, 32) div {span}"))
+        split = grouped.groupBy("group").agg(F.ceil(F.count("*") / merge).alias("split"))
+        salted = grouped.join(split, "group").withColumn("salt", F.pmod(F.xxhash64(F.lit(span), "bin"), F.col("split")))
+        merged = salted.select("bin", "fill", "group", "salt").groupBy("group", "salt").applyInPandas(_merge(length), "bin long, into long, at long, fill long")
+        moved = bins.drop("fill").join(merged.withColumnRenamed("at", "shift"), F.col("root") == F.col("bin"))
+        bins = cut(moved.select("first", F.col("into").alias("root"), (F.col("at") + F.col("shift")).alias("at"), "fill"))
+        full = bins.filter(F.col("fill") >= length - SLACK)
+        closed = full if closed is None else closed.union(full)
+        bins = bins.filter(F.col("fill") < length - SLACK)
+    emitted = loose.join(closed.drop("fill"), F.col("bin") == F.col("first")).select(*own, F.col("root").alias("sequence_id"), (F.col("at") + F.col("place")).alias("offset"))
+    rest = cut(loose.join(bins.select("first"), F.col("bin") == F.col("first"), "left_semi").select(*own, "item"))
+    settled = _settle(rest.select("item", "length"), length, last + 1 << 32)
+    settled = rest.join(settled, "item").select(*own, F.col("own_bin").alias("sequence_id"), F.col("own_place").alias("offset"))
+    return done.union(emitted).union(settled)
