@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from wayfind.llm.shrinkage import strength
 from wayfind.llm.textops import text_slices, word_hashes, words_of
+from wayfind.llm.toxicity import bounded_sample, trained
 
 ROWS = 3000
 LONGEST = 20_000
-STEPS = 400
 #: Kinds of bytes whose shares in a text are features: the last is every other byte.
 KINDS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\r\t", ".,;:", "!?", "#$%&*@^~+=", "|<>{}[]\\/_`", "'\"()-")
 
@@ -87,23 +87,19 @@ def _usable(labels: DataFrame) -> DataFrame:
     return good.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("long").alias("good"))
 
 
-def fit(docs: DataFrame, labels: DataFrame):
-    """A model from a bounded sample of labelled rows; None without both classes."""
-    usable, picked = _usable(labels), None
-    for of in (0, 1):
-        some = usable.filter(F.col("good") == of).orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(ROWS)
-        picked = some if picked is None else picked.union(some)
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") <= LONGEST)
-    sample = narrow.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).toPandas()  # 2 * ROWS rows at most
-    y = sample["good"].to_numpy(np.int64)
-    if len(set(y)) < 2:
-        return None
-    x = np.concatenate([make_up(buf, offsets) for _, _, buf, offsets in text_slices(pa.array(sample["text"], pa.large_string()))])
+def learn(sample: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    y = sample.column("label").to_numpy().astype(np.int64)
+    x = np.concatenate([make_up(buf, offsets) for _, _, buf, offsets in text_slices(sample.column("text").cast(pa.large_string()))])
     mean, scale, weight, base = train(x, y)
     # the sample is drawn by class: its log-odds are set back to even chances, the overall rate is added when scoring
     return mean, scale, weight, base - float(np.log(y.mean() / (1 - y.mean())))
 
 
+def fit(docs: DataFrame, labels: DataFrame):
+    """A model from a bounded sample of labelled rows, learnt in one task; None without both classes."""
+    return trained(bounded_sample(docs, _usable(labels).withColumnRenamed("good", "label"), LONGEST, ROWS, "quality"), learn)
+
+
 def evidence(docs: DataFrame, model, keep: tuple[str, ...]) -> DataFrame:
     """The kept columns and evidence: the model's log-odds at even chances."""
     if model is None:

@@ -8,8 +8,8 @@ with the label and are trained with Adagrad; with max pooling only the winning w
 carry gradients. Thresholds are calibrated by language, as told from the function words
 of the text itself, so that a score of 0.5 is the threshold everywhere.
 
-Only a bounded sample of labelled rows is used for training (ROWS of each class, texts
-up to LONGEST characters); scoring reads every whole text.
+Only a bounded sample of labelled rows is used for training (ROWS of each class, drawn
+among texts up to LONGEST characters), in one task; scoring reads every whole text.
 
 Defined results: a null or empty text gets the score of no evidence; a null doc_id is
 scored and not held out; repeated rows get equal rows; without labels of both classes
@@ -18,6 +18,7 @@ every score is 0; an empty table gives an empty result; extra columns are ignore
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -233,28 +234,40 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """A model learnt from labelled rows that are not held out; None without both classes."""
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("label")).filter("doc_id is not null and label in (0, 1)")
-    usable = usable.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
-    draw = F.xxhash64(F.lit("toxicity"), "doc_id")
+def bounded_sample(docs: DataFrame, labelled: DataFrame, longest: int, rows: int, seed: str) -> DataFrame:
+    """doc_id, label, text: by hash, at most so many rows of each label (0 and 1) among labelled(doc_id, label) with a text that is no longer."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") <= longest)
+    able = labelled.join(texts.select("doc_id").distinct(), "doc_id")
     picked = None
     for of in (0, 1):
-        some = usable.filter(F.col("label") == of).orderBy(draw, "doc_id").limit(ROWS)
+        some = able.filter(F.col("label") == of).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows)
         picked = some if picked is None else picked.union(some)
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") <= LONGEST)
-    sample = narrow.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).toPandas()  # 2 * ROWS rows at most
-    if sample["label"].nunique() < 2:
-        return None
-    sample = sample.sort_values("doc_id")
-    texts = pa.array(sample["text"], pa.large_string())
-    parts = [features(buf, offsets) for _, _, buf, offsets in text_slices(texts, 200_000)]  # in slices, for the driver's memory
+    return texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # 2 * rows at most
+
+
+def trained(sample: DataFrame, learn):
+    """What learn(rows sorted by doc_id: doc_id, label, text) returns, worked out in a task; None without both labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        rows = pa.Table.from_batches(held) if held else None
+        if rows is not None and len(set(rows.column("label").to_pylist())) == 2:
+            model = learn(rows.sort_by("doc_id"))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    found = sample.select("doc_id", "label", "text").repartition(1).mapInArrow(run, "model binary").first()
+    return None if found is None else pickle.loads(found[0])
+
+
+def learn(sample: pa.Table) -> Model:
+    texts = sample.column("text").cast(pa.large_string())
+    parts = [features(buf, offsets) for _, _, buf, offsets in text_slices(texts, 200_000)]
     rows = np.concatenate([r for r, _ in parts])
     first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))])
     del parts
-    label = sample["label"].to_numpy(np.int64)
+    label = sample.column("label").to_numpy().astype(np.int64)
     known = _function_table()
-    held = (mix(sample["doc_id"].to_numpy(np.int64).view(np.uint64)) % _U(CALIBRATION)) == 0
+    held = (mix(sample.column("doc_id").to_numpy().view(np.uint64)) % _U(CALIBRATION)) == 0
 
     def part(mask):
         pick = np.flatnonzero(mask)
@@ -268,6 +281,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     return model
 
 
+def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """A model learnt, in one task, from labelled rows that are not held out; None without both classes."""
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("long").alias("label")).filter("doc_id is not null and label in (0, 1)")
+    usable = usable.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
+    return trained(bounded_sample(docs, usable, LONGEST, ROWS, "toxicity"), learn)
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, score: one row a document."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
