@@ -153,14 +153,39 @@ def test_commonest_breaks_ties_by_first_seen(spark):
     assert measure.commonest(rows, "k", "v", "o").collect()[0].v == "y"
 
 
-def test_market_documents_read_back(spark):
+def test_market_documents_are_written_by_market(spark, tmp_path):
     import json
 
-    rows = over_places.market_documents(spark, SF).collect()
-    assert sum(r.listings for r in rows) == places_of(spark, SF).count()
-    first = json.loads(rows[0].businesses)
-    assert len(first) == rows[0].listings and [b["ordinal"] for b in first] == sorted(b["ordinal"] for b in first)
-    assert set(first[0]["verdicts"]) == {"rated"}
+    from wayfind.operators.supply import write_markets
+
+    documents = over_places.market_documents(spark, SF)
+    write_markets(documents, str(tmp_path / "markets"))
+    back = spark.read.text(str(tmp_path / "markets")).collect()
+    assert len(back) == places_of(spark, SF).count()
+    read = [(r.market, json.loads(r.value)) for r in back]
+    assert {(m, d["id"]) for m, d in read} == {(r.market, r.id) for r in documents.collect()}
+    assert all(d["verdicts"][0]["criterion_id"] == "rated" for _, d in read)
+
+
+def test_lines_beyond_the_limit_are_reported(spark):
+    rows = spark.createDataFrame([(i, f"s{i}.com") for i in range(5)] + [(9, "s1.com"), (10, None)], "line long, site string")
+    none = F.lit(None).cast("string")
+    kept, skipped = uploads.map_upload(rows, F.col("site"), none, none, F.col("line"), most=3)
+    assert [r.line for r in kept.orderBy("line").collect()] == [0, 1, 2]
+    assert {(r.line, r.reason) for r in skipped.collect()} == {(3, "beyond the limit"), (4, "beyond the limit"), (9, "repeated website"), (10, "no website")}
+
+
+def test_a_null_caller_is_one_caller(spark):
+    calls = [(i, None, dt.datetime(2026, 1, 1, 0, i)) for i in range(4)]
+    got = accounts.rationed(spark.createDataFrame(calls, "call_id long, caller long, at timestamp"), 2, 5).collect()
+    assert sorted((r.call_id, r.admitted) for r in got) == [(0, True), (1, True), (2, False), (3, False)]
+
+
+def test_the_curve_goes_from_neighbour_to_neighbour(spark):
+    points = spark.range(256).select((F.col("id") % 16).alias("x"), F.expr("id div 16").alias("y"))
+    at = points.select("x", "y", snapshot.hilbert(F.col("y") / 8 + 0.01, F.col("x") / 8 + 0.01, 4).alias("d")).orderBy("d").collect()
+    assert [r.d for r in at] == list(range(256))
+    assert all(abs(a.x - b.x) + abs(a.y - b.y) == 1 for a, b in zip(at, at[1:], strict=False))
 
 
 def test_one_edit(spark):

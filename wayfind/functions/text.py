@@ -123,3 +123,14 @@ def one_edit(a: Column, b: Column) -> Column:
     swapped = F.concat(F.substring(a, F.lit(1), at - 1), F.substring(a, at + 1, F.lit(1)), F.substring(a, at, F.lit(1)), F.substring(a, at + 2, F.length(a)))
     near = F.levenshtein(a, b)
     return F.when(near <= 1, near).when((near == 2) & (F.length(a) == F.length(b)) & (swapped == b), 1)
+
+
+def slug(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
+
+
+def agreement(a: Column, b: Column) -> Column:
+    """The length of the common beginning over that of the longer word; 0 without one of them."""
+    at = F.sequence(F.lit(1), F.greatest(F.least(F.length(a), F.length(b)), F.lit(1)))
+    shared = F.size(F.filter(at, lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)))
+    return F.when((F.length(a) > 0) & (F.length(b) > 0), shared / F.greatest(F.length(a), F.length(b))).otherwise(0.0)

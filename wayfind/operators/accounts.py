@@ -22,11 +22,13 @@ def _folded(rows: DataFrame, key: str, order: list[str], step, schema: str) -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in schema.split(", ")]
-        now, state = object(), None
+        now, state = object(), None  # no key is this object, so the first row begins a state
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                if (this := getattr(row, key)) != now:
+                this = getattr(row, key)
+                this = None if pd.isna(this) else this  # a null key is one key, although NaN never equals itself
+                if this != now:
                     now, state = this, None
                 state, made = step(state, row)
                 out.append(made)
@@ -39,7 +41,8 @@ def charge(requests: DataFrame, opening: DataFrame) -> DataFrame:
     """request_id, charged, reason, milli: requests(request_id, account_id, business_id, cost, at) in order, from opening(account_id, milli, comped).
 
     Each charge depends on the balance that those before it left, so an account's
-    requests are folded in order; the state is its balance and the ids that it unlocked.
+    requests are folded in order; the state is its balance and the ids that it unlocked,
+    so it is as large as one account's unlocks.
     """
 
     def step(state, r):
@@ -98,6 +101,8 @@ def claim(jobs: DataFrame, sites: DataFrame, now) -> DataFrame:
 
 def checkpoints(reads: DataFrame, at: tuple[int, ...] = (200, 400, 800, 1600)) -> DataFrame:
     """job_id, reads, matches at the reads where a run's health is judged."""
-    so_far = Window.partitionBy("job_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    run = reads.select("job_id", F.row_number().over(Window.partitionBy("job_id").orderBy("ordinal")).alias("reads"), F.sum(F.col("matched").cast("long")).over(so_far).alias("matches"))
-    return run.filter(F.col("reads").isin(*at))
+    place = F.row_number().over(Window.partitionBy("job_id").orderBy("ordinal"))
+    # a limit by rank is applied in every task before the shuffle, so a job sends no more rows than the last checkpoint needs
+    run = reads.withColumn("reads", place).filter(F.col("reads") <= max(at))
+    so_far = Window.partitionBy("job_id").orderBy("reads").rowsBetween(Window.unboundedPreceding, 0)
+    return run.select("job_id", "reads", F.sum(F.col("matched").cast("long")).over(so_far).alias("matches")).filter(F.col("reads").isin(*at))

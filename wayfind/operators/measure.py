@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfind.functions.stats import wilson, wilson_corrected
+from wayfind.functions.stats import band_credits, half_up, wilson, wilson_corrected
 
 
 def confusion(judged: DataFrame, by: str) -> DataFrame:
@@ -57,3 +57,69 @@ def draw(rows: DataFrame, by: str, sizes: dict, id_: str = "id") -> DataFrame:
     order = Window.partitionBy(by).orderBy(F.md5(F.col(id_).cast("string")), id_)
     size = F.coalesce(*[F.when(F.col(by) == k, F.lit(n)) for k, n in sizes.items()], F.lit(0))
     return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= size).drop("_n")
+
+
+# Dollars for a site that is read anew and for one that is known, and the seconds that a site takes.
+COLD_READ, WARM_READ, WARN_ABOVE = 0.01, 0.002, 5000
+SECONDS_A_PAGE, PAGES_A_SITE, SECONDS_BESIDES, AT_ONCE = 3.4, 1.5, 1.2, 12
+
+
+def live_sites(checks: DataFrame) -> DataFrame:
+    """checks(with_site, checked, dead) with exact and live: what was checked, carried to all; never 0 while some live."""
+    share = 1 - F.col("dead") / F.col("checked")
+    about = F.when(share > 0, F.greatest(F.lit(1), half_up(F.col("with_site") * share))).otherwise(0)
+    exact = F.col("checked") >= F.col("with_site")
+    live = F.when(exact, F.greatest(F.lit(0), F.col("with_site") - F.col("dead"))).otherwise(about)
+    return checks.filter("checked > 0 and with_site > 0").withColumns({"exact": exact, "live": live.cast("long")})
+
+
+def read_costs(asked: DataFrame) -> DataFrame:
+    """What reading candidates costs, of asked(..., candidates, read), and how long it takes."""
+    n, known = F.col("candidates"), F.col("read")
+    unread = F.greatest(n - known, F.lit(0))
+    return asked.withColumns({
+        "unread": unread, "cold": F.round(unread * COLD_READ + known * WARM_READ, 6), "warm": F.round(n * WARM_READ, 6), "warm_share": F.round(F.coalesce(F.try_divide(known, n), F.lit(0.0)), 6),
+        "over_budget": n > WARN_ABOVE, "seconds": F.round(n * (SECONDS_A_PAGE * PAGES_A_SITE + SECONDS_BESIDES) / AT_ONCE, 6),
+    }).drop("candidates", "read")
+
+
+def enriched(judged: DataFrame, filler: int) -> DataFrame:
+    """id, kind, valid_for_recall: all hits of judged(id, hit) and so many others by hash; such a sample measures precision only."""
+    others = judged.filter("not hit").orderBy(F.md5("id"), "id").limit(filler)
+    return judged.filter("hit").select("id", F.lit("positive").alias("kind"), F.lit(False).alias("valid_for_recall")).union(others.select("id", F.lit("filler"), F.lit(False)))
+
+
+def slug_parts(slugs: DataFrame, trades: DataFrame) -> DataFrame:
+    """slug, trade, city, state of slugs like trade-in-city-st, by the known trades(trade), so that a city with "in" in its name does no harm."""
+    heads = slugs.select("slug", F.substring_index("slug", "-in-", 1).alias("trade"))
+    rest = F.substring("slug", F.length("trade") + 5, F.length("slug"))
+    known = heads.join(trades, "trade").withColumn("rest", rest).filter(F.col("rest").rlike("^.+-[a-z]{2}$"))
+    return known.select("slug", "trade", F.regexp_extract("rest", "^(.+)-([a-z]{2})$", 1).alias("city"), F.upper(F.regexp_extract("rest", "^(.+)-([a-z]{2})$", 2)).alias("state"))
+
+
+def stop_verdict(reached: Column, wanted: Column, people: Column) -> Column:
+    """working once anybody wanted it, stop when so many were reached and none did, testing before."""
+    return F.when(wanted > 0, "working").when(reached >= people, "stop").otherwise("testing")
+
+
+# Plans with their price and credits, and what a place, its details and its reviews cost.
+PLANS = (("Starter", 29.0, 120), ("Growth", 79.0, 400), ("Agency", 199.0, 1000))
+PLACE_COST, REVIEWS_COST = 0.0015, 0.002 + 0.0005 * 12
+
+
+def margins(niches: DataFrame) -> DataFrame:
+    """niche, plan, policy, margin of niches(niche, spend, reads, matched): reviews are bought for every read, or for matches alone."""
+    cells = niches.filter("matched > 0").withColumn("plan", F.explode(F.array(*[F.struct(F.lit(n).alias("plan"), F.lit(p).alias("price"), F.lit(c).alias("credits")) for n, p, c in PLANS])))
+    cells = cells.select("niche", "spend", "reads", "matched", "plan.*").withColumn("policy", F.explode(F.array(F.lit("every"), F.lit("match"))))
+    revenue = F.col("price") / F.col("credits") * band_credits(F.col("matched") / F.col("reads"))
+    every = F.col("policy") == "every"
+    read = F.col("spend") / F.col("reads") + PLACE_COST + F.when(every, REVIEWS_COST).otherwise(0.0)
+    cost = read * F.col("reads") / F.col("matched") + F.when(every, 0.0).otherwise(REVIEWS_COST)
+    return cells.withColumn("margin", (revenue - cost) / revenue)
+
+
+def gap_fill(runs: DataFrame, pools: DataFrame, per_place: float) -> DataFrame:
+    """market, read_cost, per_match: the dearest of runs(market, per_read), and a match's cost in pools(market, places, missing, matched)."""
+    dearest = runs.groupBy("market").agg(F.max("per_read").alias("read_cost"))
+    whole = F.col("read_cost") + per_place * F.col("missing") / F.col("places")
+    return pools.filter("matched > 0").join(dearest, "market").withColumn("per_match", whole * F.col("places") / F.col("matched"))

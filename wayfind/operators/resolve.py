@@ -26,10 +26,10 @@ def work_list(rows: DataFrame, drop_chains: bool = True) -> DataFrame:
     key = host_of(F.col("site"))
     keyed = rows.withColumn("site_key", key)
     own = Window.partitionBy("site_key")
-    counted = keyed.withColumn("_n", F.count("*").over(own)).withColumn("_first", F.row_number().over(own.orderBy("ordinal")))
-    chain = F.col("site_key").isNotNull() & (F.col("_n") >= CHAIN_SITES) & F.lit(drop_chains)
-    status = F.when(chain, "chain").when(F.col("site_key").isNotNull() & (F.col("_first") > 1), "duplicate").otherwise("kept")
-    return counted.withColumn("status", status).drop("_n", "_first")
+    hosted = keyed.filter("site_key is not null")  # rows without a site share no key, so no window gathers them
+    counted = hosted.withColumn("_n", F.count("*").over(own)).withColumn("_first", F.row_number().over(own.orderBy("ordinal")))
+    status = F.when((F.col("_n") >= CHAIN_SITES) & F.lit(drop_chains), "chain").when(F.col("_first") > 1, "duplicate").otherwise("kept")
+    return counted.withColumn("status", status).drop("_n", "_first").unionByName(keyed.filter("site_key is null").withColumn("status", F.lit("kept")))
 
 
 def _metres(lat, lon, lat2, lon2):
@@ -105,3 +105,10 @@ def claims(listings: DataFrame, requests: DataFrame) -> DataFrame:
 def latest(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     """The last row of each key: an upsert as a read."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
+def merged(known: DataFrame, new: DataFrame, key: list[str], at: str) -> DataFrame:
+    """One row a key of both, which may lack each other's columns: of each column the latest value that is not null."""
+    rows = known.unionByName(new, allowMissingColumns=True)
+    rest = [c for c in rows.columns if c not in (*key, at)]
+    return rows.groupBy(*key).agg(F.max(at).alias(at), *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(at))).alias(c) for c in rest])

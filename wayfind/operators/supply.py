@@ -50,7 +50,9 @@ def apply_rules(pool: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     column same_name: how many rows of the pool share the bare name (0: no name).
     """
     bare = bare_name(F.col("name"))
-    named = pool.withColumn("_bare", bare).withColumn("same_name", F.when(F.col("_bare") != "", F.count("*").over(Window.partitionBy("_bare"))).otherwise(0))
+    bared = pool.withColumn("_bare", bare)
+    named = bared.filter("_bare <> ''").withColumn("same_name", F.count("*").over(Window.partitionBy("_bare")))
+    named = named.unionByName(bared.filter("_bare is null or _bare = ''").withColumn("same_name", F.lit(0).cast("long")))
     first = F.coalesce(*[F.when(~test, F.lit(name)) for name, test in rules])
     return named.withColumn("first_fail", first).drop("_bare")
 
@@ -97,8 +99,16 @@ def suggestions(typed: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def market_documents(places: DataFrame, facts: DataFrame, by: str) -> DataFrame:
-    """One nested document a market: counts, and its places in order with their verdicts as a map."""
-    pairs = F.array_sort(F.collect_list(F.struct("criterion_id", "verdict")))
-    rows = places.join(facts.groupBy("id").agg(pairs.alias("pairs")), "id", "left").select(by, F.struct("ordinal", "id", "name", "site", "phone", "lat", "lon", "pairs").alias("b"))
-    nested = F.transform(F.array_sort(F.collect_list("b")), lambda b: b.withField("verdicts", F.map_from_entries(b.getField("pairs"))).dropFields("pairs"))
-    return rows.groupBy(by).agg(F.count("*").alias("listings"), F.count_if(readable(F.col("b.site"))).alias("with_site"), F.to_json(nested).alias("businesses"))
+    """market, ordinal, id, document: a JSON document of each place with its verdicts, in place of one of a whole market.
+
+    A market of any size stays many rows, which `write_markets` lays down by market and in
+    order; counts of a market are an aggregation of their own.
+    """
+    verdicts = facts.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("criterion_id", "verdict"))).alias("verdicts"))
+    document = F.to_json(F.struct("id", "name", "cat", "ordinal", "verdicts"))
+    return places.join(verdicts, "id", "left").select(F.col(by).alias("market"), "ordinal", "id", document.alias("document"))
+
+
+def write_markets(documents: DataFrame, to: str) -> None:
+    """One folder a market, JSON lines in order; a large market is several files."""
+    documents.repartitionByRange("market", "ordinal").sortWithinPartitions("market", "ordinal").select("market", F.col("document").alias("value")).write.partitionBy("market").text(to)

@@ -81,9 +81,9 @@ def job_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stale_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leases older than a day go back to pending."""
     events = _table(spark, sf_dir, "events")
-    last = events.agg(F.max("ts")).first()[0]
-    sites = events.select("event_type", F.when(F.col("event_id") % 2 == 0, "taken").otherwise("done").alias("state"), F.col("ts").cast("timestamp").alias("taken_at"))
-    return accounts.sweep(sites, F.lit(last).cast("timestamp"), 86_400).groupBy("event_type", "state").agg(F.count("*").alias("n"))
+    last = events.agg(F.max("ts").cast("timestamp").alias("now"))
+    sites = events.crossJoin(F.broadcast(last)).select("event_type", "now", F.when(F.col("event_id") % 2 == 0, "taken").otherwise("done").alias("state"), F.col("ts").cast("timestamp").alias("taken_at"))
+    return accounts.sweep(sites, F.col("now"), 86_400).groupBy("event_type", "state").agg(F.count("*").alias("n"))
 
 
 @query("run_checkpoints", """WITH r AS (SELECT l_suppkey % 5 AS job_id, row_number() OVER w AS reads, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER w AS matches FROM lineitem WINDOW w AS (PARTITION BY l_suppkey % 5 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING)) SELECT job_id, reads, matches::BIGINT AS matches FROM r WHERE reads IN (200, 400, 800, 1600)""")
@@ -92,15 +92,29 @@ def run_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounts.checkpoints(reads)
 
 
-@query("credit_charges")
+CHARGES_SQL = """WITH RECURSIVE r AS (SELECT o_orderkey AS request_id, o_custkey AS account_id, 'b' || (o_orderkey % 7) AS business_id, o_orderkey % 5 + 1 AS cost, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders),
+a AS (SELECT c_custkey AS account_id, c_custkey % 20 AS milli, c_custkey % 25 = 1 AS comped FROM customer WHERE c_custkey % 10 <> 0), j AS (SELECT r.*, milli, coalesce(comped, false) AS comped FROM r LEFT JOIN a USING (account_id)),
+f AS (SELECT account_id, 0::BIGINT AS k, milli AS funds, []::VARCHAR[] AS unlocked, NULL::BIGINT AS request_id, false AS charged, NULL::VARCHAR AS reason, 0::BIGINT AS milli FROM j WHERE k = 1
+  UNION ALL SELECT account_id, k, CASE WHEN why IS NULL THEN funds - taken ELSE funds END, CASE WHEN why IS NULL THEN list_append(unlocked, business_id) ELSE unlocked END, request_id, why IS NULL, why, CASE WHEN why IS NULL THEN taken ELSE 0 END
+  FROM (SELECT j.account_id, j.k, f.funds, f.unlocked, j.business_id, j.request_id, CASE WHEN comped THEN 0 ELSE cost END::BIGINT AS taken,
+    CASE WHEN f.funds IS NULL THEN 'No such account.' WHEN list_contains(f.unlocked, j.business_id) THEN 'Already unlocked by this workspace.' WHEN NOT comped AND f.funds < cost THEN 'Not enough credits left.' END AS why FROM f JOIN j ON j.account_id = f.account_id AND j.k = f.k + 1))
+SELECT request_id, charged, reason, milli FROM f WHERE k > 0"""
+RATION_SQL = """WITH RECURSIVE q AS (SELECT event_id AS call_id, user_id AS caller, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT caller, 0::BIGINT AS k, []::BIGINT[] AS kept, NULL::BIGINT AS call_id, false AS admitted FROM q WHERE k = 1
+  UNION ALL SELECT caller, k, CASE WHEN ok THEN list_append(recent, t) ELSE recent END, call_id, ok FROM (SELECT *, len(recent) < 5 AND len(list_filter(recent, lambda x: x > t - 3600000000)) < 2 AS ok
+    FROM (SELECT q.caller, q.k, q.t, q.call_id, list_filter(f.kept, lambda x: x > q.t - 86400000000) AS recent FROM f JOIN q ON q.caller = f.caller AND q.k = f.k + 1)))
+SELECT call_id, admitted FROM f WHERE k > 0"""
+
+
+@query("credit_charges", CHARGES_SQL)
 def credit_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order asks for credits in turn: a fold over the running balance, which a test compares with a plain loop."""
+    """Each order asks for credits in turn: a fold over the running balance."""
     requests = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("account_id"), F.concat(F.lit("b"), (F.col("o_orderkey") % 7).cast("string")).alias("business_id"), (F.col("o_orderkey") % 5 + 1).cast("long").alias("cost"), F.col("o_orderdate").alias("at"))
     opening = _table(spark, sf_dir, "customer").filter("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("account_id"), (F.col("c_custkey") % 20).cast("long").alias("milli"), (F.col("c_custkey") % 25 == 1).alias("comped"))
     return accounts.charge(requests, opening)
 
 
-@query("rationed_calls")
+@query("rationed_calls", RATION_SQL)
 def rationed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which events a limit of 2 an hour and 5 a day admits: a fold in which refused calls leave no trace."""
     return accounts.rationed(_table(spark, sf_dir, "events").select(F.col("event_id").alias("call_id"), F.col("user_id").alias("caller"), F.col("ts").alias("at")), 2, 5)

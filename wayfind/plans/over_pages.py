@@ -173,8 +173,15 @@ def _readings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return docs, after
 
 
-@query("change_rates", """WITH c AS (SELECT count(*) FILTER (doc_id % 2 = 0) AS raw, count(*) FILTER (doc_id % 7 = 0) AS text, count(*) FILTER (doc_id % 7 = 0) AS normalised, count(*) FILTER (doc_id % 13 = 0) AS signals, count(*) AS shared FROM documents WHERE doc_id % 11 <> 0)
-SELECT 'raw' AS level, shared, raw AS changed FROM c UNION ALL SELECT 'text', shared, text FROM c UNION ALL SELECT 'normalised', shared, normalised FROM c UNION ALL SELECT 'signals', shared, signals FROM c""")
+def _levels_sql(html: str, body: str, signals: str) -> str:
+    plain = f"regexp_replace(trim(regexp_replace(lower({body}), '[ \\t\\n\\r]+', ' ', 'g')), '[0-9]+', '0', 'g')"
+    return ", ".join(f"{LEVEL_SQL.format(x)} AS {n}" for n, x in (("raw", html), ("text", body), ("normalised", plain), ("signals", signals)))
+
+
+@query("change_rates", f"""WITH b AS (SELECT doc_id AS id, {_levels_sql('text', 'lower(text)', 'source')} FROM documents),
+a AS (SELECT doc_id AS id, {_levels_sql("CASE WHEN doc_id % 2 = 0 THEN text || ' ' ELSE text END", "CASE WHEN doc_id % 7 = 0 THEN lower(text) || ' 2026' ELSE lower(text) END", "CASE WHEN doc_id % 13 = 0 THEN source || '+chat' ELSE source END")} FROM documents WHERE doc_id % 11 <> 0),
+c AS (SELECT count(*) AS shared, {', '.join(f"count(*) FILTER (a.{n} <> b.{n}) AS {n}" for n in change.LEVELS)} FROM a JOIN b USING (id))
+{' UNION ALL '.join(f"SELECT '{n}' AS level, shared, {n} AS changed FROM c" for n in change.LEVELS)}""")
 def change_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, after = _readings(spark, sf_dir)
     return change.change_rates(change.levels(before), change.levels(after))
@@ -240,12 +247,16 @@ def sender_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.substring_index("email", "@", -1).alias("domain")).agg(F.countDistinct("email").alias("addresses"), F.countDistinct("doc_id").alias("documents"))
 
 
-@query("page_credits", r"""WITH a AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS own, unnest(regexp_extract_all(html, '(?i)<a[^>]+href="(https?://[^"]*)"', 1)) AS link FROM pages),
-h AS (SELECT page_id, own, regexp_extract(lower(link), '://([^/?#]*)', 1) AS host FROM a)
-SELECT host, count(DISTINCT page_id) AS pages FROM h WHERE host <> lower(own) AND host <> '' GROUP BY host""")
+LEADS = "(?:website|site|web design|designed|built|created|developed|powered) by"
+
+
+@query("page_credits", rf"""WITH p AS (SELECT page_id, regexp_extract(lower(url), '://([^/?#]*)', 1) AS own, lower(html) || CASE page_id % 4 WHEN 0 THEN '<p>website by <a href="https://www.acme' || (page_id % 5) || '.net/x">acme</a></p>' WHEN 1 THEN '<a href="http://studio.biz">site by studio</a>' WHEN 2 THEN '<a href="https://plain.org">links</a>' ELSE '' END AS html FROM pages),
+a AS (SELECT page_id, own, unnest(list_concat(regexp_extract_all(html, '{LEADS}\s*:?\s*<a[^>]+href="(https?://[^"]*)"', 1), regexp_extract_all(html, '<a[^>]+href="(https?://[^"]*)"[^>]*>[^<]*{LEADS}', 1))) AS link FROM p),
+h AS (SELECT page_id, own, regexp_replace(regexp_extract(link, '://([^/?#]*)', 1), '^www\.', '') AS host FROM a)
+SELECT host, count(DISTINCT page_id) AS pages FROM h WHERE array_to_string(string_split(host, '.')[-2:], '.') <> array_to_string(string_split(own, '.')[-2:], '.') GROUP BY host""")
 def page_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Other hosts that pages link to."""
-    links = F.regexp_extract_all("html", F.lit(r'(?i)<a[^>]+href="(https?://[^"]*)"'), F.lit(1))
-    host = lambda c: F.regexp_extract(F.lower(c), r"://([^/?#]*)", 1)
-    found = _table(spark, sf_dir, "pages").select("page_id", host(F.col("url")).alias("own"), F.explode(links).alias("link")).withColumn("host", host(F.col("link")))
-    return found.filter("host <> own and host <> ''").groupBy("host").agg(F.countDistinct("page_id").alias("pages"))
+    """Who made a site, by the credit in its footer: other root domains beside or inside the words that say so."""
+    k = F.col("page_id")
+    footer = F.when(k % 4 == 0, F.concat(F.lit('<p>website by <a href="https://www.acme'), (k % 5).cast("string"), F.lit('.net/x">acme</a></p>'))).when(k % 4 == 1, '<a href="http://studio.biz">site by studio</a>').when(k % 4 == 2, '<a href="https://plain.org">links</a>').otherwise("")
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.lower("html"), footer).alias("html"))
+    return detect.credits(pages).groupBy("host").agg(F.countDistinct("page_id").alias("pages"))

@@ -214,9 +214,34 @@ def typo_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supply.suggestions(nation.select(F.lower(wrong).alias("typed")), words)
 
 
-@query("market_documents")
+@query("market_documents", f"""WITH {PLACES_SQL} SELECT town AS market, ordinal, id, to_json({{'id': id, 'name': name, 'cat': cat, 'ordinal': ordinal, 'verdicts': [{{'criterion_id': 'rated', 'verdict': CASE WHEN rating >= 3.5 THEN 'match' WHEN rating IS NOT NULL THEN 'no_match' ELSE 'unread' END}}]}})::VARCHAR AS document FROM places""")
 def market_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested documents by town, whose text no two engines write alike; a test reads one back."""
+    """A nested document of each place, by town."""
     places = places_of(spark, sf_dir)
     facts = places.select("id", F.lit("rated").alias("criterion_id"), F.when(F.col("rating") >= 3.5, "match").when(F.col("rating").isNotNull(), "no_match").otherwise("unread").alias("verdict"))
     return supply.market_documents(places, facts, "town")
+
+
+@query("work_list_chains", f"""WITH {PLACES_SQL}, w AS (SELECT id, ordinal, CASE WHEN ordinal % 4 = 0 THEN NULL WHEN ordinal % 4 = 1 THEN 'chain' || (ordinal % 3) || '.com' ELSE 'own' || (ordinal // 8) || '.com' END AS site_key FROM places),
+r AS (SELECT *, count(*) OVER (PARTITION BY site_key) AS n, row_number() OVER (PARTITION BY site_key ORDER BY ordinal) AS rn FROM w) SELECT CASE WHEN site_key IS NULL THEN 'kept' WHEN n >= 5 THEN 'chain' WHEN rn > 1 THEN 'duplicate' ELSE 'kept' END AS status, count(*) AS n, min(id) AS first_id FROM r GROUP BY 1""")
+def work_list_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A work list in which a few sites have many listings, some have several and a quarter have none."""
+    k = F.col("ordinal")
+    site = F.when(k % 4 == 1, F.concat(F.lit("https://chain"), (k % 3).cast("string"), F.lit(".com/"))).when(k % 4 != 0, F.concat(F.lit("http://www.own"), F.expr("ordinal div 8").cast("string"), F.lit(".com")))
+    return resolve.work_list(places_of(spark, sf_dir).withColumn("site", site)).groupBy("status").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+@query("chain_rule", f"""WITH {PLACES_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY ordinal % 500) AS same FROM places WHERE ordinal % 6 <> 0), a AS (SELECT rating, same FROM n UNION ALL SELECT rating, 0 FROM places WHERE ordinal % 6 = 0)
+SELECT coalesce(CASE WHEN rating < 3.0 THEN 'rating' WHEN same >= 3 THEN 'independent' END, 'kept') AS outcome, count(*) AS n FROM a GROUP BY 1""")
+def chain_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over places of which some share a name, written in different ways, and some have none."""
+    k = F.col("ordinal")
+    name = F.when(k % 6 == 0, "---").otherwise(F.concat(F.lit("Acme "), (k % 500).cast("string"), F.when(k % 2 == 0, " - North, LLC").otherwise(" Inc.")))
+    rules = [("rating", F.col("rating") >= 3.0), ("independent", F.col("same_name") < supply.CHAIN_NAMES)]
+    return supply.apply_rules(places_of(spark, sf_dir).withColumn("name", name), rules).groupBy(F.coalesce("first_fail", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("tile_chunks", f"""WITH {PLACES_SQL}, c AS (SELECT floor(lat / 2.0)::BIGINT || '_' || floor(lon / 2.0)::BIGINT AS cell, row_number() OVER (PARTITION BY floor(lat / 2.0), floor(lon / 2.0)) AS k FROM places) SELECT cell || '-' || ((k - 1) // 5) AS tile, count(*) AS n FROM c GROUP BY 1""")
+def tile_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of five places at most, so that a cell has several."""
+    return snapshot.tiles(places_of(spark, sf_dir), 5).groupBy("tile").agg(F.count("*").alias("n"))

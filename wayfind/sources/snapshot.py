@@ -14,19 +14,27 @@ REQUIRED = ("id", "name", "cat", "site", "lat", "lon")
 MOVE, KNOWN_SHARE = 0.15, 0.98
 
 
-def interleaved(lat: Column, lon: Column, bits: int = 8) -> Column:
-    """A space-filling order inside a cell: the bits of both coordinates in turn."""
+def hilbert(lat: Column, lon: Column, bits: int = 8) -> Column:
+    """A place's number on the Hilbert curve inside its cell: from the highest bit on, each quadrant turned as the curve enters it."""
     y, x = (F.floor((c / CELL_DEGREES - F.floor(c / CELL_DEGREES)) * (1 << bits)).cast("long") for c in (lat, lon))
-    out = F.lit(0).cast("long")
-    for b in range(bits):
-        out = out + F.shiftleft(F.shiftright(x, b) % 2, 2 * b) + F.shiftleft(F.shiftright(y, b) % 2, 2 * b + 1)
-    return out
+    last = (1 << bits) - 1
+
+    def step(at: Column, b: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), b)
+        right, up = at["x"].bitwiseAND(bit) != 0, at["y"].bitwiseAND(bit) != 0
+        quadrant = F.when(~right & ~up, 0).when(~right & up, 1).when(right & up, 2).otherwise(3).cast("long")
+        flipped = ~up & right
+        fx, fy = F.when(flipped, last - at["x"]).otherwise(at["x"]), F.when(flipped, last - at["y"]).otherwise(at["y"])
+        return F.struct(F.when(up, at["x"]).otherwise(fy).alias("x"), F.when(up, at["y"]).otherwise(fx).alias("y"), (at["d"] * 4 + quadrant).alias("d"))
+
+    levels = F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1))
+    return F.aggregate(levels, F.struct(x.alias("x"), y.alias("y"), F.lit(0).cast("long").alias("d")), step)["d"]
 
 
 def tiles(places: DataFrame, rows: int = ROWS_PER_TILE) -> DataFrame:
     """Places with cell, chunk within the cell along the curve, and tile."""
     ordered = Window.partitionBy("cell").orderBy("curve", "id")
-    placed = places.withColumn("cell", cell(F.col("lat"), F.col("lon"), CELL_DEGREES)).withColumn("curve", interleaved(F.col("lat"), F.col("lon")))
+    placed = places.withColumn("cell", cell(F.col("lat"), F.col("lon"), CELL_DEGREES)).withColumn("curve", hilbert(F.col("lat"), F.col("lon")))
     chunk = F.floor((F.row_number().over(ordered) - 1) / rows).cast("int")
     return placed.withColumn("chunk", chunk).withColumn("tile", F.concat_ws("-", "cell", F.col("chunk").cast("string"))).drop("curve")
 
@@ -35,9 +43,9 @@ def tile_index(tiled: DataFrame) -> DataFrame:
     return tiled.groupBy("tile").agg(F.min("lon").alias("west"), F.max("lon").alias("east"), F.min("lat").alias("south"), F.max("lat").alias("north"), F.count("*").alias("n"))
 
 
-def write(places: DataFrame, to: str) -> None:
+def write(places: DataFrame, to: str, rows: int = ROWS_PER_TILE) -> None:
     """The tiles, sorted along the curve, and then the index beside them."""
-    tiled = tiles(places)
+    tiled = tiles(places, rows)
     tiled.repartition("tile").sortWithinPartitions("tile", "id").write.mode("overwrite").option("compression", "zstd").partitionBy("tile").parquet(f"{to}/tiles")
     spark = places.sparkSession
     tile_index(spark.read.parquet(f"{to}/tiles")).coalesce(1).write.mode("overwrite").parquet(f"{to}/index")

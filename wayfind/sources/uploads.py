@@ -27,11 +27,12 @@ def map_upload(rows: DataFrame, site: Column, name: Column, phone: Column, line:
     """(rows kept, rows skipped with their reason): one row a site, the first line wins."""
     shaped = rows.select(line.cast("long").alias("line"), host_of(site).alias("site"), F.trim(name).alias("name"), F.trim(phone).alias("phone"))
     order = Window.partitionBy("site").orderBy("line")
-    ranked = shaped.withColumn("_n", F.when(F.col("site").isNotNull(), F.row_number().over(order)))
-    reason = F.when(F.col("site").isNull(), "no website").when(F.col("_n") > 1, "repeated website")
-    judged = ranked.withColumn("reason", reason)
-    kept = judged.filter("reason is null").drop("_n", "reason").orderBy("line").limit(most)
-    return kept, judged.filter("reason is not null").select("line", "site", "reason")
+    ranked = shaped.filter("site is not null").withColumn("_n", F.row_number().over(order))  # lines without a site are not gathered
+    first = ranked.filter("_n = 1").drop("_n")
+    kept = first.orderBy("line").limit(most)
+    beyond = first.join(kept.select("line"), "line", "left_anti").select("line", "site", F.lit("beyond the limit").alias("reason"))
+    repeated = ranked.filter("_n > 1").select("line", "site", F.lit("repeated website"))
+    return kept, shaped.filter("site is null").select("line", "site", F.lit("no website").alias("reason")).union(repeated).union(beyond)
 
 
 def write_delimited(rows: DataFrame, to: str) -> None:

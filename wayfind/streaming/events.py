@@ -29,20 +29,28 @@ def once(events: DataFrame, key: list[str], late: str = "1 day") -> DataFrame:
 
 
 def rationed(calls: DataFrame, per_hour: int, per_day: int) -> DataFrame:
-    """caller, call_id, at, admitted of a stream calls(caller, call_id, at); the state holds the last day's admitted times."""
+    """caller, call_id, at, admitted of a stream calls(caller, call_id, at).
+
+    The calls of a caller in one trigger are judged in order of time, to the microsecond.
+    The state holds the last day's admitted times, and goes when a caller has been silent
+    for two days.
+    """
 
     def admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(state.get[0]) if state.exists else []
-        for pdf in batches:
-            pdf = pdf.sort_values(["at", "call_id"], kind="stable")
-            out = []
-            for at in pdf["at"].astype("int64") // 1_000_000_000 if pdf["at"].dtype == "datetime64[ns]" else pdf["at"].map(lambda t: int(t.timestamp())):
-                kept = [t for t in kept if t > at - 86_400]
-                ok = len(kept) < per_day and sum(t > at - 3_600 for t in kept) < per_hour
-                if ok:
-                    kept.append(int(at))
-                out.append(ok)
-            yield pdf.assign(admitted=out)[["caller", "call_id", "at", "admitted"]]
+        pdf = pd.concat(list(batches)).sort_values(["at", "call_id"], kind="stable")
+        out = []
+        for at in pdf["at"].map(lambda t: int(t.value // 1000)):
+            kept = [t for t in kept if t > at - 86_400_000_000]
+            ok = len(kept) < per_day and sum(t > at - 3_600_000_000 for t in kept) < per_hour
+            if ok:
+                kept.append(at)
+            out.append(ok)
         state.update((kept,))
+        state.setTimeoutDuration(172_800_000)
+        yield pdf.assign(admitted=out)[["caller", "call_id", "at", "admitted"]]
 
-    return calls.groupBy("caller").applyInPandasWithState(admit, "caller long, call_id long, at timestamp, admitted boolean", "kept array<long>", "append", GroupStateTimeout.NoTimeout)
+    return calls.groupBy("caller").applyInPandasWithState(admit, "caller long, call_id long, at timestamp, admitted boolean", "kept array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
