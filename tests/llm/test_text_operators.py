@@ -347,3 +347,134 @@ def test_licences_of_whole_files_blocks_and_spdx_forms(spark):
     rows = [(i, path, text) for i, (path, text, _) in enumerate(files)]
     got = {r.path: r.license for r in license_scan.scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
     assert got == {path: name for path, _, name in files}
+
+
+def test_token_groups_of_linked_sets():
+    rng = np.random.default_rng(8)
+    for k in range(1500):
+        a = int(rng.integers(1, 14) if k % 3 == 0 else rng.integers(5, 300))
+        b = int(rng.integers(-(-75 * a // 100), a * 100 // 75 + 1))
+        common = -(-(a + b) * 75 // 175)
+        if common > min(a, b):
+            continue
+        tokens = rng.permutation(np.unique(rng.integers(0, 2**63, 2 * (a + b) + 9).astype(np.uint64)))[: a + b - common]
+        x, y = np.sort(tokens[:a]), np.sort(np.concatenate([tokens[:common], tokens[a:]]))
+        (gx, may_x), (gy, may_y) = shingle_join.first_groups(x, 75), shingle_join.first_groups(y, 75)
+        assert len(set(gx.tolist()) & set(gy.tolist())) > may_x + may_y
+        for mine, theirs in ((x, y), (y, x)):  # and in one of the two dealings at least as many of all as a set must share
+            whole = [set(np.concatenate([before, last]).tolist()) for before, last, _ in shingle_join.token_groups(theirs, 75)]
+            assert any(len(set(np.concatenate([before, last]).tolist()) & set().union(*whole)) >= max(1, 0 if len(before) else len(last) - differ) for before, last, differ in shingle_join.token_groups(mine, 75))
+
+
+def test_diffuse_groups(spark):
+    rng = np.random.default_rng(21)
+    vocabulary = [f"q{i}" for i in range(300)]
+    rows = []
+    for g in range(3):  # copies of a text that is not there itself, so that few link with any one of them
+        base = list(rng.choice(vocabulary, 120))
+        for i in range(45):
+            words = list(base)
+            for at in rng.integers(0, 120, rng.integers(2, 8)):
+                words[at] = vocabulary[rng.integers(0, 300)]
+            rows.append((1000 * g + i, " ".join(words[rng.integers(0, 4) : 120 - rng.integers(0, 12)])))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_components(rows)
+    assert got == want and len({c for _, c in want.values()}) > 3
+
+
+def test_packing_pairs_what_two_partitions_hold(spark):
+    docs = spark.range(0, 20_000, 1, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.repeat(F.lit(" word"), F.when(F.col("id") < 10_000, 600).otherwise(400))).alias("text"))
+    rows = packing.pack(docs).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert len(rows) == 10_000 and all(r.n <= 1024 for r in rows)
+
+
+def test_clashing_columns_pass_through(spark):
+    names = ["gone", "_gone", "doc", "_doc", "runs", "_runs", "size", "_copy", "copies", "of", "key", "_source"]
+    text = "one two three four five six seven " * 6
+    docs = spark.createDataFrame([(i, text, "en", "a", 1, *range(len(names))) for i in (1, 2)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for made in (mixing.mix(docs), substring_dedup.dedup(docs), shingle_join.keep_one(docs)):
+        assert made.columns == docs.columns and all(tuple(r)[5:] == tuple(range(len(names))) for r in made.collect())
+
+
+def test_toxicity_scores_match_a_plain_loop(spark, documents):
+    model = toxicity.fit(documents, spark.read.parquet(f"{SF}/labels.parquet"))
+    known = toxicity._function_table()
+    some = documents.filter("n_chars < 1500").orderBy("doc_id").limit(25)
+    got = {r.doc_id: r.score for r in toxicity.score(some, model).collect()}
+    for r in some.collect():
+        rows, first = toxicity.features(np.frombuffer(r.text.encode(), np.uint8), np.array([0, len(r.text.encode())]))
+        words = [sum(model.table[i] for i in row) for row in rows]
+        logit = model.base
+        for w, (weights, bias) in enumerate(zip(model.filters, model.bias, strict=True)):
+            for f in range(toxicity.FILTERS):
+                best = 0.0
+                for at in range(len(words) - len(weights) + 1):
+                    best = max(best, sum(float(words[at + i] @ weights[i][:, f]) for i in range(len(weights))) + float(bias[f]))
+                logit += best * float(model.out[w * toxicity.FILTERS + f])
+        votes = [sum(known[row[0]] == k + 1 for row in rows) for k in range(len(toxicity.LANGUAGES))]
+        language = votes.index(max(votes)) if max(votes) else len(toxicity.LANGUAGES)
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-(logit - model.threshold[language]))), abs=1e-3)
+
+
+def test_quality_matches_a_plain_loop(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = {r.doc_id: r for r in quality.classify(documents, labels, F.col("source"), F.concat_ws("/", "source", "lang")).collect()}
+    good = {}
+    for r in labels.collect():
+        if r.quality in (0, 1) and r.doc_id is not None:
+            good[r.doc_id] = min(r.quality, good.get(r.doc_id, 1))
+    rows = [(r.doc_id, r.source, f"{r.source}/{r.lang}") for r in documents.collect()]
+
+    def strength(groups):
+        k, n = sum(a for a, _ in groups), sum(b for _, b in groups)
+        rate, by_chance = k / n, len(groups) - 1
+        below = n - sum(b * b for _, b in groups) / n - by_chance
+        rho = 0.0001 if rate in (0, 1) or not below else (sum((a - b * rate) ** 2 / b for a, b in groups) / (rate * (1 - rate)) - by_chance) / below
+        return 1 / min(0.5, max(0.0001, rho)) - 1
+
+    count = lambda at: {x: (sum(good[d] for d, *p in rows if d in good and p[at] == x), sum(1 for d, *p in rows if d in good and p[at] == x)) for x in {p[at] for d, *p in rows if d in good}}
+    hosts, paths = count(0), count(1)
+    overall = (sum(k for k, _ in hosts.values()) + 1) / (sum(n for _, n in hosts.values()) + 2)
+    s1, s2 = strength(list(hosts.values())), strength(list(paths.values()))
+    for doc, host, path in rows:
+        rate = (sum(good.values()) + 1) / (len(good) + 2)
+        if host in hosts:
+            rate = (hosts[host][0] + s1 * overall) / (hosts[host][1] + s1)
+        if path in paths:
+            rate = (paths[path][0] + s2 * rate) / (paths[path][1] + s2)
+        assert got[doc].site_rate == pytest.approx(rate)
+        assert got[doc].score == pytest.approx(1 / (1 + np.exp(-(got[doc].evidence + np.log(rate / (1 - rate))))))
+
+
+def test_licences_match_a_plain_loop(spark):
+    import math
+    import re
+    from collections import Counter
+
+    templates = license_scan.all_templates()
+    terms = lambda t: [x for x in re.findall("[a-z0-9]+", t.lower()) if x not in license_scan.STOP]
+    counts = [(name, Counter(terms(t))) for name, t in templates]
+    df = Counter(t for _, c in counts for t in c)
+    idf = {t: math.log((1 + len(templates)) / (1 + n)) + 1 for t, n in df.items()}
+    unseen = math.log(1 + len(templates)) + 1
+    weigh = lambda c: {t: n * idf.get(t, unseen) for t, n in c.items()}
+    vectors = [(name, weigh(c)) for name, c in counts]
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    norms = [norm(v) for _, v in vectors]
+
+    def best(unit):
+        v = weigh(Counter(terms(unit)))
+        found = [(-round(sum(v[t] * w.get(t, 0) for t in v) / (norm(v) * n), 9), name) for (name, w), n in zip(vectors, norms, strict=True) if v]
+        return min((f for f in found if -f[0] >= license_scan.LEAST_COSINE), default=None)
+
+    def own(text):
+        text = re.sub("\r\n?", "\n", text or "")
+        blocks = re.split(license_scan.BETWEEN, re.sub(license_scan.COMMENT_ENDS, r"\1\n", text))
+        units = [(False, text)] + [(True, u) for u in {*blocks, *text.split("\n")}]
+        return min(((part, *b) for part, u in units if (b := best(u))), default=None)
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("n_chars < 3000")
+    got = {r.file_id: (r.license, r.via) for r in license_scan.scan(docs.select(F.col("doc_id").alias("file_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string"), F.lit("x.txt")).alias("path"), "text")).collect()}
+    want = {r.doc_id: own(r.text) for r in docs.collect()}
+    assert {i for i, (_, via) in got.items() if via == "header"} == {i for i, w in want.items() if w}
+    assert all(got[i][0] == w[2] for i, w in want.items() if w) and any(want.values())

@@ -6,8 +6,9 @@ times plus one hash-seeded Bernoulli copy with the fraction as its probability.
 
 Defined results: a null text has size 0 and an empty source is never repeated; a
 null source is one source, ranked last; a null doc_id hashes as the empty string;
-repeated rows share one fate; an empty table gives an empty result; other columns
-pass through unless they carry a name from OUTPUTS, which is overwritten.
+repeated rows share one fate; an empty table gives an empty result. `mix` returns all
+columns as they came, whatever their names; `plan_mix` puts its own in place of columns
+that carry a name from OUTPUTS.
 """
 
 from __future__ import annotations
@@ -64,20 +65,24 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = L
 
 def plan_mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, seed: str = "mix") -> DataFrame:
     """The documents with size, source_size, target, copies and taken."""
-    given = docs.drop(*OUTPUTS)
-    sized = given.withColumn("size", word_count(F.col("text")) if size is None else size.cast("long"))
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goals = targets(by_source, weights, limit).withColumnRenamed("source", "_source")
-    joined = sized.join(goals, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    planned = _planned(docs, size, weights, limit, seed)
+    own = [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in OUTPUTS]
+    return planned.select(*own, *OUTPUTS)
+
+
+def _planned(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, seed: str = "mix") -> DataFrame:
+    """doc, a struct of a document's own columns, so that no name clashes, with OUTPUTS."""
+    words = word_count(F.col("text")) if size is None else size.cast("long")
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("source").alias("of"), F.col("doc_id").alias("key"), words.alias("size"))
+    by_source = sized.groupBy(F.col("of").alias("source")).agg(F.sum("size").alias("source_size"))
+    joined = sized.join(targets(by_source, weights, limit), F.col("of").eqNullSafe(F.col("source")))
     rate = F.least(F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)), F.lit(float(limit)))
     whole = F.floor(rate)
-    extra = (uniform(F.col("doc_id"), seed) < rate - whole).cast("long")
+    extra = (uniform(F.col("key"), seed) < rate - whole).cast("long")
     return joined.withColumn("copies", (whole + extra).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each document as many times as planned, with its own columns."""
-    planned = plan_mix(docs, **options).filter("copies > 0")
-    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    own = [c for c in docs.columns if c not in OUTPUTS]
-    return planned.select(*own, copy.alias("_copy")).drop("_copy")
+    planned = _planned(docs, **options).filter("copies > 0")
+    return planned.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("doc.*")

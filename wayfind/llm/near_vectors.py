@@ -8,7 +8,8 @@ double precision, so no link is below the threshold; a test measures the recall.
 
 Equal vectors of a label are one class from the start and never expanded into pairs.
 The number of rotations a table follows the number of classes of the largest label, and
-the number of tables follows the number of rotations.
+the number of tables follows the number of rotations. Labels may be of any type. Jobs run
+while the plan is built (each `cut`).
 
 Defined results: a null label, or a vector that is null, zero or holds null or
 non-finite components, links with nothing, as do vectors of different lengths; a null
@@ -73,7 +74,8 @@ def _files(rotations: int, tables: int):
                     rows = np.flatnonzero(length == d)
                     flat = batch.column(2).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), d)
                     x = np.zeros((len(rows), 1 << max(1, int(d - 1).bit_length())))
-                    x[:, :d] = flat / np.linalg.norm(flat, axis=1, keepdims=True)
+                    x[:, :d] = flat / np.abs(flat).max(axis=1, keepdims=True)  # so that no square leaves the range of doubles
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
                     ids, labels = batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))
                     for t in range(tables):
                         axes = [nearest_axes(x, 1000 * t + k) for k in range(rotations)]
@@ -102,6 +104,7 @@ def _similar(threshold: float):
             length = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
             edges = np.concatenate([[0], np.cumsum(length)])[:-1]
             x, y = (batch.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.float64) for i in (2, 3))
+            x, y = (v / np.repeat(np.maximum.reduceat(np.abs(v), edges), length) for v in (x, y))
             dot, xx, yy = (np.add.reduceat(v, edges) for v in (x * y, x * x, y * y))
             hit = pa.array(dot / (np.sqrt(xx) * np.sqrt(yy)) >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)], names=["a", "b"])
@@ -124,7 +127,7 @@ def near_vectors(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
     axes = 2 << max(1, ((most[1] or 2) - 1).bit_length())
     rotations = max(1, math.ceil(math.log(max(2, most[0] or 2)) / math.log(axes)))
     tables = TABLES.get(rotations) or TABLES[2] * TABLES_MORE ** (rotations - 2)
-    filed = cut(known.select("rep", F.col("label").cast("long").alias("label"), "embedding").mapInArrow(_files(rotations, tables), "rep long, label long, table_no int, bucket long, own boolean"))
+    filed = cut(known.select("rep", F.col("label").cast("string").alias("label"), "embedding").mapInArrow(_files(rotations, tables), "rep long, label string, table_no int, bucket long, own boolean"))
     place = ["label", "table_no", "bucket"]
     own = filed.filter("own").select(*place, F.col("rep").alias("x"))
     looks = filed.select(*place, F.col("rep").alias("y"))

@@ -1,13 +1,14 @@
 """Substring dedup over a de Bruijn graph of word k-mers.
 
 Every window of k = 20 words of one document is an edge between its first and last 19
-words. Edges are dealt to partitions in short nonbranching paths: consecutive windows
-that share a minimizer (the window's least hash of 8 words, leftmost), as is done to
-compact such graphs on disk. Equal windows have equal minimizers, so all occurrences
-of an edge meet where its minimizer is dealt. There, sorted by source coordinates
-(doc_id, start), an edge whose words occur at an earlier coordinate is repeated.
-Repeated edges that follow one another compact into maximal paths, which a join by
-doc_id brings to the texts; each word on a repeated path goes.
+words. Edges are dealt to partitions in the short paths that a document walks through
+one minimizer (the window's least hash of 8 words, leftmost), as is done to compact such
+graphs on disk. Equal windows have equal minimizers, so all occurrences of an edge meet
+where its minimizer is dealt. There, sorted by source coordinates (doc_id, start), an
+edge whose words occur at an earlier coordinate is repeated. Repeated edges that follow
+one another in a document compact into paths, which a join by doc_id brings to the
+texts; each word on a repeated path goes. The 19-word nodes are not built as rows and
+their degrees not counted: whether the next edge follows is told by coordinates.
 
 Equal paths within a task's share of the texts are told before the shuffle: only the
 earliest is dealt by its minimizer, the others are known to be repeated and are spread
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import packed_texts, shuffle_partitions, unpacked
+from wayfind.llm.common import fresh, packed_texts, shuffle_partitions, unpacked
 from wayfind.llm.textops import gram_hashes, mix, signed, text_slices, word_hashes, words_of
 
 WINDOW = 20
@@ -180,12 +181,11 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before = len(kept_w)
             w_edge, w_m = np.concatenate([kept_w, w_edge]), np.concatenate([np.full(before, kept_m), w_m])
             w_doc, w_at = np.concatenate([kept_doc, w_doc]), np.concatenate([kept_at, w_at])
-        key = mix(w_m.view(np.uint64)) + w_edge * _U(0x9E3779B97F4A7C15)
         # coordinates ascend within a minimizer but for windows within a path that begins earlier, so they are sorted too
-        order = np.lexsort((w_at, w_doc, key))
+        order = np.lexsort((w_at, w_doc, w_edge, w_m))
         a, b = order[1:], order[:-1]
         equal = np.zeros(len(order), bool)
-        equal[1:] = key[a] == key[b]
+        equal[1:] = (w_edge[a] == w_edge[b]) & (w_m[a] == w_m[b])
         lead = order[np.maximum.accumulate(np.where(equal, 0, np.arange(len(order))))]
         again = np.zeros(len(order), bool)
         again[order] = equal & ((w_doc[order] != w_doc[lead]) | (w_at[order] != w_at[lead]))
@@ -226,8 +226,8 @@ def kept_words(text: bytes, runs, window: int) -> tuple[list[bytes], int]:
     return list(compress(words, keep.tolist())), len(words)
 
 
-def _runs_by_document(docs: DataFrame, window: int) -> DataFrame:
-    return repeated_runs(docs, window).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
+def _runs_by_document(docs: DataFrame, window: int, doc: str, runs: str) -> DataFrame:
+    return repeated_runs(docs, window).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("start", "n")).alias(runs))
 
 
 def dedup_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -244,7 +244,7 @@ def dedup_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    runs = _runs_by_document(narrow, window)
+    runs = _runs_by_document(narrow, window, "_doc", "_runs")
     packed = packed_texts(narrow)
     return packed.join(runs, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "packed", "_runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
@@ -276,5 +276,6 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     columns[chars] = pa.array(size, columns[chars].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
-    joined = docs.join(_runs_by_document(docs, window), F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    return joined.select(*names, "_runs").mapInArrow(run, docs.schema)
+    doc, runs = fresh(docs, "doc", "runs")
+    joined = docs.join(_runs_by_document(docs, window, doc, runs), F.col("doc_id").cast("long") == F.col(doc), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in names], runs).mapInArrow(run, docs.schema)
