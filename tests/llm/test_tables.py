@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wayfind.llm import near_vectors, queries, url_filter
 from wayfind.llm.components import components
@@ -113,6 +114,13 @@ def test_rules_and_odd_urls(spark):
     assert url_filter.judge(pages.limit(0), none).count() == 0
 
 
+def test_domains_and_suffixes(spark):
+    hosts = ["a.b.example.com:8080", "shop.name.co.uk", "10.0.0.1:80", "10.0.0.1", "x.github.io", "localhost", ""]
+    domain, suffix = url_filter.domain_and_suffix(F.col("host"))
+    got = [tuple(r) for r in spark.createDataFrame([(h,) for h in hosts], "host string").select(domain, suffix).collect()]
+    assert got == [("example.com", "com"), ("name.co.uk", "co.uk"), ("10.0.0.1", ""), ("10.0.0.1", ""), ("x.github.io", "github.io"), ("localhost", "localhost"), ("", "")]
+
+
 def test_bad_hosts_are_blocked(spark):
     pages = [(i, f"http://{'bad' if i % 4 == 0 else 'h' + str(i % 40)}.site.info/x") for i in range(800)]
     labels = [(i, 0 if i % 4 == 0 else int(i % 11 != 0)) for i in range(800)]
@@ -140,7 +148,6 @@ def test_pipeline_matches_brute_force(spark):
     from collections import Counter
 
     import public_tokenizers
-    from pyspark.sql import functions as F
     from test_text_operators import brute_components
     from tokenizers import Tokenizer
 

@@ -83,9 +83,14 @@ WITH parts AS (
   VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
 ), outcome AS (
   SELECT doc_id AS page_id, min(quality)::BIGINT AS good FROM labels WHERE quality IN (0, 1) GROUP BY doc_id
+), counted AS (
+  SELECT host, regexp_replace(host, ':[0-9]*$', '') AS bare, sum(good)::DOUBLE AS k, count(*)::DOUBLE AS n FROM parts JOIN outcome USING (page_id) GROUP BY host
+), labels_of AS (
+  SELECT *, regexp_matches(bare, '^[0-9.]+$') AS address, string_split(bare, '.') AS parts_, array_to_string(string_split(bare, '.')[-2:], '.') AS two FROM counted
+), long_ AS (
+  SELECT *, two IN ('ac.uk', 'co.in', 'co.jp', 'co.nz', 'co.uk', 'co.za', 'com.au', 'com.br', 'github.io', 'gov.uk', 'net.au', 'org.au', 'org.uk') AS is_long FROM labels_of
 ), hosts AS (
-  SELECT host, sum(good)::DOUBLE AS k, count(*)::DOUBLE AS n, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
-  FROM parts JOIN outcome USING (page_id) GROUP BY host
+  SELECT host, k, n, CASE WHEN address THEN bare WHEN is_long THEN array_to_string(parts_[-3:], '.') ELSE two END AS domain, CASE WHEN address THEN '' WHEN is_long THEN two ELSE parts_[-1] END AS suffix FROM long_
 ), domains AS (SELECT domain, suffix, sum(k) AS k, sum(n) AS n FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(k) AS k, sum(n) AS n FROM domains GROUP BY suffix),
 levels AS (

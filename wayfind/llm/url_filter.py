@@ -28,6 +28,8 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
+#: Suffixes of two labels under which domains are registered; all others have one.
+SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.nz", "co.uk", "co.za", "com.au", "com.br", "github.io", "gov.uk", "net.au", "org.au", "org.uk")
 Z = 1.645
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -41,6 +43,15 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def domain_and_suffix(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[Column, Column]:
+    """A host's registered domain and its suffix, the port aside; an IPv4 address is a domain of its own without a suffix."""
+    bare = F.regexp_replace(host, ":[0-9]*$", "")
+    address, two = bare.rlike(r"^[0-9.]+$"), F.substring_index(bare, ".", -2)
+    long = two.isin(*suffixes)
+    domain = F.when(address, bare).when(long, F.substring_index(bare, ".", -3)).otherwise(two)
+    return domain, F.when(address, "").when(long, two).otherwise(F.substring_index(bare, ".", -1))
+
+
 def matched_rule(host: Column, path: Column, rules=RULES) -> Column:
     """The longest rule that fits, as struct<rule, verdict>, else null."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
@@ -56,7 +67,7 @@ def reputations(pages: DataFrame, labels: DataFrame) -> DataFrame:
     hosts = (
         pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host")).join(outcome, "page_id")
         .groupBy("host").agg(F.sum("good").alias("k"), F.count("*").alias("n"))
-        .withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+        .withColumns(dict(zip(("domain", "suffix"), domain_and_suffix(F.col("host")), strict=True)))
     )
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
