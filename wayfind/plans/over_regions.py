@@ -169,12 +169,12 @@ def dns_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.orderBy(F.md5(F.concat(F.lit("liveness:"), F.col("host"))), "host").limit(40)
 
 
-@query("shared_domain_stats", f"WITH {PLACES_SQL}, h AS (SELECT {HOST_SQL} AS host FROM places), c AS (SELECT host, count(*) AS n FROM h WHERE host IS NOT NULL GROUP BY host) SELECT (sum(n) FILTER (n > 1))::BIGINT AS shared_rows, count(*) FILTER (n > 1) AS shared_hosts, max(n) AS worst, min(host) FILTER (n = (SELECT max(n) FROM c)) AS worst_host FROM c")
+@query("shared_domain_stats", f"WITH {PLACES_SQL}, h AS (SELECT {HOST_SQL} AS host FROM places), c AS (SELECT host, count(*) AS n FROM h WHERE host IS NOT NULL GROUP BY host) SELECT coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS shared_rows, count(*) FILTER (n > 1) AS shared_hosts, max(n) AS worst, min(host) FILTER (n = (SELECT max(n) FROM c)) AS worst_host FROM c")
 def shared_domain_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many listings share a domain, and the domain that most do."""
     counted = places_of(spark, sf_dir).select(text.host_of(F.col("site")).alias("host")).filter("host is not null").groupBy("host").agg(F.count("*").alias("n"))
     many = F.col("n") > 1
-    return counted.agg(F.sum(F.when(many, F.col("n"))).alias("shared_rows"), F.count_if(many).alias("shared_hosts"), F.max("n").alias("worst"), F.min(F.struct((-F.col("n")).alias("less"), "host")).alias("w")).select("shared_rows", "shared_hosts", "worst", F.col("w.host").alias("worst_host"))
+    return counted.agg(F.coalesce(F.sum(F.when(many, F.col("n"))), F.lit(0)).alias("shared_rows"), F.count_if(many).alias("shared_hosts"), F.max("n").alias("worst"), F.min(F.struct((-F.col("n")).alias("less"), "host")).alias("w")).select("shared_rows", "shared_hosts", "worst", F.col("w.host").alias("worst_host"))
 
 
 @query("duplicate_counts", f"WITH {PLACES_SQL}, k AS (SELECT town, coalesce({HOST_SQL}, 'id:' || id) AS key FROM places) SELECT town, count(*) AS listings, count(*) - count(DISTINCT key) AS duplicates FROM k GROUP BY town")
