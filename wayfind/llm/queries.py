@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import license_scan, media, mixing, near_vectors, packing, quality, shingle_join, substring_dedup, toxicity, url_filter
+from wayfind.llm import centroids, importance, license_scan, media, mixing, near_vectors, packing, quality, shingle_join, substring_dedup, toxicity, url_filter
 from wayfind.llm.common import table
 
 QUERIES: dict = {}
@@ -147,6 +147,68 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")).withColumnRenamed("file_id", "doc_id")
 
 
+def _kmeans_sql(clusters: int, rounds: int) -> str:
+    """Plain k-means: every vector against every centroid, round by round."""
+    parts = [f"""
+  kept AS MATERIALIZED (
+    SELECT vec_id, [greatest(least(floor(256 * x::DOUBLE), 16777216), -16777216)::BIGINT FOR x IN embedding] AS x FROM embeddings
+    WHERE len(embedding) = 64 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding])
+  ), v AS MATERIALIZED (SELECT vec_id, unnest(x) AS x, unnest(range(64)) AS i FROM kept),
+  first AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x)::INTEGER - 1 AS cluster, x FROM kept QUALIFY cluster < {clusters}),
+  c0 AS MATERIALIZED (SELECT cluster, unnest(x) AS c, unnest(range(64)) AS i FROM first)"""]
+    for k in range(rounds + 1):
+        parts.append(f"""
+  d{k} AS (SELECT vec_id, cluster, sum((x - c) * (x - c))::BIGINT AS distance FROM v JOIN c{k} USING (i) GROUP BY ALL),
+  n{k} AS MATERIALIZED (SELECT vec_id, cluster, distance FROM d{k} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1)""")
+        if k < rounds:
+            parts.append(f"""
+  s{k} AS (SELECT cluster, i, sum(x)::BIGINT AS s, count(*) AS n FROM v JOIN n{k} USING (vec_id) GROUP BY ALL),
+  c{k + 1} AS MATERIALIZED (SELECT cluster, i, coalesce((s - (s % n + n) % n) // n, c)::BIGINT AS c FROM c{k} LEFT JOIN s{k} USING (cluster, i))""")
+    return "WITH" + ",".join(parts) + f"""
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM n{rounds} JOIN (SELECT cluster, sha256(string_agg(c::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster) USING (cluster)
+"""
+
+
+@query("op12_centroids", _kmeans_sql(centroids.CLUSTERS, centroids.ROUNDS))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = r"""
+WITH crc_table AS (
+  SELECT list(c ORDER BY b) AS tab
+  FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS b))
+), corpus AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), target AS (
+  SELECT regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), corpus_words AS MATERIALIZED (SELECT doc_id, unnest(w) AS w FROM corpus),
+target_words AS MATERIALIZED (SELECT unnest(w) AS w FROM target),
+known AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM corpus_words UNION SELECT w FROM target_words)),
+hashed AS MATERIALIZED (
+  SELECT w, xor(list_reduce(list_prepend(4294967295, [('0x' || substr(h, 2 * i + 1, 2))::BIGINT FOR i IN range(length(h) // 2)]), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM known, crc_table
+), s AS (SELECT bucket, count(*) AS s FROM corpus_words JOIN hashed USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM target_words JOIN hashed USING (w) GROUP BY bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM corpus_words) + 10000)::DOUBLE) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM target_words) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket)
+), weights AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM corpus_words JOIN hashed USING (w) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM corpus LEFT JOIN weights USING (doc_id)
+), ordered AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () * 10 // 100 AS drawn FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END AS rank FROM scored LEFT JOIN ordered USING (doc_id)
+"""
+
+
+@query("op13_importance_resampling", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
