@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, (float, np.floating)) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, (float, np.floating)) and v != v):
         return None
     if isinstance(v, (bool, np.bool_)):
         return bool(v)
