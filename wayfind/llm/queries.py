@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import centroids, importance, license_scan, media, mixing, near_vectors, packing, quality, shingle_join, substring_dedup, toxicity, url_filter
+from wayfind.llm import centroids, importance, license_scan, media, mixing, near_vectors, packing, personal, quality, shingle_join, substring_dedup, toxicity, url_filter
 from wayfind.llm.common import table
 
 QUERIES: dict = {}
@@ -147,6 +147,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")).withColumnRenamed("file_id", "doc_id")
 
 
+@query("op11_personal_data")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find(table(spark, sf_dir, "documents"))
+
+
 def _kmeans_sql(clusters: int, rounds: int) -> str:
     """Plain k-means: every vector against every centroid, round by round."""
     parts = [f"""
