@@ -18,6 +18,11 @@ PHONE = r"\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}"
 SHELL_CHARS, SHELL_SCRIPTS, THIN_CHARS = 250, 3, 400
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once, though f's own lambdas refer to it again and again."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def host_of(url: Column) -> Column:
     """The bare host, without www; null without a dot in it."""
     bare = F.regexp_replace(F.regexp_replace(F.lower(F.trim(url)), r"^https?://", ""), r"^www\.", "")

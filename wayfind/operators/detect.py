@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,12 +49,102 @@ CATALOGUE = (
 GENERIC = (("quote_form", r">\s*(get|request)\s+an?\s+(free\s+)?(quote|estimate)\s*<"), ("booking", r">\s*(book|schedule)\s+(now|online|an?\s+appointment)\s*<"), ("any_form", r"<form[^>]*>"), ("ads", r'class="ad"'), ("menu", r"<nav>"))
 
 
+#: A mark of GENERIC needs one of these words; of CATALOGUE, what `literals` finds in it.
+GENERIC_WORDS = (("quote", "estimate"), ("book", "schedule"), ("<form",), ('class="ad"',), ("<nav>",))
+
+
+def literals(mark: str) -> tuple[str, ...]:
+    """For each alternative of a mark, its longest stretch of plain characters outside groups and classes, which any match holds."""
+    out = []
+    for part in _alternatives(mark):
+        bare = re.sub(r"\[[^\]]*\][*+?]?|\\[a-z][*+?]?", "\0", part)
+        while re.search(r"\([^()]*\)", bare):
+            bare = re.sub(r"\([^()]*\)[*+?]?", "\0", bare)
+        plain = re.sub(r"\\(.)", r"\1", re.sub(r"(?<!\\)(.[*?]|[.+])", "\0", bare))
+        out.append(max(plain.split("\0"), key=len))
+    return tuple(dict.fromkeys(out))
+
+
+def _alternatives(mark: str) -> list[str]:
+    """The mark split at its outermost bars."""
+    parts, depth = [""], 0
+    for at, c in enumerate(mark):
+        if c in "()" and mark[at - 1 : at] != "\\":
+            depth += 1 if c == "(" else -1
+        if c == "|" and depth == 0:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return parts
+
+
+def _marks() -> list[tuple[str, str, bool, re.Pattern, tuple[str, ...]]]:
+    """family, name, vendor, expression and words of every mark."""
+    named = [(f, v, True, re.compile(mark, re.ASCII), literals(mark)) for f, v, mark in CATALOGUE]
+    return named + [(f, "generic", False, re.compile(mark, re.ASCII), words) for (f, mark), words in zip(GENERIC, GENERIC_WORDS, strict=True)]
+
+
 def signals(pages: DataFrame) -> DataFrame:
-    """page_id, family, name, vendor (false: a generic mark): one row a mark found, in one pass over the markup."""
-    html = F.lower("html")
-    marks = [F.when(html.rlike(mark), F.struct(F.lit(f).alias("family"), F.lit(v).alias("name"), F.lit(True).alias("vendor"))) for f, v, mark in CATALOGUE]
-    marks += [F.when(html.rlike(mark), F.struct(F.lit(f).alias("family"), F.lit("generic").alias("name"), F.lit(False).alias("vendor"))) for f, mark in GENERIC]
-    return pages.select("page_id", F.explode(F.array_compact(F.array(*marks))).alias("s")).select("page_id", "s.*")
+    """page_id, family, name, vendor (false: a generic mark): one row a mark found.
+
+    One pass over the markup by an automaton of all marks' words tells which marks can be
+    there; only their expressions then run. A null markup has no marks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        marks, by_word = _marks(), {}
+        for k, (*_, words) in enumerate(marks):
+            for w in words:
+                by_word.setdefault(w, []).append(k)
+        automaton = ahocorasick.Automaton()
+        for w, ks in by_word.items():
+            automaton.add_word(w, ks)
+        automaton.make_automaton()
+        for batch in batches:
+            rows, found = [], []
+            for i, cell in enumerate(batch.column(1)):
+                html = (cell.as_py() or "").lower()
+                able = {k for _, ks in automaton.iter(html) for k in ks}
+                held = [k for k in sorted(able) if marks[k][3].search(html)]
+                rows += [i] * len(held)
+                found += held
+            columns = [batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array([marks[k][at] for k in found], kind) for at, kind in ((0, pa.string()), (1, pa.string()), (2, pa.bool_()))]]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "family", "name", "vendor"])
+
+    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, family string, name string, vendor boolean"
+    return pages.select("page_id", "html").mapInArrow(run, schema)
+
+
+def site_signals(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """site, pages, vendors (map: family to its vendors, each once, in order), generic (families with a generic mark), pages_by_family.
+
+    Of pages(page_id, site) and found(page_id, family, name, vendor). Marks are first
+    summed by site, family and name, so the maps of a site are made of one row a mark,
+    however many pages it has; a site without marks has empty maps.
+    """
+    marks = found.join(pages.select("page_id", "site"), "page_id").groupBy("site", "family", "name", "vendor").agg(F.count("*").alias("n"))
+    by_family = marks.groupBy("site", "family").agg(
+        F.array_sort(F.collect_set(F.when(F.col("vendor"), F.col("name")))).alias("names"), F.max(~F.col("vendor")).alias("generic"), F.max("n").alias("most")
+    )
+    maps = by_family.groupBy("site").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.size("names") > 0, F.struct("family", "names"))))).alias("vendors"),
+        F.array_sort(F.collect_set(F.when(F.col("generic"), F.col("family")))).alias("generic"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("family", "most")))).alias("pages_by_family"),
+    )
+    sites = pages.groupBy("site").agg(F.count("*").alias("pages"))
+    empty = lambda name, kind: F.coalesce(name, F.expr(f"cast(map() as {kind})"))
+    return sites.join(maps, "site", "left").select(
+        "site", "pages", empty(F.col("vendors"), "map<string,array<string>>").alias("vendors"),
+        F.coalesce("generic", F.array().cast("array<string>")).alias("generic"), empty(F.col("pages_by_family"), "map<string,bigint>").alias("pages_by_family"),
+    )
+
+
+def as_signals(sites: DataFrame) -> DataFrame:
+    """id, family, name, vendor of site_signals' rows, as `evidence.detector` reads them."""
+    named = sites.select("site", F.explode("vendors").alias("family", "names")).select(F.col("site").alias("id"), "family", F.explode("names").alias("name"), F.lit(True).alias("vendor"))
+    return named.union(sites.select(F.col("site").alias("id"), F.explode("generic").alias("family"), F.lit("generic").alias("name"), F.lit(False).alias("vendor")))
 
 
 #: Words before the name of whoever made a site.

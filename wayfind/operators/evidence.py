@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.functions.text import quote_holds
+from wayfind.functions.text import folded, let
 from wayfind.operators.judge import absence
 
 # Which detector family bears on a criterion, by the criterion's words.
@@ -16,6 +16,8 @@ FAMILIES = (
 )
 REFUSED = ("blocked", "robots_blocked")
 OURS = ("timeout", "probe_error")
+#: A shorter quote proves nothing.
+LEAST_QUOTE = 12
 
 
 def family_of(text: Column, families=FAMILIES) -> Column:
@@ -51,11 +53,16 @@ def batch(reads: DataFrame, criteria: DataFrame, detected: DataFrame, model: Dat
     only with a quote that stands on the pages; a model's absence match is judged by what
     was read; a criterion that the model(id, criterion_id, verdict, quote) left out is open.
     """
-    asked = reads.crossJoin(F.broadcast(criteria.select("criterion_id", "type")))  # criteria are a few rows that a person wrote
+    narrow = criteria.select("criterion_id", "type")  # rows that a person wrote, so few that each site gets an array of its answers
+    answers = model.groupBy("id").agg(F.collect_list(F.struct("criterion_id", "verdict", "quote")).alias("_answers"))
+    held = lambda a, page: F.coalesce((a["verdict"] == "couldnt_tell") | ((F.length(folded(a["quote"])) >= LEAST_QUOTE) & F.contains(page, folded(a["quote"]))), F.lit(False))
+    judged = let(folded(F.col("text")), lambda page: F.transform("_answers", lambda a: F.struct(a["criterion_id"].alias("criterion_id"), F.when(held(a, page), a["verdict"]).otherwise("couldnt_tell").alias("said"))))
+    facts = reads.join(answers, "id", "left").select("id", "outcome", "pages", "whole_site", judged.alias("_judged"))  # the text stays here
+    asked = facts.crossJoin(F.broadcast(narrow))
     settled = detected.select("id", "criterion_id", F.lit(True).alias("_detected"))
-    answers = model.select("id", "criterion_id", F.col("verdict").alias("_said"), "quote")
-    joined = asked.join(settled, ["id", "criterion_id"], "left").join(answers, ["id", "criterion_id"], "left")
-    said = F.when((F.col("_said") == "couldnt_tell") | F.coalesce(quote_holds(F.col("quote"), F.col("text")), F.lit(False)), F.col("_said")).otherwise("couldnt_tell")
+    mine = F.get(F.filter("_judged", lambda a: a["criterion_id"] == F.col("criterion_id")), F.lit(0))
+    joined = asked.join(settled, ["id", "criterion_id"], "left").withColumn("_said", mine["said"])
+    said = F.col("_said")
     no, pages = F.lit(False), F.col("pages")
     silent = absence(F.col("outcome"), no, no, F.col("whole_site"), pages, F.greatest(pages - 1, F.lit(0)), no, no)
     judged = (F.col("type") == "absence") & (said == "match")
