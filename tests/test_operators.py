@@ -190,5 +190,5 @@ def test_the_curve_goes_from_neighbour_to_neighbour(spark):
 
 def test_one_edit(spark):
     pairs = [("pheonix", "phoenix", 1), ("a", "a", 0), ("ab", "ba", 1), ("abc", "cba", None), ("", "a", 1), ("dallas", "dalas", 1), ("abcd", "badc", None)]
-    got = spark.createDataFrame(pairs, "a string, b string, d int").select(text.one_edit(F.col("a"), F.col("b")).alias("x"), "d").collect()
+    got = spark.createDataFrame(pairs, "a string, b string, d int").select(text.edit_distance(F.col("a"), F.col("b"), 1).alias("x"), "d").collect()
     assert [r.x for r in got] == [r.d for r in got]

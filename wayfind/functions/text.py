@@ -115,19 +115,46 @@ def digest16(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
-def edit_variants(word: Column) -> Column:
-    """The word and all words with one letter less: two words one edit apart share one."""
-    letters = F.sequence(F.lit(1), F.length(word))
-    shorter = F.transform(letters, lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
-    return F.array_distinct(F.concat(F.array(word), F.when(F.length(word) > 0, shorter).otherwise(F.array().cast("array<string>"))))
-
-
-def one_edit(a: Column, b: Column) -> Column:
-    """0, 1 or null: the edit distance up to 1, where two neighbours that change places are one edit."""
-    at = F.array_min(F.filter(F.sequence(F.lit(1), F.length(a)), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))))
-    swapped = F.concat(F.substring(a, F.lit(1), at - 1), F.substring(a, at + 1, F.lit(1)), F.substring(a, at, F.lit(1)), F.substring(a, at + 2, F.length(a)))
-    near = F.levenshtein(a, b)
-    return F.when(near <= 1, near).when((near == 2) & (F.length(a) == F.length(b)) & (swapped == b), 1)
+def edit_variants(word: Column, depth: int = 1) -> Column:
+    """The word and all words with up to `depth` letters less: two words so many edits apart share one."""
+    out = F.array(word)
+    for _ in range(depth):
+        shorter = F.transform(out, lambda w: F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))))
+        out = F.array_distinct(F.concat(out, F.flatten(F.filter(shorter, lambda x: x.isNotNull()))))
+    return out
+
+
+def edit_distance(a: Column, b: Column, cap: int) -> Column:
+    """The edit distance up to cap, else null; two neighbours that change places are one edit, after which neither is edited again.
+
+    Only the band of 2 * cap + 1 cells around the diagonal is worked out: cell k of row i
+    stands for the first i letters of a and the first i + k - cap of b.
+    """
+    far, band = cap + 1, F.array(*[F.lit(k) for k in range(2 * cap + 1)])
+    letter = lambda w, i: F.substring(w, i, F.lit(1))
+    at = lambda row, k: F.coalesce(F.get(row, k), F.lit(far))
+
+    def row(held: Column, i: Column) -> Column:
+        def cell(done: Column, k: Column) -> Column:
+            j = i + k - cap
+            same = letter(a, i) == letter(b, j)
+            swapped = (i > 1) & (j > 1) & (letter(a, i) == letter(b, j - 1)) & (letter(a, i - 1) == letter(b, j))
+            best = F.least(
+                F.when(k > 0, at(done, k - 1) + 1).otherwise(far), at(held["last"], k + 1) + 1, at(held["last"], k) + F.when(same, 0).otherwise(1),
+                F.when(swapped, at(held["before"], k) + 1).otherwise(far),
+            )
+            value = F.when((j < 0) | (j > F.length(b)), far).when(j == 0, i).otherwise(best)
+            return F.concat(done, F.array(F.least(value, F.lit(far))))
+
+        new = F.aggregate(band, F.array().cast("array<int>"), cell)
+        return F.struct(held["last"].alias("before"), new.alias("last"))
+
+    first = F.transform(band, lambda k: F.when(k < cap, far).otherwise(k - cap))
+    start = F.struct(F.transform(band, lambda _: F.lit(far)).alias("before"), first.alias("last"))
+    steps = F.filter(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))), lambda i: i <= F.length(a))
+    end = F.aggregate(steps, start, row)["last"]
+    found = F.when(F.abs(F.length(a) - F.length(b)) <= cap, at(end, F.length(b) - F.length(a) + cap))
+    return F.when(found <= cap, found)
 
 
 def slug(text: Column) -> Column:

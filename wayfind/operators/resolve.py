@@ -6,16 +6,18 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.functions.geo import EARTH_METRES
 from wayfind.functions.text import billing_key, host_of
+from wayfind.sources.shared import cut
 
 CHAIN_SITES = 5
 SAME_PLACE_METRES = 200.0
 #: Degrees of latitude that 200 m never exceed.
 STEP_DEGREES = 0.0019
+METRES_PER_DEGREE = EARTH_METRES * math.pi / 180
 
 
 def work_list(rows: DataFrame, drop_chains: bool = True) -> DataFrame:
@@ -92,6 +94,55 @@ def shared_hosts(rows: DataFrame) -> DataFrame:
     return far.select("host", "places").distinct()
 
 
+def representatives(rows: DataFrame, metres: float = SAME_PLACE_METRES) -> DataFrame:
+    """host, id: of each host's rows(id, ordinal, site, lat, lon), in order, those farther than so many metres from all representatives before them.
+
+    A greedy choice in rounds: the first open row of a cell is chosen if no earlier open row
+    lies within the distance; then all open rows near a chosen one are settled. Cells are
+    narrow enough that rows of one are always near each other, so a round compares at most
+    one row a cell with its neighbours, whatever a street holds. The first open row of all
+    is chosen in each round, so rounds end; what is left is written to the shared folder
+    each time. Rows without a host or coordinates have no part in it; places on both sides
+    of the date line are not compared.
+    """
+    size = metres / METRES_PER_DEGREE / 1.5
+    wide = F.greatest(F.cos(F.radians((F.col("cy") + 1) * size)), F.cos(F.radians(F.col("cy") * size))) * METRES_PER_DEGREE
+    hosted = rows.select("id", "ordinal", host_of(F.col("site")).alias("host"), "lat", "lon").filter("host is not null and lat is not null and lon is not null")
+    # a row of cells has one width, from its latitude; columns of the rows next to it are found by degrees
+    placed = hosted.withColumn("cy", F.floor(F.col("lat") / size).cast("long")).withColumn("width", F.lit(metres / 1.5) / F.greatest(wide, F.lit(1.0))).withColumn("cx", F.floor(F.col("lon") / F.col("width")).cast("long"))
+    open_ = cut(placed.select("host", "id", "ordinal", "lat", "lon", "cy", "cx", "width"))
+    near = lambda a, b: great_circle_metres(F.col(f"{a}.lat"), F.col(f"{a}.lon"), F.col(f"{b}.lat"), F.col(f"{b}.lon")) <= metres
+    chosen = None
+    while not open_.isEmpty():
+        leaders = open_.groupBy("host", "cy", "cx").agg(F.min_by(F.struct("id", "ordinal", "lat", "lon", "width"), F.struct("ordinal", "id")).alias("l")).select("host", "cy", "l.*")
+        met = _reaching(leaders, metres, size).alias("a").join(open_.alias("b"), ["host", "cy", "cx"])
+        earlier = F.struct("b.ordinal", "b.id") < F.struct("a.ordinal", "a.id")
+        blocked = met.filter(earlier & near("a", "b")).select("host", F.col("a.id").alias("id"), F.col("a.ordinal").alias("ordinal")).distinct()
+        new = cut(leaders.join(blocked, ["host", "id", "ordinal"], "left_anti"))
+        covered = _reaching(new, metres, size).alias("a").join(open_.alias("b"), ["host", "cy", "cx"]).filter(near("a", "b")).select("host", F.col("b.id").alias("id"), F.col("b.ordinal").alias("ordinal")).distinct()
+        open_ = cut(open_.join(covered, ["host", "id", "ordinal"], "left_anti"))
+        picked = new.select("host", "id")
+        chosen = picked if chosen is None else chosen.union(picked)
+    return chosen if chosen is not None else placed.select("host", "id").limit(0)
+
+
+def _reaching(rows: DataFrame, metres: float, size: float) -> DataFrame:
+    """Each row once for every cell that can hold a row within the distance of it."""
+    tall = 1.001 * metres / METRES_PER_DEGREE
+    rows_of = F.sequence(F.floor((F.col("lat") - tall) / size).cast("long"), F.floor((F.col("lat") + tall) / size).cast("long"))
+    spans = rows.drop("cy").withColumn("cy", F.explode(rows_of))
+    wide = F.greatest(F.cos(F.radians((F.col("cy") + 1) * size)), F.cos(F.radians(F.col("cy") * size))) * METRES_PER_DEGREE
+    width = F.lit(metres / 1.5) / F.greatest(wide, F.lit(1.0))
+    reach = F.lit(1.02 * metres) / F.greatest(F.cos(F.radians(F.abs("lat") + 0.01)) * METRES_PER_DEGREE, F.lit(1.0))
+    columns = F.sequence(F.floor((F.col("lon") - reach) / width).cast("long"), F.floor((F.col("lon") + reach) / width).cast("long"))
+    return spans.withColumn("cx", F.explode(columns)).select("host", "id", "ordinal", "lat", "lon", "cy", "cx")
+
+
+def great_circle_metres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    half = lambda a, b: F.pow(F.sin(F.radians(a - b) / 2), 2)
+    return 2 * EARTH_METRES * F.asin(F.sqrt(half(lat2, lat1) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon2, lon1)))
+
+
 def claims(listings: DataFrame, requests: DataFrame) -> DataFrame:
     """request_id, id, how: listings that a removal request names by domain, else by its phone's last ten digits."""
     digits = lambda c: F.right(F.regexp_replace(c, "[^0-9]", ""), F.lit(10))

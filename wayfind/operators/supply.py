@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.functions.geo import EARTH_METRES, haversine, within_any
-from wayfind.functions.text import bare_name, edit_variants, is_street_address, one_edit, readable, similarity
+from wayfind.functions.text import bare_name, edit_distance, edit_variants, is_street_address, readable, similarity
 
 CHAIN_NAMES = 3
 METRES_PER_DEGREE = 111_320.0
@@ -86,15 +86,22 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, metres: float, least: float
     )
 
 
-def suggestions(typed: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """typed, word, distance: each typed word's nearest known word within one edit; ties: the more common, then by name.
+def suggestions(typed: DataFrame, vocabulary: DataFrame, shortest: int = 4, long: int = 7) -> DataFrame:
+    """typed, word, distance: each typed word's nearest known word, within one edit, or two for a word of `long` letters; ties: the more common, then by name.
 
-    typed(typed), vocabulary(word, n). Words meet by their variants, so no pair is looked at that shares none.
+    typed(typed), vocabulary(word, n). A typed word below `shortest` letters has none. Words
+    meet by the words that deletions leave of both, as many as edits are allowed, so no
+    pair is looked at that shares none; short words, whose remains many share, are only
+    indexed for one edit.
     """
-    left = typed.select("typed").distinct().select("typed", F.explode(edit_variants(F.col("typed"))).alias("v"))
-    right = vocabulary.select("word", "n", F.explode(edit_variants(F.col("word"))).alias("v"))
-    pairs = left.join(right, "v").select("typed", "word", "n").distinct().withColumn("distance", one_edit(F.col("typed"), F.col("word"))).filter("distance is not null")
-    best = pairs.groupBy("typed").agg(F.min(F.struct("distance", (-F.col("n")).alias("less"), "word")).alias("b"))
+    able = typed.select("typed").distinct().filter(F.length("typed") >= shortest).withColumn("cap", F.when(F.length("typed") >= long, 2).otherwise(1))
+    variants = lambda c: F.when(F.col("cap") == 2, edit_variants(c, 2)).otherwise(edit_variants(c, 1))
+    left = able.select("typed", "cap", F.explode(variants(F.col("typed"))).alias("v"))
+    known = vocabulary.withColumn("cap", F.explode(F.when(F.length("word") >= long - 2, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    right = known.select("word", "n", "cap", F.explode(variants(F.col("word"))).alias("v"))
+    pairs = left.join(right, ["cap", "v"]).select("typed", "word", "n", "cap").distinct()
+    near = pairs.withColumn("distance", F.when(F.col("cap") == 2, edit_distance(F.col("typed"), F.col("word"), 2)).otherwise(edit_distance(F.col("typed"), F.col("word"), 1))).filter("distance is not null")
+    best = near.groupBy("typed").agg(F.min(F.struct("distance", (-F.col("n")).alias("less"), "word")).alias("b"))
     return best.select("typed", F.col("b.word").alias("word"), F.col("b.distance").alias("distance"))
 
 

@@ -203,9 +203,9 @@ TYPED_SQL = """words AS (SELECT lower(n_name) AS word, 1 AS n FROM nation UNION
 asked AS (SELECT DISTINCT lower(CASE n_nationkey % 4 WHEN 0 THEN substr(n_name, 2) WHEN 1 THEN substr(n_name, 1, 2) || substr(n_name, 4, 1) || substr(n_name, 3, 1) || substr(n_name, 5) WHEN 2 THEN 'x' || n_name ELSE n_name || 'qq' END) AS typed FROM nation)"""
 
 
-@query("typo_suggestions", f"WITH {TYPED_SQL}, d AS (SELECT typed, word, n, damerau_levenshtein(typed, word) AS distance FROM asked, words) SELECT typed, word, distance FROM (SELECT *, row_number() OVER (PARTITION BY typed ORDER BY distance, n DESC, word) AS rn FROM d WHERE distance <= 1) WHERE rn = 1")
+@query("typo_suggestions", f"WITH {TYPED_SQL}, d AS (SELECT typed, word, n, damerau_levenshtein(typed, word) AS distance FROM asked, words) SELECT typed, word, distance FROM (SELECT *, row_number() OVER (PARTITION BY typed ORDER BY distance, n DESC, word) AS rn FROM d WHERE length(typed) >= 4 AND distance <= CASE WHEN length(typed) >= 7 THEN 2 ELSE 1 END) WHERE rn = 1")
 def typo_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Misspelt nation names against names and brands."""
+    """Misspelt nation names against names and brands; some take two edits."""
     nation, part = spark.read.parquet(f"{sf_dir}/nation.parquet"), spark.read.parquet(f"{sf_dir}/part.parquet")
     n, k = F.col("n_name"), F.col("n_nationkey") % 4
     swapped = F.concat(F.substring(n, 1, 2), F.substring(n, 4, 1), F.substring(n, 3, 1), F.substring(n, 5, 100))

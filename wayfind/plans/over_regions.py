@@ -2,33 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfind.functions import geo, stats, text
-from wayfind.operators import measure, regions, supply
+from wayfind.operators import geometry, measure, regions, supply
 from wayfind.plans.over_places import CATEGORIES, CITIES, FOUND_SQL, HOST_SQL, MILES, READABLE_SQL, _distance_sql
 from wayfind.plans.registry import query
-from wayfind.sources import snapshot
+from wayfind.sources import shared, snapshot
 from wayfind.sources.places import PLACES_SQL, places_of
 
 TOWNS_SQL = "towns AS (SELECT town, count(*) AS n, min(lat) AS south, max(lat) AS north, min(lon) AS west, max(lon) AS east FROM places GROUP BY town)"
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder beside the session's checkpoints, which all executors share; a temporary one in a single process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = os.path.join(tempfile.gettempdir(), "wayfind-scratch")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 def _towns(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
     return regions.gazetteer(places_of(spark, sf_dir), "town", least)
 
@@ -93,7 +81,7 @@ def region_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pruned_search", f"WITH {PLACES_SQL}, {FOUND_SQL} SELECT id, cat, town FROM found")
 def pruned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search over a written snapshot: only tiles whose box meets a circle are opened."""
-    at = _scratch(spark)
+    at = shared.scratch(spark)
     snapshot.write(places_of(spark, sf_dir), at, rows=2000)
     return supply.search(snapshot.read(spark, at, CITIES, MILES), CATEGORIES, CITIES, MILES).select("id", "cat", "town")
 
@@ -101,7 +89,7 @@ def pruned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("market_extract", f"WITH {PLACES_SQL}, {FOUND_SQL} SELECT cat, count(*) AS candidates, count(*) FILTER (cat = 'building') AS main, count(*) FILTER ({READABLE_SQL}) AS with_site, round(min({_distance_sql(*CITIES[0])}), 6) AS nearest FROM found GROUP BY cat")
 def market_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is found near some cities, written as an extract, main categories first and then by distance, and counted from there."""
-    at = _scratch(spark)
+    at = shared.scratch(spark)
     found = supply.search(places_of(spark, sf_dir), CATEGORIES, CITIES, MILES).withColumn("miles", geo.haversine(F.col("lat"), F.col("lon"), *CITIES[0])).withColumn("main", F.col("cat") == "building")
     found.sortWithinPartitions(F.desc("main"), "miles", "id").write.option("compression", "zstd").parquet(at)
     return spark.read.parquet(at).groupBy("cat").agg(F.count("*").alias("candidates"), F.count_if("main").alias("main"), F.count_if(text.readable(F.col("site"))).alias("with_site"), F.round(F.min("miles"), 6).alias("nearest"))
@@ -195,3 +183,35 @@ def enriched_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that the engine called a match, with some of the rest: good for precision, not for recall."""
     judged = places_of(spark, sf_dir).select("id", F.coalesce(F.col("rating") >= 4.5, F.lit(False)).alias("hit"))
     return measure.enriched(judged, 50)
+
+
+AREA_SQL = f"""{PLACES_SQL}, {TOWNS_SQL}, b AS (SELECT town AS area, (south + north) / 2 AS y, (west + east) / 2 AS x, (north - south) / 3 AS h, (east - west) / 3 AS w FROM towns WHERE n >= 2)"""
+
+
+def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """area, geometry: of each town, a lozenge with a square hole and a far triangle, as well-known binary."""
+    mid = _towns(spark, sf_dir, 2).select(F.col("town").alias("area"), F.col("lat").alias("y"), F.col("lon").alias("x"), ((F.col("north") - F.col("south")) / 3).alias("h"), ((F.col("east") - F.col("west")) / 3).alias("w"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for x, y, h, w in zip(*[batch.column(k).to_pylist() for k in (2, 1, 3, 4)], strict=True):
+                lozenge, hole = [(x, y - h), (x + w, y), (x, y + h), (x - w, y)], [(x - w / 4, y - h / 4), (x + w / 4, y - h / 4), (x + w / 4, y + h / 4), (x - w / 4, y + h / 4)]
+                triangle = [(x + w, y + h), (x + 1.5 * w, y + h), (x + 1.5 * w, y + 1.5 * h)]
+                out.append(geometry.to_wkb([[np.array(r + r[:1]) for r in (lozenge, hole)], [np.array(triangle + triangle[:1])]]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["area", "geometry"])
+
+    return mid.mapInArrow(run, "area string, geometry binary")
+
+
+@query("area_members", f"""WITH {AREA_SQL} SELECT area, count(*) AS members, min(id) AS first_id FROM b JOIN places ON (abs(lat - y) < h AND abs(lon - x) < w * (1 - abs(lat - y) / h) AND NOT (abs(lat - y) < h / 4 AND abs(lon - x) < w / 4)) OR (lon < x + 1.5 * w AND lat > y + h AND (lon - x - w) / w > (lat - y - h) / h) GROUP BY area""")
+def area_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places inside multipolygons with a hole, read from binary."""
+    return geometry.members(places_of(spark, sf_dir), _areas(spark, sf_dir)).groupBy("area").agg(F.count("*").alias("members"), F.min("id").alias("first_id"))
+
+
+@query("area_measures", f"""WITH {AREA_SQL} SELECT area, 2 AS polygons, 3 AS rings, round(x - w, 6) AS west, round(x + 1.5 * w, 6) AS east, round(y - h, 6) AS south, round(y + 1.5 * h, 6) AS north, round(2 * h * w - h * w / 4 + h * w / 8, 3) AS square_degrees,
+  round((2 * h * w - h * w / 4 + h * w / 8) * cos(radians(y + h / 4)) * 4761.0, 1) AS square_miles FROM b""")
+def area_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = geometry.measures(_areas(spark, sf_dir))
+    return found.select("area", "polygons", "rings", *[F.round(c, 6).alias(c) for c in ("west", "east", "south", "north")], F.round("square_degrees", 3).alias("square_degrees"), F.round("square_miles", 1).alias("square_miles"))
