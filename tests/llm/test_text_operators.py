@@ -170,6 +170,21 @@ def test_targets_fill_up_to_the_limit(spark):
         assert got == pytest.approx(loop(sizes))
 
 
+def test_mix_never_deals_documents_by_source(spark, odd, monkeypatch):
+    """Whether sources fit into one broadcast or take several, the same rows come, and no exchange carries texts."""
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    plain = sorted(map(str, mixing.plan_mix(odd).select(columns).collect()))
+    for most in (mixing.BROADCAST_BYTES, 120):
+        monkeypatch.setattr(mixing, "BROADCAST_BYTES", most)
+        assert sorted(map(str, mixing.plan_mix(odd).select(columns).collect())) == plain
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = mixing.mix(odd)._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 def test_mix_on_odd_rows(spark, odd):
     plan = mixing.plan_mix(odd).collect()
     assert len(plan) == 9 and all(r.taken == r.copies * r["size"] and r.copies <= 3 for r in plan)

@@ -14,13 +14,17 @@ that carry a name from OUTPUTS.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfind.llm.common import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 48  # of the sources' table; a row's bytes besides its name
 OUTPUTS = ("size", "source_size", "target", "copies", "taken")
 
 
@@ -75,13 +79,30 @@ def _planned(docs: DataFrame, size: Column | None = None, weights: tuple[int, ..
     words = word_count(F.col("text")) if size is None else size.cast("long")
     sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("source").alias("of"), F.col("doc_id").alias("key"), words.alias("size"))
     by_source = sized.groupBy(F.col("of").alias("source")).agg(F.sum("size").alias("source_size"))
-    joined = sized.join(targets(by_source, weights, limit), F.col("of").eqNullSafe(F.col("source")))
+    joined = _with_targets(sized, cut(targets(cut(by_source), weights, limit)))
     rate = F.least(F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)), F.lit(float(limit)))
     whole = F.floor(rate)
     extra = (uniform(F.col("key"), seed) < rate - whole).cast("long")
     return joined.withColumn("copies", (whole + extra).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def _with_targets(sized: DataFrame, goals: DataFrame) -> DataFrame:
+    """The rows with their source's target, joined where they lie: whole documents are never dealt by source, of which one may hold a third of them.
+
+    The sources' bytes are summed first. One broadcast of BROADCAST_BYTES at most does for
+    all but millions of sources; more are taken in blocks by hash, each a broadcast of
+    that size and a scan of the documents whose sources fall into it.
+    """
+    bytes_ = goals.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(F.col("source").cast("string")), F.lit(0)) + ROW_BYTES), F.lit(0)).alias("n")).first().n
+    blocks = max(1, -(-2 * bytes_ // BROADCAST_BYTES)) if bytes_ > BROADCAST_BYTES else 1
+    same = F.col("of").eqNullSafe(F.col("source"))
+    if blocks == 1:
+        return sized.join(F.broadcast(goals), same)
+    in_block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(blocks)) == k
+    parts = [sized.filter(in_block("of", k)).join(F.broadcast(goals.filter(in_block("source", k))), same) for k in range(blocks)]
+    return reduce(DataFrame.union, parts)
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each document as many times as planned, with its own columns."""
     planned = _planned(docs, **options).filter("copies > 0")
