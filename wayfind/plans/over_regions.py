@@ -132,11 +132,11 @@ def pool_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("count_pages", rf"""WITH {PLACES_SQL}, c AS (SELECT town, cat, count(*) AS listings FROM places GROUP BY town, cat HAVING count(*) >= 20)
-SELECT cat || '-in-' || regexp_replace(regexp_replace(lower(town), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, listings FROM c ORDER BY listings DESC, slug LIMIT 100""")
+SELECT cat || '-in-' || regexp_replace(regexp_replace(lower(town), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, listings FROM c""")
 def count_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of counts, those with too few listings left out, the largest first."""
+    """Pages of counts, those with too few listings left out."""
     counted = places_of(spark, sf_dir).groupBy("town", "cat").agg(F.count("*").alias("listings")).filter("listings >= 20")
-    return counted.select(F.concat(F.col("cat"), F.lit("-in-"), text.slug(F.col("town"))).alias("slug"), "listings").orderBy(F.desc("listings"), "slug").limit(100)
+    return counted.select(F.concat(F.col("cat"), F.lit("-in-"), text.slug(F.col("town"))).alias("slug"), "listings")
 
 
 @query("page_parts", rf"""WITH {PLACES_SQL}, c AS (SELECT DISTINCT cat || '-in-' || regexp_replace(regexp_replace(lower(town), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') || '-' || substr('cotxaznm', (ordinal % 4 * 2 + 1)::INTEGER, 2) AS slug FROM places)
@@ -215,3 +215,21 @@ def area_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 def area_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = geometry.measures(_areas(spark, sf_dir))
     return found.select("area", "polygons", "rings", *[F.round(c, 6).alias(c) for c in ("west", "east", "south", "north")], F.round("square_degrees", 3).alias("square_degrees"), F.round("square_miles", 1).alias("square_miles"))
+
+
+@query("snapshot_versions", f"""WITH {PLACES_SQL} SELECT 'spring' AS release, count(*) AS found FROM places WHERE lat BETWEEN 35 AND 40 AND lon BETWEEN -110 AND -100 AND ordinal % 5 <> 0
+UNION ALL SELECT 'summer', count(*) FROM places WHERE lat BETWEEN 35 AND 40 AND lon BETWEEN -110 AND -100 AND ordinal % 50 <> 0""")
+def snapshot_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three releases offered in turn: the first two pass and are read by the manifest that was live then, the third fails its gate and changes nothing."""
+    root, places, boxes = shared.scratch(spark), places_of(spark, sf_dir), (35.0, 40.0, -110.0, -100.0)
+    words = places.select("cat").distinct()
+    shown = []
+    for release, offered in (("spring", places.filter("ordinal % 5 <> 0")), ("summer", places.filter("ordinal % 50 <> 0")), ("broken", places.filter("cat <> 'building'"))):
+        snapshot.publish(offered, root, release, words, move=0.6, rows=2000)
+        live = snapshot.manifest(spark, root)
+        if release != "broken":
+            shown.append(live)
+        elif live["release"] != "summer":
+            raise ValueError("a failed gate changed the live copy")
+    found = [snapshot.read_box(spark, root, m, *boxes).agg(F.count("*").alias("found")).select(F.lit(m["release"]).alias("release"), "found") for m in shown]
+    return found[0].union(found[1])

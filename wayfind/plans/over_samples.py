@@ -11,6 +11,7 @@ from wayfind.plans.registry import query
 
 from wayfind.sources import uploads
 from wayfind.sources.places import PLACES_SQL, places_of
+from wayfind.streaming import leases
 
 
 def _times(a: str, b: str) -> str:
@@ -83,3 +84,15 @@ def upload_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def host_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The places that stand for each host, 60 km apart at least; a test holds the greedy choice against a plain loop."""
     return resolve.representatives(places_of(spark, sf_dir), 60_000.0)
+
+
+@query("lease_outcomes")
+def lease_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as a job's requests, whose sites the properties name; no twin, since a fold in order decides. A test holds the fold against its stream."""
+    kind = F.col("event_type")
+    said = F.when(kind == "signup", "add").when(kind == "view", "take").when(kind == "purchase", "done").when(kind == "error", "release").otherwise("add")
+    site = F.concat(F.lit("s"), F.get_json_object("props", "$.k"))
+    requests = _table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("job_id"), F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("at"), said.alias("kind"), site.alias("site"), (F.col("event_id") % 3 + 1).alias("n")
+    )
+    return leases.outcomes(leases.table(requests, "2024-02-15", seconds=86_400))
