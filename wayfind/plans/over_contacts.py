@@ -14,14 +14,17 @@ HOST = r"regexp_extract(regexp_replace(regexp_replace(lower(trim(url)), '^https?
 
 
 def business_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """site, page_no, text: documents as pages of their sources, where some sentences first name two of their words beside a role or credential, by the sentence's own checksum."""
+    """site, page_no, text: documents as pages of their sources, where some sentences have their first two words as a name beside a role or credential, by the sentence's own checksum."""
 
     def told(s):
         words = F.split(s, " ")
         name = F.initcap(F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1))))
         kind = F.pmod(F.crc32(F.encode(s, "UTF-8")), F.lit(30))
-        said = F.when(kind == 0, F.concat(name, F.lit(", Owner "))).when(kind == 1, F.concat(name, F.lit(" is the founder "))).when(kind == 2, F.concat(F.lit("Dr. "), name, F.lit(", MD ")))
-        return F.concat(said.when(kind == 3, F.concat(F.lit("office manager: "), name, F.lit("; "))).otherwise(""), s)
+        rest = F.array_join(F.slice(words, F.lit(3), F.size(words)), " ")
+        return (
+            F.when(kind == 0, F.concat(name, F.lit(", Owner "), rest)).when(kind == 1, F.concat(name, F.lit(" is the founder "), rest))
+            .when(kind == 2, F.concat(F.lit("Dr. "), name, F.lit(", MD "), rest)).when(kind == 3, F.concat(F.lit("office manager: "), name, F.lit("; "), rest)).otherwise(s)
+        )
 
     pages = _table(spark, sf_dir, "documents")
     return pages.select(F.col("source").alias("site"), F.col("doc_id").alias("page_no"), F.array_join(F.transform(F.split("text", r"[.!?] "), told), ". ").alias("text"))
