@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfind.functions import text
-from wayfind.operators import outreach, resolve
+from wayfind.operators import contacts, outreach, resolve
 from wayfind.plans.over_pages import READS_SQL, _reads, _table
 from wayfind.plans.over_places import HOST_SQL
 from wayfind.plans.registry import query
@@ -15,10 +15,14 @@ from wayfind.sources.places import PLACES_SQL, places_of
 EMAILS_SQL = f"e AS (SELECT doc_id, list_transform(regexp_extract_all(text, '{text.EMAIL}'), lambda x: lower(x)) AS found FROM documents)"
 
 
-@query("kept_emails", rf"""WITH {EMAILS_SQL} SELECT DISTINCT doc_id, x AS email, CASE WHEN regexp_matches(regexp_replace(split_part(x, '@', 1), '[0-9]+$', ''), '{outreach.ROLE_MAILBOX}') THEN 'role' WHEN regexp_matches(regexp_replace(split_part(x, '@', 1), '[0-9]+$', ''), '^[a-z]{{2,}}[._][a-z]{{2,}}$') THEN 'person' ELSE 'other' END AS tier FROM e, unnest(found) u(x) WHERE NOT regexp_matches(x, '{outreach.NOISE}')""")
+GIVEN_SQL = ", ".join(f"'{n}'" for n in contacts.GIVEN_NAMES)
+
+
+@query("kept_emails", rf"""WITH {EMAILS_SQL}, k AS (SELECT DISTINCT doc_id, x AS email, regexp_replace(split_part(x, '@', 1), '[0-9]+$', '') AS local FROM e, unnest(found) u(x) WHERE NOT regexp_matches(x, '{outreach.NOISE}'))
+SELECT doc_id, email, CASE WHEN regexp_matches(local, '{outreach.ROLE_MAILBOX}') THEN 'role' WHEN regexp_matches(local, '^[a-z]{{2,}}[._][a-z]{{2,}}$') OR (regexp_split_to_array(local, '[._-]')[1] IN ({GIVEN_SQL}) AND len(regexp_split_to_array(local, '[._-]')) <= 2) THEN 'person' ELSE 'other' END AS tier FROM k""")
 def kept_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _table(spark, sf_dir, "documents").select("doc_id", F.explode(outreach.kept_emails(text.emails(F.col("text")))).alias("email"))
-    return found.select("doc_id", "email", outreach.email_tier(F.col("email")).alias("tier"))
+    return found.select("doc_id", "email", contacts.email_tier(F.col("email"), F.array().cast("array<string>")).alias("tier"))
 
 
 @query("chosen_emails", rf"""WITH {EMAILS_SQL}, p AS (SELECT doc_id, list_concat(found, ['info@site' || doc_id || '.org', 'jobs@site' || doc_id || '.org'], CASE WHEN doc_id % 3 = 0 THEN ['ann.lee@mail.site' || doc_id || '.org'] ELSE [] END) AS all_, 'site' || doc_id || '.org' AS domain FROM e WHERE doc_id % 4 <> 0 UNION ALL SELECT doc_id, found, 'site' || doc_id || '.org' FROM e WHERE doc_id % 4 = 0),
