@@ -65,3 +65,25 @@ def fit(outcomes: DataFrame, subjects: DataFrame, reading_rules: bool, rules: in
         all_passed = (F.col("passed_musts") == musts) if musts else (F.col("failed") == 0)
         verdict = verdict.when(all_passed, "strong").otherwise("maybe")
     return joined.select("id", verdict.alias("fit"))
+
+
+# The verdicts that a reader writes; any other is no verdict.
+VERDICTS = ("match", "no_match", "couldnt_tell", "blocked", "needs_model", "unread")
+
+
+def job_rows(sites: DataFrame) -> DataFrame:
+    """sites(job_id, business_id, name, site, state, verdict, read_outcome, pages, proof) as businesses of a market named job:<job_id>.
+
+    Only a site that is done has a read and a verdict; a verdict that is not known is
+    unread, so that it is never taken for a match. An outcome that was not kept is ok.
+    """
+    done = F.coalesce(F.col("state") == "done", F.lit(False))
+    verdict = F.when(done & F.col("verdict").isin(*VERDICTS), F.col("verdict")).otherwise("unread")
+    read = F.when(done, F.struct(F.coalesce("read_outcome", F.lit("ok")).alias("outcome"), F.coalesce("pages", F.lit(0)).alias("pages")))
+    proof = F.when(F.length("proof") > 0, F.col("proof"))
+    return sites.select(F.concat(F.lit("job:"), F.col("job_id").cast("string")).alias("market"), F.col("business_id").alias("id"), F.coalesce("name", F.lit("")).alias("name"), "site", read.alias("read"), verdict.alias("verdict"), proof.alias("proof"))
+
+
+def job_markets(rows: DataFrame) -> DataFrame:
+    """market, businesses, read, proofs and one count a verdict of `job_rows`: worked out from the rows, not copied from a job's counters."""
+    return rows.groupBy("market").agg(F.count("*").alias("businesses"), F.count("read").alias("read"), F.count("proof").alias("proofs"), *[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS])

@@ -123,3 +123,57 @@ def gap_fill(runs: DataFrame, pools: DataFrame, per_place: float) -> DataFrame:
     dearest = runs.groupBy("market").agg(F.max("per_read").alias("read_cost"))
     whole = F.col("read_cost") + per_place * F.col("missing") / F.col("places")
     return pools.filter("matched > 0").join(dearest, "market").withColumn("per_match", whole * F.col("places") / F.col("matched"))
+
+
+# The least precision and delivered recall of a release.
+PRECISION, RECALL = 0.90, 0.60
+ENRICHED = "enriched_on_engine_positives"
+
+
+def scored(labels: DataFrame, verdicts: DataFrame, designs: DataFrame, sampled: DataFrame) -> DataFrame:
+    """One row a set and kind of criterion, and one a set over all kinds: what labels say of verdicts, as far as the set's design allows.
+
+    labels(set, id, criterion_id, kind, label), verdicts(set, id, criterion_id, said),
+    designs(set, sampling), sampled(set, id: positives when an enriched set was drawn).
+    A business without any verdict counts once (not_judged, in the row of all kinds); a
+    pair without one is "unread". Labels of wrong sites or that people could not settle,
+    and verdicts that settle nothing, are counted apart. An abstention on a true match
+    is a miss of delivered recall. A set drawn among the engine's positives cannot tell
+    recall: its columns are null there, and kept is the share of the positives it was
+    drawn from that still are positives (all verdicts match). A set without a design is
+    a complete slice. Repeated labels count each, of repeated verdicts the least counts.
+    """
+    said = verdicts.groupBy("set", "id", "criterion_id").agg(F.min("said").alias("said")).groupBy("set", "id").agg(F.collect_list(F.struct("criterion_id", F.coalesce("said", F.lit("unread")).alias("said"))).alias("v"))  # a row a criterion
+    asked = labels.groupBy("set", "id").agg(F.collect_list(F.struct("criterion_id", "kind", "label")).alias("l"))
+    pair = lambda x: F.coalesce(F.get(F.filter("v", lambda y: y["criterion_id"] == x["criterion_id"]), F.lit(0))["said"], F.lit("unread"))
+    outcome = lambda x: (
+        F.when(x["label"] == "wrong_site", "wrong_site").when(~F.coalesce(x["label"].isin("match", "no_match"), F.lit(False)), "unsettled_label")
+        .when(pair(x) == "couldnt_tell", F.when(x["label"] == "match", "abstained_on_match").otherwise("abstained")).when(~pair(x).isin("match", "no_match"), "unsettled_verdict")
+        .otherwise(F.concat(F.when(pair(x) == x["label"], "t").otherwise("f"), F.when(pair(x) == "match", "p").otherwise("n")))
+    )
+    row = lambda kind, found: F.struct(kind.alias("kind"), found.alias("found"))
+    each = asked.join(said, ["set", "id"], "left").select(
+        "set",
+        F.explode(F.when(F.col("v").isNull(), F.array(row(F.lit("all"), F.lit("not_judged")))).otherwise(F.flatten(F.transform("l", lambda x: F.array(row(x["kind"], outcome(x)), row(F.lit("all"), outcome(x))))))).alias("r"),
+    )
+    n = lambda *names: F.count_if(F.col("r.found").isin(*names))
+    counted = each.groupBy("set", F.col("r.kind").alias("kind")).agg(
+        F.count_if(F.col("r.found") != "not_judged").alias("pairs"), *[n(k).alias(k) for k in ("tp", "fp", "fn", "tn")], n("abstained", "abstained_on_match").alias("abstained"),
+        *[n(k).alias(k) for k in ("abstained_on_match", "not_judged", "wrong_site", "unsettled_label", "unsettled_verdict")],
+    )
+    positive = said.filter(F.forall("v", lambda y: y["said"] == "match")).select("set", "id", F.lit(1).alias("still"))
+    kept = sampled.distinct().join(positive, ["set", "id"], "left").groupBy("set").agg((F.count("still") / F.count("*")).alias("kept"))
+    enriched = designs.filter(F.col("sampling") == ENRICHED).select("set", F.lit(True).alias("enriched")).distinct()
+    known = counted.join(enriched, "set", "left").withColumn("enriched", F.coalesce("enriched", F.lit(False))).join(kept, "set", "left")
+
+    def rated(name: str, whole: Column, target: float, shown: Column) -> dict:
+        lo, hi = wilson(F.col("tp"), whole)
+        word = F.when(lo >= target, "passes").when(hi < target, "fails").otherwise("undecided")
+        shown = shown & (whole > 0)
+        return {name: F.when(shown, F.round(F.col("tp") / whole, 6)), f"{name}_low": F.when(shown, F.round(lo, 6)), f"{name}_high": F.when(shown, F.round(hi, 6)), f"{name}_gate": F.when(shown, word)}
+
+    found = F.col("tp") + F.col("fn")
+    return known.withColumns({
+        **rated("precision", F.col("tp") + F.col("fp"), PRECISION, F.lit(True)), **rated("recall", found + F.col("abstained_on_match"), RECALL, ~F.col("enriched")),
+        "recall_decided": F.when(~F.col("enriched") & (found > 0), F.round(F.col("tp") / found, 6)), "kept": F.when(F.col("enriched"), F.round("kept", 6)),
+    })

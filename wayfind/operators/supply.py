@@ -119,3 +119,21 @@ def market_documents(places: DataFrame, facts: DataFrame, by: str) -> DataFrame:
 def write_markets(documents: DataFrame, to: str) -> None:
     """One folder a market, JSON lines in order; a large market is several files."""
     documents.repartitionByRange("market", "ordinal").sortWithinPartitions("market", "ordinal").select("market", F.col("document").alias("value")).write.partitionBy("market").text(to)
+
+
+def families(taxonomy: DataFrame, anchors: DataFrame) -> DataFrame:
+    """anchor, cat of taxonomy(cat, path) and anchors(anchor): the anchor's own category, and all that have it above them in their path.
+
+    A path's last step is the category itself and is no ancestor. Paths are a few steps,
+    so a category meets few anchors; null paths have no ancestors.
+    """
+    above = F.when(F.size("path") > 1, F.slice("path", 1, F.size("path") - 1)).otherwise(F.array().cast("array<string>"))
+    steps = taxonomy.select("cat", F.explode(F.array_distinct(F.concat(F.array("cat"), F.coalesce(above, F.array().cast("array<string>"))))).alias("anchor"))
+    return steps.join(anchors.select("anchor").distinct(), "anchor").select("anchor", "cat").distinct()
+
+
+def family_counts(places: DataFrame, taxonomy: DataFrame, anchors: DataFrame) -> DataFrame:
+    """anchor, categories, places: every anchor's family and how many places(cat) are of it; places are counted by category before they meet the families."""
+    held = places.groupBy("cat").agg(F.count("*").alias("n"))
+    joined = families(taxonomy, anchors).join(held, "cat", "left").groupBy("anchor").agg(F.count("*").alias("categories"), F.coalesce(F.sum("n"), F.lit(0)).alias("places"))
+    return anchors.select("anchor").distinct().join(joined, "anchor", "left").na.fill(0, ["categories", "places"])
