@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfind.functions import text
 from wayfind.operators import niches, outreach
-from wayfind.plans.over_pages import READS_SQL, _reads
+from wayfind.plans.over_pages import READS_SQL, _reads, _table
 from wayfind.plans.registry import query
 
 #: Words of the invented pages, and what an agency would say in their place.
@@ -67,3 +67,25 @@ def trades_served(spark: SparkSession, sf_dir: str) -> DataFrame:
 def primary_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trade to write about; generalists have none."""
     return niches.primary(niches.served(_agencies(spark, sf_dir), outreach.reads_like_prose))
+
+
+_IP = r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
+
+
+@query("public_urls", rf"""WITH a AS (SELECT url AS raw FROM pages UNION ALL SELECT regexp_replace(url, '^https?://', '') FROM pages UNION ALL SELECT regexp_replace(url, '^https?', 'ftp') FROM pages UNION ALL SELECT regexp_replace(url, '\.(com|net|org|info)([/?#]|$)', '.INTERNAL:8080\2') FROM pages
+  UNION ALL SELECT unnest(regexp_extract_all(text, '{_IP}')) FROM documents UNION ALL SELECT 'http://' || unnest(regexp_extract_all(text, '{_IP}')) || ':80/admin' FROM documents UNION ALL SELECT 'http://user@' || unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\.[A-Za-z]{{2,}})', 1)) FROM documents),
+h AS (SELECT raw, CASE WHEN contains(raw, '://') THEN lower(split_part(raw, '://', 1)) ELSE '' END AS scheme, lower(regexp_extract(raw, '^(?:[a-z]+://)?(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host FROM a),
+o AS (SELECT raw, host, scheme, scheme IN ('', 'http', 'https') AND NOT regexp_matches(host, '(^|\.)localhost$|\.(local|internal)$') AND NOT regexp_matches(host, '(^|\.)[0-9]+$') AS open FROM h)
+SELECT host, scheme, count(*) AS n, count(*) FILTER (open) AS opened, count(*) FILTER (open AND scheme <> 'http' AND contains(host, '.')) AS secure FROM o GROUP BY host, scheme""")
+def public_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses that a stranger may make us open: urls of pages, written in several ways, and the addresses and mail hosts that documents print."""
+    url, docs = F.col("url"), _table(spark, sf_dir, "documents")
+    ways = F.array(url, F.regexp_replace(url, "^https?://", ""), F.regexp_replace(url, "^https?", "ftp"), F.regexp_replace(url, r"\.(com|net|org|info)([/?#]|$)", ".INTERNAL:8080$2"))
+    found = lambda pattern, group: F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+    ips = found(_IP, 0)
+    named = F.concat(ips, F.transform(ips, lambda x: F.concat(F.lit("http://"), x, F.lit(":80/admin"))), F.transform(found(r"[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\.[A-Za-z]{2,})", 1), lambda x: F.concat(F.lit("http://user@"), x)))
+    asked = _table(spark, sf_dir, "pages").select(F.explode(ways).alias("raw")).unionAll(docs.select(F.explode(named)))
+    host = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract("raw", r"^(?:[a-z]+://)?([^/?#]*)", 1), "^[^@]*@", ""), ":[0-9]+$", ""))
+    return asked.groupBy(host.alias("host"), F.lower(F.regexp_extract("raw", "^([a-z]+)://", 1)).alias("scheme")).agg(
+        F.count("*").alias("n"), F.count(outreach.public_url(F.col("raw"))).alias("opened"), F.count(outreach.public_url(F.col("raw"), secure=True)).alias("secure")
+    )
