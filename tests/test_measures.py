@@ -1,6 +1,6 @@
 """Scores under a design, sites read again, families, jobs as markets: small cases and odd rows."""
 
-from wayfind.operators import change, judge, measure, supply
+from wayfind.operators import accounts, change, judge, measure, supply
 
 
 def frames(spark, labels, verdicts, designs=(), sampled=()):
@@ -71,3 +71,24 @@ def test_rows_that_are_not_done_have_no_verdict(spark):
     assert got["a"].read[:] == ("ok", 0) and got["a"].name == "" and got["b"].read is None and got["b"].proof is None
     one = judge.job_markets(judge.job_rows(rows)).first()
     assert (one.market, one.businesses, one.read, one.proofs, one.match, one.unread) == ("job:1", 4, 2, 1, 1, 3)
+
+
+def test_markets_count_vendors_by_site(spark):
+    sites = spark.createDataFrame([("m", f"s{i}", o, i) for i, o in enumerate(["ok", "thin", "ok", "timeout", "blocked", "probe_error"])] + [("void", "v", "timeout", 9)], "market string, site string, outcome string, ordinal int")
+    marks = [("s0", "booking", "b", True, False), ("s0", "booking", "b", True, False), ("s0", "booking", "generic", False, False), ("s1", "booking", "a", True, True), ("s1", "booking", "c", True, True), ("s2", "booking", "c", True, False), ("s2", "chat", "x", True, True), ("s3", "booking", "a", True, True), ("gone", "booking", "z", True, True)]
+    frame = spark.createDataFrame(marks, "site string, family string, name string, vendor boolean, home boolean")
+    got = {r.market: r for r in measure.market_summary(sites, frame, "booking", ("chat",), top=2).collect()}
+    m, v = got["m"], got["void"]
+    assert (m.sampled, m.scored, m.excluded, m.excluded_pct, m.timeout, m.probe_error, m.judgeable_pct, m.floor_pct) == (6, 4, 2, 33.3, 1, 1, 50.0, 50.0)
+    assert (m.considered, m.found, m.found_pct, m.beyond, m.beyond_pct, m.chat_pct, m.vendors) == (3, 3, 100.0, 2, 66.7, 33.3, ["c=2", "b=1"])
+    assert (v.scored, v.judgeable_pct, v.considered, v.found_pct, v.vendors) == (0, 0.0, 0, 0.0, [])
+    assert measure.market_summary(sites.limit(0), frame, "booking").count() == 0
+
+
+def test_the_first_mark_since_the_last_unmark_holds(spark):
+    log = [(1, "a", 1, True, "mail"), (1, "a", 2, True, "call"), (1, "b", 1, True, "mail"), (1, "b", 2, False, None), (1, "b", 3, True, " "), (1, "b", 4, True, "call"), (1, "c", 1, True, "mail"), (1, "c", 2, False, None), (2, "c", 5, False, None), (2, "a", 5, True, None)]
+    frame = spark.createDataFrame(log, "account_id int, business_id string, at int, marked boolean, channel string")
+    assert {tuple(r) for r in accounts.contacted(frame).collect()} == {(1, "a", 1, "mail"), (1, "b", 3, None), (2, "a", 5, None)}
+    assert accounts.contacted(frame.limit(0)).count() == 0
+    said = spark.createDataFrame([(1, "a", 1, None), (1, "a", 2, " "), (2, "a", 3, "other"), (3, "a", 4, "not_a_fit")], "account_id int, business_id string, at int, kind string")
+    assert {tuple(r) for r in accounts.feedback(said).collect()} == {("a", "not_a_fit", 3, 2, 4), ("a", "other", 1, 1, 3)}

@@ -106,3 +106,22 @@ def checkpoints(reads: DataFrame, at: tuple[int, ...] = (200, 400, 800, 1600)) -
     run = reads.withColumn("reads", place).filter(F.col("reads") <= max(at))
     so_far = Window.partitionBy("job_id").orderBy("reads").rowsBetween(Window.unboundedPreceding, 0)
     return run.select("job_id", "reads", F.sum(F.col("matched").cast("long")).over(so_far).alias("matches")).filter(F.col("reads").isin(*at))
+
+
+def contacted(log: DataFrame) -> DataFrame:
+    """account_id, business_id, at, channel: whom each account has contacted, of log(account_id, business_id, at, marked, channel); at orders all entries.
+
+    Marking twice says the same thing, so the first mark since the last unmark holds, with
+    its channel (blank: null). Last unmarks are summed first, in part before they are
+    shuffled, and what is left is summed again: no pair's log is gathered or sorted.
+    """
+    undone = log.filter(~F.col("marked")).groupBy("account_id", "business_id").agg(F.max("at").alias("_undone"))
+    standing = log.filter("marked").join(undone, ["account_id", "business_id"], "left").filter(F.col("_undone").isNull() | (F.col("at") > F.col("_undone")))
+    first = standing.groupBy("account_id", "business_id").agg(F.min(F.struct("at", F.nullif(F.trim("channel"), F.lit("")).alias("channel"))).alias("f"))
+    return first.select("account_id", "business_id", "f.at", "f.channel")
+
+
+def feedback(rows: DataFrame) -> DataFrame:
+    """business_id, kind, n, accounts, latest: why matches were called wrong, of rows(account_id, business_id, at, kind); a kind that is not stated is not_a_fit."""
+    kind = F.coalesce(F.nullif(F.trim("kind"), F.lit("")), F.lit("not_a_fit"))
+    return rows.groupBy("business_id", kind.alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("account_id").alias("accounts"), F.max("at").alias("latest"))

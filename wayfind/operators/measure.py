@@ -177,3 +177,41 @@ def scored(labels: DataFrame, verdicts: DataFrame, designs: DataFrame, sampled:
         **rated("precision", F.col("tp") + F.col("fp"), PRECISION, F.lit(True)), **rated("recall", found + F.col("abstained_on_match"), RECALL, ~F.col("enriched")),
         "recall_decided": F.when(~F.col("enriched") & (found > 0), F.round(F.col("tp") / found, 6)), "kept": F.when(F.col("enriched"), F.round("kept", 6)),
     })
+
+# Outcomes that measure the reader and not the site, and those of pages with something to read.
+OURS, READ = ("timeout", "probe_error"), ("ok", "thin")
+
+
+def market_summary(sites: DataFrame, marks: DataFrame, family: str, others: tuple[str, ...] = (), top: int = 10) -> DataFrame:
+    """One row a market of sites(market, site, outcome, ordinal): outcomes, and how many sites show a family of signals, where and by which vendors.
+
+    marks(site, family, name, vendor, home) are what was found on the sites' pages, home
+    where it was on the first. Our own failures leave every rate of sites but are shown
+    beside them. Signals are looked for on sites with something to read: found counts
+    them, beyond those whose home page alone shows none. Vendors are a report of the
+    `top` most common, as "name=sites", of equal ones that which a site of a lower
+    ordinal shows first. Rates are percents of one digit, 0 without sites.
+    """
+    kinds = [family, *others]
+    by_site = marks.filter(F.col("family").isin(kinds)).groupBy("site").agg(
+        F.max((F.col("family") == family).cast("int")).alias("shows"), F.max(((F.col("family") == family) & F.col("home")).cast("int")).alias("at_home"),
+        *[F.max((F.col("family") == f).cast("int")).alias(f"_{f}") for f in others],
+    )
+    known = sites.join(by_site, "site", "left").withColumns({"ours": F.col("outcome").isin(*OURS), "read": F.col("outcome").isin(*READ)})
+    shows = F.col("read") & (F.coalesce("shows", F.lit(0)) == 1)
+    one = known.groupBy("market").agg(
+        F.count("*").alias("sampled"), F.count_if(~F.col("ours")).alias("scored"), F.count_if("ours").alias("excluded"), *[F.count_if(F.col("outcome") == k).alias(k) for k in OURS],
+        F.count_if(F.col("outcome") == "ok").alias("judgeable"), F.count_if("read").alias("considered"), F.count_if(shows).alias("found"), F.count_if(shows & (F.col("at_home") == 0)).alias("beyond"),
+        *[F.count_if(F.col("read") & (F.coalesce(f"_{f}", F.lit(0)) == 1)).alias(f"_{f}") for f in others],
+    )
+    # A vendor's sites are counted before they are ranked, so a market's window holds one row a vendor.
+    named = marks.filter((F.col("family") == family) & F.col("vendor")).select("site", "name").distinct().join(known.filter("read").select("market", "site", "ordinal"), "site")
+    counted = named.groupBy("market", "name").agg(F.count("*").alias("n"), F.min(F.struct("ordinal", "name")).alias("o"))
+    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("market").orderBy(F.desc("n"), "o"))).filter(F.col("rank") <= top)
+    vendors = ranked.groupBy("market").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name", "n"))), lambda v: F.concat_ws("=", v["name"], v["n"].cast("string"))).alias("vendors"))
+    pct = lambda part, whole: F.coalesce(F.round(F.try_divide(100.0 * part, F.col(whole)), 1), F.lit(0.0))
+    return one.join(vendors, "market", "left").select(
+        "market", "sampled", "scored", "excluded", pct(F.col("excluded"), "sampled").alias("excluded_pct"), *OURS, pct(F.col("judgeable"), "scored").alias("judgeable_pct"), pct(F.col("scored") - F.col("judgeable"), "scored").alias("floor_pct"),
+        "considered", "found", pct(F.col("found"), "considered").alias("found_pct"), "beyond", pct(F.col("beyond"), "considered").alias("beyond_pct"),
+        *[pct(F.col(f"_{f}"), "considered").alias(f"{f}_pct") for f in others], F.coalesce("vendors", F.array().cast("array<string>")).alias("vendors"),
+    )

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfind.functions import text
-from wayfind.operators import change, detect, judge, measure, supply
+from wayfind.operators import accounts, change, detect, judge, measure, supply
+from wayfind.plans.over_outreach import OUT_SQL, _outcomes
 from wayfind.plans.over_pages import READS_SQL, _marks_sql, _reads, _table
 from wayfind.plans.registry import query
 
@@ -105,3 +106,66 @@ def job_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("read_outcome"), F.col("l_quantity").cast("int").alias("pages"), F.when(F.col("l_quantity") > 25, "as printed").otherwise("").alias("proof"),
     )
     return judge.job_markets(judge.job_rows(lines))
+
+
+#: Links of the invented pages, and the services that stand for them.
+SERVICES = (('href="/de"', 'href="https://calendly.com/x"'), ('href="/and"', 'href="https://app.acuityscheduling.com/y"'), ('href="/of"', 'href="https://www.zocdoc.com/z"'), ('href="/to"', 'src="https://widget.intercom.io/w"'), ('href="/la"', 'href="/request-a-quote">Request a quote</a><a href="#"'))
+
+
+def _served_html(html):
+    for a, b in SERVICES:
+        html = F.replace(html, F.lit(a), F.lit(b))
+    return html
+
+
+def _market_marks_sql() -> str:
+    html = "html"
+    for a, b in SERVICES:
+        html = f"replace({html}, '{a}', '{b}')"
+    known = [(f, v, m, "true") for f, v, m in detect.CATALOGUE if f in ("booking", "chat", "quote_form")] + [(f, "generic", m, "false") for f, m in detect.GENERIC if f in ("booking", "chat", "quote_form")]
+    found = " UNION ALL ".join(f"SELECT page_id, '{f}' AS family, '{v}' AS name, {k} AS vendor FROM made WHERE regexp_matches(low, '{m}')" for f, v, m, k in known)
+    return f"made AS (SELECT page_id, lower({html}) AS low FROM pages), marks AS ({found})"
+
+
+def _pct_sql(part: str, whole: str) -> str:
+    return f"coalesce(round(100.0 * ({part}) / nullif({whole}, 0), 1), 0)::DOUBLE"
+
+
+@query("market_probes", f"""WITH {OUT_SQL}, {_market_marks_sql()}, hs AS (SELECT page_id, coalesce(CASE WHEN contains({_HOST_SQL}, '.') THEN {_HOST_SQL} END, '') AS site FROM pages), f AS (SELECT site, min(page_id) AS home FROM hs GROUP BY site),
+s AS (SELECT regexp_extract(f.site, '([^.]*)$', 1) AS market, f.site, outcome, home FROM f JOIN c ON c.page_id = home),
+m AS (SELECT DISTINCT f.site, family, name, vendor, hs.page_id = home AS at_home FROM marks JOIN hs USING (page_id) JOIN f ON f.site = hs.site),
+k AS (SELECT s.*, outcome IN ('ok', 'thin') AS readable, site IN (SELECT site FROM m WHERE family = 'booking') AS shows, site IN (SELECT site FROM m WHERE family = 'booking' AND at_home) AS here, site IN (SELECT site FROM m WHERE family = 'quote_form') AS q, site IN (SELECT site FROM m WHERE family = 'chat') AS t FROM s),
+n AS (SELECT market, count(*) AS sampled, count(*) FILTER (outcome NOT IN ('timeout', 'probe_error')) AS scored, count(*) FILTER (outcome = 'timeout') AS timeout, count(*) FILTER (outcome = 'probe_error') AS probe_error, count(*) FILTER (outcome = 'ok') AS okay, count(*) FILTER (readable) AS considered,
+  count(*) FILTER (readable AND shows) AS found, count(*) FILTER (readable AND shows AND NOT here) AS beyond, count(*) FILTER (readable AND q) AS quotes, count(*) FILTER (readable AND t) AS chats FROM k GROUP BY market),
+v AS (SELECT market, name, count(DISTINCT k.site) AS n, min(home) AS o FROM m JOIN k ON k.site = m.site WHERE readable AND family = 'booking' AND vendor GROUP BY market, name), r AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY n DESC, o, name) AS rn FROM v),
+l AS (SELECT market, string_agg(name || '=' || n, ',' ORDER BY rn) AS vendors FROM r WHERE rn <= 10 GROUP BY market)
+SELECT market, sampled, scored, timeout + probe_error AS excluded, {_pct_sql('timeout + probe_error', 'sampled')} AS excluded_pct, timeout, probe_error, {_pct_sql('okay', 'scored')} AS judgeable_pct, {_pct_sql('scored - okay', 'scored')} AS floor_pct, considered, found, {_pct_sql('found', 'considered')} AS found_pct, beyond, {_pct_sql('beyond', 'considered')} AS beyond_pct,
+  {_pct_sql('quotes', 'considered')} AS quote_form_pct, {_pct_sql('chats', 'considered')} AS chat_pct, coalesce(vendors, '') AS vendors FROM n LEFT JOIN l USING (market)""")
+def market_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reading the sites of each suffix came to, and how many can be booked, by which services and whether their home pages show it."""
+    pages = _table(spark, sf_dir, "pages").withColumn("site", F.coalesce(text.host_of(F.col("url")), F.lit("")))
+    homes = pages.groupBy("site").agg(F.min("page_id").alias("ordinal"))
+    outcomes = _outcomes(spark, sf_dir).select(F.col("page_id").alias("ordinal"), "outcome")
+    sites = homes.join(outcomes, "ordinal").select(F.substring_index("site", ".", -1).alias("market"), "site", "outcome", "ordinal")
+    marks = detect.signals(pages.select("page_id", _served_html(F.col("html")).alias("html"))).join(pages.select("page_id", "site"), "page_id").join(homes, "site")
+    out = measure.market_summary(sites, marks.select("site", "family", "name", "vendor", (F.col("page_id") == F.col("ordinal")).alias("home")), "booking", ("quote_form", "chat"))
+    return out.withColumn("vendors", F.array_join("vendors", ","))
+
+
+@query("marks_standing", """WITH l AS (SELECT user_id AS account_id, (value * 100)::BIGINT % 40 AS business_id, event_id AS seq, event_type <> 'error' AS marked, CASE event_type WHEN 'view' THEN '  ' ELSE event_type END AS channel FROM events WHERE event_type <> 'purchase'),
+u AS (SELECT *, count(*) FILTER (NOT marked) OVER (PARTITION BY account_id, business_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS undone FROM l)
+SELECT account_id, business_id, min(seq) AS at, nullif(arg_min(trim(channel), seq), '') AS channel FROM u WHERE undone = 0 GROUP BY account_id, business_id""")
+def marks_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as marks and unmarks of businesses: whom each account has contacted, since when and how."""
+    kind = F.col("event_type")
+    log = _table(spark, sf_dir, "events").filter(kind != "purchase").select(
+        F.col("user_id").alias("account_id"), (F.round(F.col("value") * 100).cast("long") % 40).alias("business_id"), F.col("event_id").alias("at"), (kind != "error").alias("marked"), F.when(kind == "view", "  ").otherwise(kind).alias("channel")
+    )
+    return accounts.contacted(log)
+
+
+@query("match_feedback", """SELECT (value * 100)::BIGINT % 40 AS business_id, CASE event_type WHEN 'error' THEN 'wrong_business' WHEN 'click' THEN 'bad_contact' ELSE 'not_a_fit' END AS kind, count(*) AS n, count(DISTINCT user_id) AS accounts, max(event_id) AS latest FROM events GROUP BY 1, 2""")
+def match_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as what customers say about matches."""
+    kind = F.when(F.col("event_type") == "error", "wrong_business").when(F.col("event_type") == "click", "bad_contact").when(F.col("event_type") == "view", " ")
+    return accounts.feedback(_table(spark, sf_dir, "events").select(F.col("user_id").alias("account_id"), (F.round(F.col("value") * 100).cast("long") % 40).alias("business_id"), F.col("event_id").alias("at"), kind.alias("kind")))
