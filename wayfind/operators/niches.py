@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfind.functions.text import let
+
 # The trades told apart, each with the words that name it, and whether it counts only where the site leads with it.
 TRADES = (
     ("dental", r"dental|dentists?|dentistry|orthodont\w*", False),
@@ -46,7 +48,7 @@ def decoded(text: Column) -> Column:
     out = reduce(lambda t, r: F.regexp_replace(t, *r), REFERENCES, text)
 
     def read(t: Column, pattern: str, number) -> Column:
-        return F.aggregate(F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0))), t, lambda done, ref: F.replace(done, ref, F.coalesce(_character(number(ref)), ref)))
+        return let(t, lambda v: F.aggregate(F.array_distinct(F.regexp_extract_all(v, F.lit(pattern), F.lit(0))), v, lambda done, ref: F.replace(done, ref, F.coalesce(_character(number(ref)), ref))))
 
     out = read(out, r"&#[xX][0-9a-fA-F]{1,6};", lambda r: F.conv(F.regexp_extract(r, "[xX]([0-9a-fA-F]+)", 1), 16, 10).cast("long"))
     out = read(out, r"&#[0-9]{1,7};", lambda r: F.regexp_extract(r, "([0-9]+)", 1).cast("long"))
