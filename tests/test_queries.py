@@ -44,3 +44,23 @@ def test_rows_match_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_others_run(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
+
+
+def test_best_markets_are_whole_and_best_first(spark, tmp_path):
+    """Against a plain loop, row by row: all markets with a match, also those whose town or trade is unknown, which come last among equals."""
+    src = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT * REPLACE (CASE WHEN c_custkey % 4 > 0 THEN c_mktsegment END AS c_mktsegment) FROM read_parquet('{src}/customer.parquet')) TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    con.sql(f"COPY (SELECT * REPLACE (CASE WHEN n_nationkey % 8 > 0 THEN n_name END AS n_name) FROM read_parquet('{src}/nation.parquet')) TO '{tmp_path}/nation.parquet' (FORMAT parquet)")
+    for t in ("customer", "nation"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
+    towns = dict(con.sql("SELECT n_nationkey, n_name FROM nation").fetchall())
+    fits = {}
+    for key, nation, segment in con.sql("SELECT c_custkey, c_nationkey, c_mktsegment FROM customer").fetchall():
+        if key % 11 and key * 37 % 50 >= 35:
+            market = towns[nation], segment and segment.lower()
+            fits[market] = fits.get(market, 0) + 1
+    expected = sorted(((*m, n) for m, n in fits.items()), key=lambda r: (-r[2], r[0] is None, r[0] or "", r[1] is None, r[1] or ""))
+    assert len(expected) > 100 and any(a[2] == b[2] and b[0] is None for a, b in zip(expected, expected[1:]))
+    assert [tuple(r) for r in catalogue.QUERIES["best_markets"](spark, str(tmp_path)).collect()] == expected
+    assert con.sql(catalogue.ORACLES["best_markets"]).fetchall() == expected
