@@ -44,6 +44,16 @@ def test_members_are_those_of_a_plain_count(spark):
     assert g.members(spark.createDataFrame(points, "id long, lat double, lon double"), none).count() == 0
 
 
+def test_points_close_to_a_line_are_marked_whatever_their_cell(spark):
+    """Lines a rounding away from the edge of a cell, with points in the cell beyond."""
+    off = np.nextafter(-90.0, -91.0)
+    hole = np.array([(off - 1, 10.0), (off, 10.0), (off, 20.0), (off - 1, 20.0), (off - 1, 10.0)])
+    outer = np.array([(-135.0, np.nextafter(0.0, 1.0)), (-60.0, np.nextafter(0.0, 1.0)), (-60.0, 40.0), (-135.0, 40.0), (-135.0, np.nextafter(0.0, 1.0))])
+    points = [("hole", 15.0, -90.0), ("below", 0.0, -80.0), ("west", 5.0, -135.0 - 1e-13), ("in", 15.0, -89.9), ("held", 15.0, -90.5), ("out", -0.1, -80.0)]
+    got = g.located(spark.createDataFrame(points, "id string, lat double, lon double"), spark.createDataFrame([("a", g.to_wkb([[outer, hole]]))], "area string, geometry binary"))
+    assert {r.id: (r.inside, r.close) for r in got.collect()} == {"hole": (True, True), "below": (False, True), "west": (False, True), "in": (True, False)}
+
+
 def test_coverings_follow_the_outline():
     cells = list(g.covering(AREAS["state"]))
     whole = sum((360 / 2 ** c[0]) ** 2 for c in cells if c[3])

@@ -64,3 +64,16 @@ def test_best_markets_are_whole_and_best_first(spark, tmp_path):
     assert len(expected) > 100 and any(a[2] == b[2] and b[0] is None for a, b in zip(expected, expected[1:]))
     assert [tuple(r) for r in catalogue.QUERIES["best_markets"](spark, str(tmp_path)).collect()] == expected
     assert con.sql(catalogue.ORACLES["best_markets"]).fetchall() == expected
+
+
+def test_area_members_on_the_lines_fall_as_in_sql(spark, tmp_path):
+    """Towns whose places lie on the lines of their areas, beside one without a name, one on a single meridian and one at a single place."""
+    con, src = duckdb.connect(), "/root/testdata/sf0.1"
+    con.sql(f"CREATE VIEW c AS SELECT c.* REPLACE (c_custkey + 15000 * i AS c_custkey) FROM read_parquet('{src}/customer.parquet') c, range(5) r(i)")
+    odd = "SELECT c.* REPLACE (600000 * i AS c_custkey, 3 AS c_nationkey) FROM (SELECT * FROM c LIMIT 1) c, range(3) r(i) UNION ALL SELECT c.* REPLACE (50000 * i AS c_custkey, 4 AS c_nationkey) FROM (SELECT * FROM c LIMIT 1) c, range(9) r(i)"
+    con.sql(f"COPY (SELECT * FROM c WHERE c_nationkey IN (7, 18, 21) UNION ALL {odd}) TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    con.sql(f"COPY (SELECT * REPLACE (CASE WHEN n_nationkey <> 7 THEN n_name END AS n_name) FROM read_parquet('{src}/nation.parquet')) TO '{tmp_path}/nation.parquet' (FORMAT parquet)")
+    for t in ("customer", "nation"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
+    expected = rows(con.sql(catalogue.ORACLES["area_members"]).df())
+    assert len(expected[1]) == 3 and rows(catalogue.QUERIES["area_members"](spark, str(tmp_path)).toPandas()) == expected

@@ -1,7 +1,8 @@
 """Areas from well-known binary: their size, box and members, by a covering of cells that follows each area's own outline.
 
 An area is a polygon or multipolygon, holes included; a point is inside by the even-odd
-rule over all rings, on a line or not as the crossing test falls. A covering is a
+rule over all rings, on a line or not as the crossing test falls; points so near a line
+that rounding decides are marked, for those who know the outline otherwise. A covering is a
 quadtree over longitudes and latitudes: a cell that no edge enters is wholly in or out, a
 cell with few edges, or at the finest level, is a border cell and keeps the edges that a
 ray to the east can meet. Points meet cells by equal keys; only those in border cells are
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from wayfind.functions.geo import MILES_PER_DEGREE
 
 COARSEST, FINEST, FEW_EDGES = 3, 14, 24
+CLOSE = 1e-9  # degrees: far above what rounding does to coordinates up to 360, far below what a map shows
 POLYGON, MULTIPOLYGON = 3, 6
 EDGE = np.dtype([("x1", "<f8"), ("y1", "<f8"), ("x2", "<f8"), ("y2", "<f8")])
 
@@ -97,8 +99,22 @@ def inside(edges: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (up & right).sum(axis=0) % 2 == 1
 
 
+def close_to(edges: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether points are within CLOSE of an edge."""
+    dx, dy = edges["x2"] - edges["x1"], edges["y2"] - edges["y1"]
+    length = np.hypot(dx, dy)
+    side = (x[None, :] - edges["x1"][:, None]) * dy[:, None] - (y[None, :] - edges["y1"][:, None]) * dx[:, None]
+    e, p = np.nonzero(np.abs(side) <= 2 * CLOSE * length[:, None])  # near the whole line; few are, and near the edge itself fewer
+    east, north = x[p] - edges["x1"][e], y[p] - edges["y1"][e]
+    along = np.clip((east * dx[e] + north * dy[e]) / np.where(length[e] > 0, length[e] ** 2, 1), 0, 1)
+    out = np.zeros(len(x), bool)
+    out[p[np.hypot(east - along * dx[e], north - along * dy[e]) <= CLOSE]] = True
+    return out
+
+
 def _enters(edges: np.ndarray, west: float, south: float, east: float, north: float) -> np.ndarray:
-    """Which edges can touch a box: their boxes meet, and the corners don't all lie on one side of the edge's line."""
+    """Which edges can touch a box or come close to it: their boxes meet, and the corners don't all lie on one side of the edge's line."""
+    west, south, east, north = west - CLOSE, south - CLOSE, east + CLOSE, north + CLOSE
     near = (np.minimum(edges["x1"], edges["x2"]) <= east) & (np.maximum(edges["x1"], edges["x2"]) >= west) & (np.minimum(edges["y1"], edges["y2"]) <= north) & (np.maximum(edges["y1"], edges["y2"]) >= south)
     dx, dy = edges["x2"] - edges["x1"], edges["y2"] - edges["y1"]
     sides = [dx * (y - edges["y1"]) - dy * (x - edges["x1"]) for x in (west, east) for y in (south, north)]
@@ -113,7 +129,7 @@ def covering(polygons: list[list[np.ndarray]], coarsest: int = COARSEST, finest:
         return
     low_y, high_y = np.minimum(edges["y1"], edges["y2"]), np.maximum(edges["y1"], edges["y2"])
     size = 360 / (1 << coarsest)
-    span = lambda a, b: range(int(np.floor(a / size)), int(np.floor(b / size)) + 1)
+    span = lambda a, b: range(int(np.floor((a - CLOSE) / size)), int(np.floor((b + CLOSE) / size)) + 1)
     everything = np.arange(len(edges))
     xs, ys = span(min(edges["x1"].min(), edges["x2"].min()) + 180, max(edges["x1"].max(), edges["x2"].max()) + 180), span(low_y.min() + 180, high_y.max() + 180)
     todo = [(coarsest, x, y, everything) for x in xs for y in ys]  # level, column, row, edges whose heights meet the cell's
@@ -122,8 +138,8 @@ def covering(polygons: list[list[np.ndarray]], coarsest: int = COARSEST, finest:
         size = 360 / (1 << level)
         west, south = cx * size - 180, cy * size - 180
         east, north = west + size, south + size
-        strip = strip[(low_y[strip] <= north) & (high_y[strip] >= south)]
-        strip = strip[np.maximum(edges["x1"][strip], edges["x2"][strip]) >= west]  # a ray to the east meets no others
+        strip = strip[(low_y[strip] <= north + CLOSE) & (high_y[strip] >= south - CLOSE)]
+        strip = strip[np.maximum(edges["x1"][strip], edges["x2"][strip]) >= west - CLOSE]  # a ray to the east meets no others
         touching = int(_enters(edges[strip], west, south, east, north).sum())
         if not touching:
             if inside(edges[strip], np.array([(west + east) / 2]), np.array([(south + north) / 2]))[0]:
@@ -185,7 +201,12 @@ def _ancestors(lon: Column, lat: Column, coarsest: int, finest: int) -> Column:
 
 
 def members(points: DataFrame, areas: DataFrame, coarsest: int = COARSEST, finest: int = FINEST, few: int = FEW_EDGES) -> DataFrame:
-    """area, id: the points(id, lat, lon) inside areas(area, geometry).
+    """area, id: the points(id, lat, lon) inside areas(area, geometry)."""
+    return located(points, areas, coarsest, finest, few).filter("inside").select("area", "id")
+
+
+def located(points: DataFrame, areas: DataFrame, coarsest: int = COARSEST, finest: int = FINEST, few: int = FEW_EDGES) -> DataFrame:
+    """area, id, lat, lon, inside, close: the points(id, lat, lon) inside areas(area, geometry) or close to their lines, where `inside` may be rounding's doing.
 
     A point is asked for in its cell of every level that a covering uses; the levels are
     looked up first, as there are `finest` of them at most.
@@ -193,7 +214,8 @@ def members(points: DataFrame, areas: DataFrame, coarsest: int = COARSEST, fines
     covered = cells(areas, coarsest=coarsest, finest=finest, few=few)
     levels = sorted(r.level for r in covered.select("level").distinct().collect())  # one row a level
     if not levels:
-        return points.select("id").limit(0).join(areas.select("area").limit(0), F.lit(True)).select("area", "id")
+        none = points.select("id", "lat", "lon").limit(0).join(areas.select("area").limit(0), F.lit(True))
+        return none.select("area", "id", "lat", "lon", F.lit(False).alias("inside"), F.lit(False).alias("close"))
     held = points.filter("lat is not null and lon is not null").select("id", "lat", "lon", F.explode(F.filter(_ancestors(F.col("lon"), F.col("lat"), levels[0], levels[-1]), lambda c: c["level"].isin(levels))).alias("c"))
     met = held.select("id", "lat", "lon", "c.*").join(covered, ["level", "cx", "cy"])
 
@@ -201,13 +223,15 @@ def members(points: DataFrame, areas: DataFrame, coarsest: int = COARSEST, fines
         for batch in batches:
             x, y = batch.column(2).to_numpy(), batch.column(1).to_numpy()
             encoded = batch.column(4).dictionary_encode()
-            codes, held_ = encoded.indices.to_numpy(), np.zeros(len(x), bool)
+            codes, held_, close = encoded.indices.to_numpy(), np.zeros(len(x), bool), np.zeros(len(x), bool)
             for k, edges in enumerate(encoded.dictionary):
                 mine = np.flatnonzero(codes == k)
-                held_[mine] = inside(np.frombuffer(edges.as_py(), EDGE), x[mine], y[mine])
-            yield batch.select([3, 0]).filter(pa.array(held_))
+                lines = np.frombuffer(edges.as_py(), EDGE)
+                held_[mine], close[mine] = inside(lines, x[mine], y[mine]), close_to(lines, x[mine], y[mine])
+            columns = [*(batch.column(k) for k in (3, 0, 1, 2)), pa.array(held_), pa.array(close)]
+            yield pa.RecordBatch.from_arrays(columns, names=["area", "id", "lat", "lon", "inside", "close"]).filter(pa.array(held_ | close))
 
     border = met.filter("not whole").select("id", "lat", "lon", "area", "edges")
-    kinds = {c: dict(met.dtypes)[c] for c in ("area", "id")}
-    tested = border.mapInArrow(run, f"area {kinds['area']}, id {kinds['id']}")
-    return met.filter("whole").select("area", "id").union(tested)
+    kinds = {c: dict(met.dtypes)[c] for c in ("area", "id", "lat", "lon")}
+    tested = border.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", inside boolean, close boolean")
+    return met.filter("whole").select("area", "id", "lat", "lon", F.lit(True).alias("inside"), F.lit(False).alias("close")).union(tested)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfind.functions import geo, stats, text
@@ -189,7 +189,7 @@ AREA_SQL = f"""{PLACES_SQL}, {TOWNS_SQL}, b AS (SELECT town AS area, (south + no
 
 
 def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """area, geometry: of each town, a lozenge with a square hole and a far triangle, as well-known binary."""
+    """area, geometry: of each town, a lozenge with a square hole and a far triangle, as well-known binary; and y, x, h, w that it is drawn from."""
     mid = _towns(spark, sf_dir, 2).select(F.col("town").alias("area"), F.col("lat").alias("y"), F.col("lon").alias("x"), ((F.col("north") - F.col("south")) / 3).alias("h"), ((F.col("east") - F.col("west")) / 3).alias("w"))
 
     def run(batches):
@@ -199,15 +199,27 @@ def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
                 lozenge, hole = [(x, y - h), (x + w, y), (x, y + h), (x - w, y)], [(x - w / 4, y - h / 4), (x + w / 4, y - h / 4), (x + w / 4, y + h / 4), (x - w / 4, y + h / 4)]
                 triangle = [(x + w, y + h), (x + 1.5 * w, y + h), (x + 1.5 * w, y + 1.5 * h)]
                 out.append(geometry.to_wkb([[np.array(r + r[:1]) for r in (lozenge, hole)], [np.array(triangle + triangle[:1])]]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["area", "geometry"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), *(batch.column(k) for k in (1, 2, 3, 4))], names=["area", "geometry", "y", "x", "h", "w"])
 
-    return mid.mapInArrow(run, "area string, geometry binary")
+    return mid.mapInArrow(run, "area string, geometry binary, y double, x double, h double, w double")
+
+
+def _drawn_around(lat: Column, lon: Column, drawn: Column) -> Column:
+    """Whether a point is in the shape drawn from y, x, h and w, step by step as in SQL, so that points on its lines fall as they do there."""
+    y, x, h, w = (drawn[c] for c in ("y", "x", "h", "w"))
+    north, east = F.abs(lat - y), F.abs(lon - x)
+    lozenge = (north < h) & (east < w * (1 - F.try_divide(north, h))) & ~((north < h / 4) & (east < w / 4))
+    triangle = (lon < x + 1.5 * w) & (lat > y + h) & (F.try_divide(lon - x - w, w) > F.try_divide(lat - y - h, h))
+    return lozenge | triangle
 
 
 @query("area_members", f"""WITH {AREA_SQL} SELECT area, count(*) AS members, min(id) AS first_id FROM b JOIN places ON (abs(lat - y) < h AND abs(lon - x) < w * (1 - abs(lat - y) / h) AND NOT (abs(lat - y) < h / 4 AND abs(lon - x) < w / 4)) OR (lon < x + 1.5 * w AND lat > y + h AND (lon - x - w) / w > (lat - y - h) / h) GROUP BY area""")
 def area_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places inside multipolygons with a hole, read from binary."""
-    return geometry.members(places_of(spark, sf_dir), _areas(spark, sf_dir)).groupBy("area").agg(F.count("*").alias("members"), F.min("id").alias("first_id"))
+    """Places inside multipolygons with a hole, read from binary; those so close to a line that rounding decides, by the numbers that the line was drawn from."""
+    areas = _areas(spark, sf_dir).select(F.struct("area", "y", "x", "h", "w").alias("area"), "geometry")
+    found = geometry.located(places_of(spark, sf_dir), areas)
+    held = found.filter(F.when(F.col("close"), _drawn_around(F.col("lat"), F.col("lon"), F.col("area"))).otherwise(F.col("inside")))
+    return held.groupBy(F.col("area.area").alias("area")).agg(F.count("*").alias("members"), F.min("id").alias("first_id"))
 
 
 @query("area_measures", f"""WITH {AREA_SQL} SELECT area, 2 AS polygons, 3 AS rings, round(x - w, 6) AS west, round(x + 1.5 * w, 6) AS east, round(y - h, 6) AS south, round(y + 1.5 * h, 6) AS north, round(2 * h * w - h * w / 4 + h * w / 8, 3) AS square_degrees,
