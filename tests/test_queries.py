@@ -77,3 +77,18 @@ def test_area_members_on_the_lines_fall_as_in_sql(spark, tmp_path):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
     expected = rows(con.sql(catalogue.ORACLES["area_members"]).df())
     assert len(expected[1]) == 3 and rows(catalogue.QUERIES["area_members"](spark, str(tmp_path)).toPandas()) == expected
+
+
+def test_niche_mentions_read_words_as_sql_does(spark, tmp_path):
+    """Accented letters beside words, capitals that lower() spells otherwise, other blanks, and documents that share an id."""
+    texts = [
+        (1, "Prix et the \u00e9on de la ville. The \u00e9of site at large. caf\u00e9the onto on the quai"), (2, "S\u0130TE of the city of it. of the \u0391\u03a3 s\u0130te and \u039f\u03a3 more"),
+        (3, "free of all\u00a0\u2003. free of all x!free of all xy. \u3000free of all xyz\u3000"), (4, "the end of it all"), (4, "the end of it all|and the end of it all"), (4, "The end of it all. the end of it all"),
+        (5, "and on the way \u0391\u03a3|and on the way \u03b1\u03c3|and on the way \u03b1\u03c2"), (9, "the list of names"), (9, "the list of names"), (6, None), (7, ""), (8, "on\u0301 the site_of and of_the and on"),
+    ]
+    con = duckdb.connect()
+    con.register("t", pd.DataFrame(texts, columns=["doc_id", "text"]))
+    con.sql(f"COPY (SELECT * FROM t) TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet')")
+    expected = rows(con.sql(catalogue.ORACLES["niche_mentions"]).df())
+    assert len(expected[1]) > 10 and rows(catalogue.QUERIES["niche_mentions"](spark, str(tmp_path)).toPandas()) == expected

@@ -76,8 +76,8 @@ CUE = r"\b(of|online|click|on)\b"
 @query("niche_mentions", rf"""WITH s AS (SELECT DISTINCT doc_id AS id, left(text, 60) AS headline, lower(trim(unnest(regexp_split_to_array(text, '[.!?\n|]|•')))) AS s FROM documents), n(niche, pattern) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in NICHES)}),
 m AS (SELECT id, niche, count(*) AS mentions, bool_or(regexp_matches(lower(headline), pattern)) AS leads FROM s, n WHERE length(s) >= 12 AND regexp_matches(s, '{CUE}') AND regexp_matches(s, pattern) GROUP BY id, niche) SELECT *, leads OR mentions >= 3 AS strong FROM m""")
 def niche_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("headline"), F.transform(text.sentences(F.col("text")), F.lower).alias("sentences"))
-    return outreach.mentions(pages, spark.createDataFrame(NICHES, "niche string, pattern string"), CUE)
+    pages = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("headline"), text.sentences(F.col("text"), blanks=text.BLANKS).alias("sentences"))
+    return outreach.mentions(pages, NICHES, CUE)
 
 
 @query("scrubbed_props", """WITH p AS (SELECT event_id, event_type, props->>'$.k' AS k FROM events) SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END + CASE WHEN k IS NULL THEN -1 ELSE 0 END AS kept, CASE event_id % 4 WHEN 0 THEN 'Phone,email' WHEN 1 THEN 'email' ELSE '' END AS dropped FROM p""")
