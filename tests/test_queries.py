@@ -92,3 +92,18 @@ def test_niche_mentions_read_words_as_sql_does(spark, tmp_path):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet')")
     expected = rows(con.sql(catalogue.ORACLES["niche_mentions"]).df())
     assert len(expected[1]) > 10 and rows(catalogue.QUERIES["niche_mentions"](spark, str(tmp_path)).toPandas()) == expected
+
+
+def test_stale_sites_count_parts_of_a_second(spark, tmp_path):
+    """Leases taken within a second of the limit, on both sides of it and right at it, and rows without a time, type or id."""
+    con = duckdb.connect()
+    ages = [86_399_000_000, 86_399_999_999, 86_400_000_000, 86_400_000_001, 86_400_500_000, 86_400_999_999, 86_401_000_000, 0]
+    for last in ("2024-01-30 23:59:25.261702", "2004-01-11 01:00:00.000001", "1969-12-31 23:59:59.75"):
+        con.sql(
+            f"""COPY (SELECT i // 2 * 2 AS event_id, TIMESTAMP '{last}' - to_microseconds(age) AS ts, 't' || i AS event_type FROM (SELECT unnest({ages}) AS age, unnest(range({len(ages)})) * 2 AS i)
+            UNION ALL SELECT 2, NULL, 'x' UNION ALL SELECT NULL, TIMESTAMP '{last}', NULL) TO '{tmp_path}/events.parquet' (FORMAT parquet)"""
+        )
+        con.sql(f"CREATE OR REPLACE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+        expected = rows(con.sql(catalogue.ORACLES["stale_sites"]).df())
+        assert repr([None, 1, "done"]) in expected[1] and rows(catalogue.QUERIES["stale_sites"](spark, str(tmp_path)).toPandas()) == expected
+        assert repr(["t8", 1, "pending"]) in expected[1] and repr(["t4", 1, "taken"]) in expected[1]

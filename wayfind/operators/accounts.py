@@ -88,8 +88,9 @@ def job_counters(sites: DataFrame) -> DataFrame:
 
 
 def sweep(sites: DataFrame, now, seconds: int = 600) -> DataFrame:
-    """Taken sites whose lease is older than so many seconds (60 at least) go back to pending."""
-    stale = (F.col("state") == "taken") & (F.unix_timestamp(F.lit(now)) - F.unix_timestamp("taken_at") > max(seconds, 60))
+    """Taken sites whose lease is older than so many seconds (60 at least) go back to pending; parts of a second count, as in SQL's epoch()."""
+    epoch = lambda c: F.unix_micros(c.cast("timestamp")) / F.lit(1e6)
+    stale = (F.col("state") == "taken") & (epoch(F.lit(now)) - epoch(F.col("taken_at")) > max(seconds, 60))
     return sites.withColumn("state", F.when(stale, "pending").otherwise(F.col("state"))).withColumn("taken_at", F.when(~stale, F.col("taken_at")))
 
 
